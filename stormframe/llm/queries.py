@@ -95,7 +95,7 @@ FROM written GROUP BY conv_id
 _QUALITY = r"""
 WITH split AS (
   SELECT doc_id, coalesce(text, '') AS text,
-    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS words
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
   FROM documents
 ), windows AS (
   SELECT doc_id, unnest(range(1, len(words) - 1)) AS i, unnest([words[k] || ' ' || words[k+1] || ' ' || words[k+2] FOR k IN range(1, len(words) - 1)]) AS w
@@ -128,7 +128,7 @@ FROM based
 
 _NEAR = r"""
 WITH RECURSIVE split AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '', ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS words
+  SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '', ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
   FROM documents
 ), shingles AS (
   SELECT DISTINCT doc_id, s FROM (
