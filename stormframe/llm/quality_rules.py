@@ -14,6 +14,7 @@ helper columns take names that the input does not have.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -72,60 +73,73 @@ def repeat_words(windows: Column) -> Column:
         first,
         lambda a, i: F.struct((i + 3).alias("upto"), (a["n"] + i + 3 - F.greatest(i, a["upto"])).alias("n")),
     )["n"]
-    sorted_once = F.transform(F.array(by_window), starts)  # binds the sorted array to one variable
-    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(covered(F.flatten(sorted_once))).cast("long")
+    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(covered(bound(by_window, starts))).cast("long")
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used and wherever the optimizer moves it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+Features = Mapping[str, Column]
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def base_failed(f: Features) -> Column:
+    return (f["n_words"] < 50) | (100 * f["n_repeat_words"] > 50 * f["n_words"])
 
 
 def features(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    """Add what the rules look at. Words and windows are columns of projections of their own, each computed once."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     tokens, windows = fresh_name(df, "tokens_"), fresh_name(df, "windows_")
-    out = df.withColumn(tokens, words(text)).withColumn(windows, windows_of_three(F.col(tokens)))
-    out = out.withColumns(
-        {
-            "n_words": F.size(tokens).cast("long"),
-            "word_chars": word_chars(text),
-            "n_symbols": count_chars(text, "#*$%&|<>"),
-            "n_dup_lines": dup_lines(text),
-            "n_repeat_words": repeat_words(F.col(windows)),
-        }
-    ).drop(tokens, windows)
-    return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    out = df.drop(*COUNTS).withColumn(tokens, words(text))
+    out = out.withColumn(windows, windows_of_three(F.col(tokens)))
+    counts = (F.size(tokens).cast("long"), word_chars(text), count_chars(text, "#*$%&|<>"), dup_lines(text), repeat_words(F.col(windows)))
+    return out.withColumns(dict(zip(COUNTS, counts, strict=True))).drop(tokens, windows)
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is true for a row to reject; it reads the features and the text."""
+    """``rejects(text, features)`` is true for a row to reject."""
 
     name: str
-    rejects: Column
+    rejects: Callable[[Column, Features], Column]
+
+
+def _share(f: Features) -> Column:
+    return F.greatest(f["n_words"], F.lit(1))
 
 
-def rules(text_col: str = "text") -> list[Rule]:
-    """The method's own rules, beside the base rule."""
-    text, n = F.coalesce(F.col(text_col), F.lit("")), F.greatest(F.col("n_words"), F.lit(1))
-    return [
-        Rule("symbols", 100 * F.col("n_symbols") > 30 * n),
-        Rule("long_words", F.col("word_chars") > 18 * n),
-        Rule("short_words", F.col("word_chars") < 2 * n),
-        Rule("dup_lines", 100 * F.col("n_dup_lines") > 50 * F.size(F.split(text, "\n"))),
-        Rule("shouting", 100 * count_chars(text, "!") > 60 * n),
-        Rule("capitals", 100 * count_chars(text, "A-ZÀ-ÖØ-Þ") > 60 * F.col("word_chars")),
-        Rule("digits", 100 * count_chars(text, "0-9") > 40 * F.col("word_chars")),
-    ]
+#: The method's own rules, beside the base rule.
+RULES = [
+    Rule("symbols", lambda t, f: 100 * f["n_symbols"] > 30 * _share(f)),
+    Rule("long_words", lambda t, f: f["word_chars"] > 18 * _share(f)),
+    Rule("short_words", lambda t, f: f["word_chars"] < 2 * _share(f)),
+    Rule("dup_lines", lambda t, f: 100 * f["n_dup_lines"] > 50 * F.size(F.split(t, "\n"))),
+    Rule("shouting", lambda t, f: 100 * count_chars(t, "!") > 60 * _share(f)),
+    Rule("capitals", lambda t, f: 100 * count_chars(t, "A-Z") > 60 * f["word_chars"]),
+    Rule("digits", lambda t, f: 100 * count_chars(t, "0-9") > 40 * f["word_chars"]),
+]
 
 
-def order_rules(featured: DataFrame, todo: list[Rule], text_col: str = "text", rows: int = SAMPLE_ROWS) -> list[Rule]:
+def _columns() -> Features:
+    return {c: F.col(c) for c in COUNTS}
+
+
+def order_rules(df: DataFrame, text_col: str = "text", rules: list[Rule] = RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Sort rules by rejection per cost, both measured on at most ``rows`` rows.
 
     A rule's cost is the time of a pass that evaluates it alone over the sample,
     less that of a pass that evaluates nothing; ties keep the given order.
     """
-    cols = [text_col, "n_words", "word_chars", "n_symbols", "n_dup_lines"]
-    taken = featured.select(cols).filter(F.pmod(F.xxhash64(text_col), F.lit(4)) == 0).limit(rows).collect() if todo else []
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    picked = df.select(text.alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(4)) == 0)
+    taken = features(picked.limit(rows), "t").select("t", *COUNTS).collect()
     if not taken:
-        return todo
-    sample = featured.sparkSession.createDataFrame(taken, featured.select(cols).schema).coalesce(1)
+        return rules
+    kind = "t string, " + ", ".join(f"{c} long" for c in COUNTS)
+    sample = df.sparkSession.createDataFrame(taken, kind).coalesce(1)
 
     def timed(condition: Column) -> tuple[float, int]:
         began = time.perf_counter()
@@ -135,25 +149,38 @@ def order_rules(featured: DataFrame, todo: list[Rule], text_col: str = "text", r
     timed(F.lit(False))
     floor = timed(F.lit(False))[0]
     found = []
-    for i, rule in enumerate(todo):
-        seconds, hit = timed(rule.rejects)
+    for i, rule in enumerate(rules):
+        seconds, hit = timed(rule.rejects(F.col("t"), _columns()))
         found.append((-hit / max(seconds - floor, 1e-3), i, rule))
     return [rule for _, _, rule in sorted(found, key=lambda x: x[:2])]
 
 
-def verdict(ordered: list[Rule]) -> Column:
-    """True where no rule rejects; rules run in order, each only where those before it passed."""
-    passed = F.lit(True)
+def verdict(text: Column, f: Features, ordered: list[Rule]) -> Column:
+    """True where nothing rejects; rules run in order, each only where those before it passed."""
+    text, passed = F.coalesce(text, F.lit("")), F.lit(True)
     for rule in reversed(ordered):
-        passed = F.when(F.coalesce(rule.rejects, F.lit(False)), False).otherwise(passed)
-    return passed
+        passed = F.when(F.coalesce(rule.rejects(text, f), F.lit(False)), False).otherwise(passed)
+    return F.when(base_failed(f), False).otherwise(passed)
 
 
 def apply_rules(df: DataFrame, text_col: str = "text") -> DataFrame:
     """All rows with their features, base_failed and kept."""
-    featured = features(df, text_col)
-    ordered = order_rules(featured, rules(text_col), text_col)
-    return featured.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(verdict(ordered)))
+    ordered = order_rules(df, text_col)
+    out = features(df.drop("base_failed", "kept"), text_col)
+    return out.select("*", base_failed(_columns()).alias("base_failed"), verdict(F.col(text_col), _columns(), ordered).alias("kept"))
+
+
+def keep_documents(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows that every rule lets pass, with the columns that they had.
+
+    A filter that the optimizer moves below the projections would compute the
+    features anew for each rule; a row number in them keeps it above.
+    """
+    row, own = fresh_name(df, "row_"), {c: fresh_name(df, f"own_{c}_") for c in df.columns if c in COUNTS}
+    out = features(df.withColumnsRenamed(own), text_col).withColumn(row, F.monotonically_increasing_id())
+    kept = verdict(F.col(text_col), _columns(), order_rules(df, text_col))
+    kept = out.filter(kept & (F.col(row) >= 0)).drop(row, *COUNTS)
+    return kept.withColumnsRenamed({v: k for k, v in own.items()}).select(df.columns)
 
 
 def quality_digest(docs: DataFrame) -> DataFrame:

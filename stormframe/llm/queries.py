@@ -121,7 +121,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     100 * n_symbols > 30 * n OR word_chars > 18 * n OR word_chars < 2 * n
     OR 100 * n_dup_lines > 50 * len(string_split(text, chr(10)))
     OR 100 * length(regexp_replace(text, '[^!]+', '', 'g')) > 60 * n
-    OR 100 * length(regexp_replace(text, '[^A-ZÀ-ÖØ-Þ]+', '', 'g')) > 60 * word_chars
+    OR 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 60 * word_chars
     OR 100 * length(regexp_replace(text, '[^0-9]+', '', 'g')) > 40 * word_chars) AS kept
 FROM based
 """
