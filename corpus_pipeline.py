@@ -13,13 +13,13 @@ from stormframe.llm.common import crc_bucket, documents, stored, table
 from stormframe.llm.near_dedup import near_groups
 from stormframe.llm.packing import pack_documents
 from stormframe.llm.quality_model import THRESHOLD, fit_quality, score_quality
-from stormframe.llm.quality_rules import apply_rules
+from stormframe.llm.quality_rules import keep_documents
 from stormframe.llm.suffix_dedup import remove_repeats
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that every rule lets pass."""
-    return apply_rules(docs).filter("kept").select(docs.columns)
+    return keep_documents(docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
