@@ -30,7 +30,7 @@ LENGTHS, BUCKETS = (4, 6), 1 << 20
 #: Bounds of the fit: labelled rows of each class, and features.
 ROWS, FEATURES = 5000, 20_000
 THRESHOLD = 0.3
-SMOOTH, DECAY, STEPS, RATE, SUPPORT, SURE = 1.0, 1e-3, 300, 0.05, 4, 3.0
+SMOOTH, DECAY, STEPS, RATE, SUPPORT, SURE = 1.0, 1e-3, 300, 0.05, 3, 2.0
 
 
 def buckets(text: str) -> np.ndarray:
