@@ -85,7 +85,9 @@ class Pieces:
                         self.ids.setdefault(name.replace(MARK, " "), len(self.score))
                 self.score.append(struct.unpack("<f", told[2])[0] if 2 in told else 0.0)
         self.longest = max(map(len, self.ids))
-        self.begins = {t[:k] for t in self.ids for k in range(1, len(t) + 1)}
+        # The score of each piece, and None for what only begins one.
+        self.walk: dict[str, float | None] = {t[:k]: None for t in self.ids for k in range(1, len(t))}
+        self.walk.update((t, self.score[i]) for t, i in self.ids.items())
         self.unknown = min(self.score) - 10.0
         self.cut_at_blanks = not any(re.search(r"[^ ] ", p) for p in self.ids)
         self.parts = _Parts(self)
@@ -136,6 +138,9 @@ class StreamingViterbi:
         """Add text in blocks of the window's size; commit after each."""
         ids: list[int] = []
         step = 4 * self.pieces.longest
+        if len(text) <= step and not self.text:
+            self._grow(text)
+            return ids
         for at in range(0, len(text), step):
             self._grow(text[at : at + step])
             self._weigh(len(self.text) - self.pieces.longest)
@@ -151,18 +156,19 @@ class StreamingViterbi:
     def _weigh(self, upto: int) -> None:
         """Weigh all pieces that start before a boundary; ties stay with the earlier start."""
         p, text, best, back, size = self.pieces, self.text, self.best, self.back, len(self.text)
-        ids, begins, scores, unknown = p.ids, p.begins, p.score, p.unknown
+        walk, unknown, nothing = p.walk.get, p.unknown, float("inf")
         for start in range(self.start, upto):
             here = best[start]
             if here + unknown > best[start + 1]:
                 best[start + 1], back[start + 1] = here + unknown, start
             for end in range(start + 1, size + 1):
-                part = text[start:end]
-                if part not in begins:
+                score = walk(text[start:end], nothing)
+                if score is None:
+                    continue
+                if score == nothing:
                     break
-                piece = ids.get(part)
-                if piece is not None and here + scores[piece] > best[end]:
-                    best[end], back[end] = here + scores[piece], start
+                if here + score > best[end]:
+                    best[end], back[end] = here + score, start
         self.start = max(self.start, upto)
 
     def _meeting(self) -> int:
