@@ -128,7 +128,7 @@ FROM based
 
 _NEAR = r"""
 WITH RECURSIVE split AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '', ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
   FROM documents
 ), shingles AS (
   SELECT DISTINCT doc_id, s FROM (
@@ -137,9 +137,9 @@ WITH RECURSIVE split AS (
 ), sized AS (
   SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
 ), shared AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
 ), links AS (
-  SELECT a, b FROM shared JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE 100 * both >= 85 * (x.n + y.n - both)
+  SELECT a, b FROM shared JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)
 ), ways AS (
   SELECT a, b FROM links UNION ALL SELECT b, a FROM links
 ), reach(doc_id, root) AS (
