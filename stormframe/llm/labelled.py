@@ -24,7 +24,8 @@ def bounded(labels: DataFrame, label: str, wanted: Column, rows: int) -> DataFra
 def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """``label, text`` of the chosen ids: a bounded side is sent to the texts, which stay where they are."""
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
-    return checkpointed(found.coalesce(PARTS))
+    # The few rows found are dealt out anew; merging partitions instead would read all texts in as few tasks.
+    return checkpointed(found.repartition(PARTS, "doc_id"))
 
 
 def summed(sample: DataFrame, add: Callable[[np.ndarray, pd.DataFrame], None], rows: int, width: int) -> DataFrame:
