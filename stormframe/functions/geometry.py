@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stormframe.functions.scalars import cone_radius
+
 
 def offset_point(lat: Column, lon: Column, bearing: Column, nm: Column) -> Column:
     """The point so many nautical miles along a bearing."""
@@ -53,6 +55,32 @@ def quadrant_ring(lat: Column, lon: Column, radii: list[Column]) -> Column:
     return F.flatten(arcs)
 
 
+def forecast_cone(points: Column, basin: Column, steps: int = 8) -> Column:
+    """The ring around an array of ``lat, lon, hours``: one side outwards, a cap, the other side back, a cap.
+
+    Each point is set off square to its heading, which is the mean of those to
+    its neighbours; null with fewer than two points.
+    """
+    n = F.size(points)
+    at = lambda i: F.get(points, i)
+    course = lambda i: heading(at(i)["lat"], at(i)["lon"], at(i + 1)["lat"], at(i + 1)["lon"])
+    headed = F.transform(
+        points,
+        lambda p, i: F.struct(
+            p["lat"].alias("lat"),
+            p["lon"].alias("lon"),
+            F.when(i == 0, course(i)).when(i == n - 1, course(i - 1)).otherwise(mean_heading(course(i - 1), course(i))).alias("course"),
+            cone_radius(F.coalesce(p["hours"], F.lit(0)), basin).alias("nm"),
+        ),
+    )
+    side = lambda turn: F.transform(headed, lambda p: offset_point(p["lat"], p["lon"], p["course"] + turn, p["nm"]))
+
+    def cap(p: Column, turn: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.lit(steps - 1)), lambda k: offset_point(p["lat"], p["lon"], p["course"] + turn + k * (180.0 / steps), p["nm"]))
+
+    return F.when(n >= 2, F.concat(side(-90), cap(F.get(headed, n - 1), -90), F.reverse(side(90)), cap(F.get(headed, F.lit(0)), 90)))
+
+
 def ring_area(ring: Column) -> Column:
     """Shoelace area in square degrees."""
     pairs = F.zip_with(ring, F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1)), lambda p, q: p["lon"] * q["lat"] - q["lon"] * p["lat"])

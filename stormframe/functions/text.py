@@ -133,3 +133,25 @@ def leftmost_key(text: Column, keys: list[str]) -> Column:
     """The key that occurs first in a text; of two at one place the longer one."""
     hit = lambda k: F.struct(F.instr(F.lower(text), F.lit(k)).alias("at"), F.lit(-len(k)).alias("size"), F.lit(k).alias("key"))
     return F.array_min(F.filter(F.array(*(hit(k) for k in keys)), lambda x: x["at"] > 0))["key"]
+
+
+def find_all(text: Column, pattern: str, groups: int) -> Column:
+    """All matches as ``at`` (code points before it), ``g0`` (the match) and ``g1`` to ``g<groups>``."""
+    names = [f"g{k}" for k in range(groups + 1)]
+    found_groups = (F.regexp_extract_all(text, F.lit(pattern), F.lit(k)).alias(n) for k, n in enumerate(names))
+    # One stretch of other text stands before each match, and one after the last.
+    stretches = F.arrays_zip(F.split(text, pattern).alias("gap"), *found_groups)
+    kind = "array<struct<at:int," + ",".join(f"{n}:string" for n in names) + ">>"
+    start = F.struct(F.lit(0).alias("end"), F.array().cast(kind).alias("hits"))
+
+    def step(state: Column, x: Column) -> Column:
+        at = state["end"] + F.length(x["gap"])
+        hit = F.struct(at.alias("at"), *(x[n].alias(n) for n in names))
+        return F.struct((at + F.coalesce(F.length(x["g0"]), F.lit(0))).alias("end"), F.concat(state["hits"], F.array(hit)).alias("hits"))
+
+    return F.filter(F.aggregate(stretches, start, step)["hits"], lambda h: h["g0"].isNotNull())
+
+
+def title_case(text: Column) -> Column:
+    """Capitals at the start of each word, also after a hyphen."""
+    return F.array_join(F.transform(F.split(text, "-"), lambda w: F.initcap(w)), "-")

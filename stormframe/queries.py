@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stormframe.functions import geometry, scalars, text
 from stormframe.operators import chains, matching
-from stormframe.plans import ledger
+from stormframe.plans import advisories, discussions, ledger
 from stormframe.session import table
 
 QUERIES: dict = {}
@@ -311,3 +311,45 @@ def forecast_hours(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("p_size")
     to_day = 1 + s % 5 + F.when(s % 7 == 0, 25).otherwise(0)
     return table(spark, d, "part").select("p_partkey", scalars.forecast_hours(25 + s % 6, s % 24, to_day, (s * 5) % 24).alias("hours"))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS file, CAST(p_partkey AS INT) AS advisory, CAST(p_size / 2.0 AS DOUBLE) AS lat, CAST(-(p_size + 40.0) AS DOUBLE) AS lon, p_size + 30 AS wind_kt, p_size * 2 AS ne_34,
+ CAST(3 AS BIGINT) AS n_track, CAST(96 AS INT) AS last_hours, 'Post-Tropical Cyclone' AS classification FROM part""")
+def advisory_fields(spark: SparkSession, d: str) -> DataFrame:
+    place = "%.1fN  %.1fW"
+    lines = (
+        "POST-TROPICAL CYCLONE TEST FORECAST/ADVISORY NUMBER %d\n\nPOST-TROPICAL CYCLONE CENTER LOCATED NEAR " + place + " AT 30/0600Z\n\n"
+        "MAX SUSTAINED WINDS %d KT WITH GUSTS TO 99 KT.\n34 KT.......%3dNE   0SE   0SW  10NW.\n\n"
+        "FORECAST VALID 30/1800Z 20.0N  50.0W\nMAX WIND  40 KT\n\nFORECAST VALID 01/0600Z 21.0N  51.0W\n34 KT... 99NE 0SE 0SW 0NW.\n\n"
+        "OUTLOOK VALID 03/0600Z 22.0N  52.0W...DISSIPATED\n\nOUTLOOK VALID 04/0600Z...DISSIPATED\n"
+    )
+    s = F.col("p_size")
+    told = F.format_string(lines, "p_partkey", s / F.lit(2.0), (s + F.lit(40.0)), s + 30, s * 2)
+    rows = advisories.advisories(table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("file"), told.alias("text")))
+    return rows.select(
+        "file", "advisory", "center.lat", "center.lon", "wind_kt", F.col("wind_radii")[34]["ne"].alias("ne_34"), F.size("track").cast("long").alias("n_track"),
+        F.try_element_at("track", F.lit(-1))["hours"].alias("last_hours"), "classification",
+    )
+
+
+@query("""SELECT p_partkey, CAST(least(p_size, 20) AS DOUBLE) AS south, CAST(greatest(p_size, 20) AS DOUBLE) AS north, CAST(-p_size - 40 AS DOUBLE) AS west, CAST(-p_size - 20 AS DOUBLE) AS east, p_size % 2 = 0 AS strong FROM part""")
+def convection_boxes(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("p_size")
+    told = F.format_string("A 1012 mb low. %s is noted\nfrom %dN to 20N between %dW and\n%dW.", F.when(s % 2 == 0, "Strong convection").otherwise("Convection"), s, s + 20, s + 40)
+    return discussions.convection_boxes(table(spark, d, "part").select("p_partkey", told.alias("body"))).drop("source")
+
+
+@query("""SELECT p_partkey, unnest([CAST(p_size + 0.5 AS DOUBLE), CAST(-p_size AS DOUBLE)]) AS lat, unnest([CAST(-76 AS DOUBLE), CAST(100 AS DOUBLE)]) AS lon FROM part""")
+def point_fixes(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("p_size")
+    told = F.format_string("A low is centered near %d.5N76W. A ship\nat %dS 100E reports; 12N 30W is no fix.", s, s)
+    return discussions.point_fixes(table(spark, d, "part").select("p_partkey", told.alias("body"))).drop("source")
+
+
+@query(None)
+def forecast_cones(spark: SparkSession, d: str) -> DataFrame:
+    """The ring of a track of four points from each part's numbers."""
+    s = F.col("p_size").cast("double")
+    points = F.array(*(F.struct((s % 30 + 10 + k).alias("lat"), (-s - 20 - 2.0 * k).alias("lon"), F.lit(24 * k).alias("hours")) for k in range(4)))
+    cone = geometry.forecast_cone(points, F.when(F.col("p_partkey") % 2 == 0, "EP").otherwise("AL"))
+    return table(spark, d, "part").select("p_partkey", F.size(cone).alias("points"), r4(geometry.ring_area(cone)).alias("area"))

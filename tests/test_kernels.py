@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stormframe import queries
 from stormframe.functions import geometry, scalars, text
 from stormframe.operators import matching
-from stormframe.plans import ledger, outlook
+from stormframe.plans import advisories, discussions, ledger, outlook
 from stormframe.sources import products
 from stormframe.streaming.alerts import alert_stream, compare
 
@@ -90,7 +90,7 @@ def test_append_and_upsert(spark):
     assert [r["k"] for r in products.new_rows(new, old, "k").collect()] == ["c"]
 
 
-@pytest.mark.parametrize("name", ["calibration", "gap_chains", "asof_last", "cone_radius", "outcome_matrix", "full_outer_diff"])
+@pytest.mark.parametrize("name", ["calibration", "gap_chains", "asof_last", "cone_radius", "outcome_matrix", "full_outer_diff", "advisory_fields", "convection_boxes", "point_fixes"])
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for t in ("events", "orders", "lineitem", "part", "customer"):
@@ -100,3 +100,46 @@ def test_query_matches_sql(spark, name):
     told = con.execute(f"select {', '.join(cols)} from ({queries.SQL[name]})").fetchall()
     key = lambda r: tuple(round(float(v), 6) if isinstance(v, float) else str(v) for v in r)
     assert sorted(map(str, map(key, told))) == sorted(map(str, map(key, df.select(cols).collect())))
+
+
+TCM = """TROPICAL STORM ANNA-LEE SPECIAL FORECAST/ADVISORY NUMBER  7
+NWS SOMEWHERE        EP092031
+2100 UTC THU JUN 12 2031
+
+TROPICAL STORM CENTER LOCATED NEAR 14.5N 110.0W AT 12/2100Z
+PRESENT MOVEMENT TOWARD THE WEST OR 270 DEGREES AT  10 KT
+ESTIMATED MINIMUM CENTRAL PRESSURE  999 MB
+MAX SUSTAINED WINDS  50 KT WITH GUSTS TO  60 KT.
+50 KT.......  0NE   0SE   0SW   0NW.
+34 KT....... 60NE  40SE  30SW  50NW.
+12 FT SEAS..120NE  90SE  90SW 120NW.
+
+FORECAST VALID 13/0600Z 14.6N 111.5W
+MAX WIND  55 KT...GUSTS  65 KT.
+50 KT... 20NE  20SE   0SW  20NW.
+
+OUTLOOK VALID 15/1800Z 16.0N 118.0W...POST-TROPICAL
+MAX WIND  30 KT
+
+OUTLOOK VALID 16/1800Z...DISSIPATED
+"""
+
+
+def test_advisory_and_cone(spark):
+    rows = spark.createDataFrame([("a", TCM), ("b", "NO HEADER"), ("c", None), ("d", TCM.split("FORECAST VALID")[0])], "file string, text string")
+    got = {r["file"]: r for r in advisories.with_cone(advisories.advisories(rows)).collect()}
+    a = got["a"]
+    assert set(got) == {"a", "d"} and got["d"]["cone"] is None and got["d"]["track"] == []
+    assert (a["storm_id"], a["name"], a["classification"], a["advisory"], a["issued"]) == ("EP092031", "Anna-Lee", "Tropical Storm", 7, "12/2100Z")
+    assert (a["wind_kt"], a["gust_kt"], a["pressure_mb"], tuple(a["center"])) == (50, 60, 999, (14.5, -110.0))
+    assert {k: tuple(v) for k, v in a["wind_radii"].items()} == {34: (60, 40, 30, 50)}
+    assert [(p["hours"], p["lon"], p["wind_kt"], p["state"]) for p in a["track"]] == [(9, -111.5, 55, None), (69, -118.0, 30, "post-tropical")]
+    assert len(a["cone"]) == 2 * 3 + 14 and min(p["lon"] for p in a["cone"]) < -118
+
+
+def test_boxes_and_fixes(spark):
+    body = "Isolated strong is from 07N to 11N between 40W and\n50W." + " x" * 60 + " Convection from 12N to 10N between 20W and 10W, centered at 9.5N45W" + " y" * 30 + " strong convection"
+    rows = spark.createDataFrame([("s", body), ("t", ""), ("u", None)], "section string, body string")
+    boxes = discussions.convection_boxes(rows).orderBy("south").collect()
+    assert [tuple(b)[:6] for b in boxes] == [("s", 7.0, 11.0, -50.0, -40.0, True), ("s", 10.0, 12.0, -20.0, -10.0, False)]
+    assert [tuple(b)[:3] for b in discussions.point_fixes(rows).collect()] == [("s", 9.5, -45.0)]
