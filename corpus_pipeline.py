@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormframe.llm.common import crc_bucket, documents, stored, table
-from stormframe.llm.near_dedup import near_groups
+from stormframe.llm.near_dedup import LINK_80, near_groups
 from stormframe.llm.packing import pack_documents
 from stormframe.llm.quality_model import THRESHOLD, fit_quality, score_quality
 from stormframe.llm.quality_rules import keep_documents
@@ -29,8 +29,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return near_groups(docs).filter("kept").select(docs.columns)
+    """One document of each group of near duplicates, linked from a similarity of 0.8 on."""
+    return near_groups(docs, by=LINK_80).filter("kept").select(docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from __future__ import annotations
 import functools
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -36,11 +37,21 @@ from stormframe.llm.common import checkpointed, fresh_name
 from stormframe.llm.components import connected_components
 
 SHINGLE = 5
-#: 24 bands of 5 rows miss a pair of similarity 0.85 once in a million pairs, one of 0.8 once in seventeen thousand.
-BANDS, ROWS, BITS, SEED = 24, 5, 512, 8
-LINK = 85
-#: Candidates whose estimate is lower are dropped: more than six standard errors under the threshold.
-LEAST_ESTIMATE = 0.6
+BITS, SEED = 512, 8
+
+
+class Banding(NamedTuple):
+    """A threshold in percent with the bands that find it, and the estimate under which candidates are dropped."""
+
+    link: int
+    bands: int
+    rows: int
+    least_estimate: float
+
+
+#: The bands miss a pair just at the threshold less than once in a million pairs; the estimate lies six standard errors
+#: under it.
+LINK_85, LINK_80 = Banding(85, 24, 5, 0.6), Banding(80, 27, 4, 0.55)
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 1024
 MEMORY = 500_000
@@ -49,8 +60,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @functools.cache
-def _multipliers() -> np.ndarray:
-    return np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def _multipliers(count: int) -> np.ndarray:
+    return np.random.default_rng(SEED).integers(1, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class _WordHashes(dict):
@@ -78,33 +89,34 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(s)
 
 
-def signature(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signature(s: np.ndarray, by: Banding = LINK_85) -> tuple[np.ndarray, np.ndarray]:
     """Band keys and odd sketch of a non-empty set, both as 64-bit words."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    multipliers = _multipliers(by.bands * by.rows)
+    least = np.full(len(multipliers), np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(s), 4096):
-        np.minimum(least, (s[k : k + 4096, None] * _multipliers()).min(axis=0), out=least)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
+        np.minimum(least, (s[k : k + 4096, None] * multipliers).min(axis=0), out=least)
+    keys = np.arange(1, by.bands + 1, dtype=np.uint64)
+    for column in least.reshape(by.bands, by.rows).T:
         keys = (keys ^ column) * _MIX
         keys ^= keys >> np.uint64(31)
     # The sample is the set of (position, minimum); each member flips one bit.
-    member = (least ^ _multipliers()) * _MIX
+    member = (least ^ multipliers) * _MIX
     bits = np.bincount((member >> np.uint64(55)).astype(np.int64), minlength=BITS) & 1
     return keys.view(np.int64), np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def estimate(flipped):
+def estimate(flipped, by: Banding = LINK_85):
     """Similarity from the count of differing bits of two odd sketches; a numpy array or a Column."""
     log = F.ln if isinstance(flipped, Column) else np.log
     low = F.greatest(F.lit(1e-9), 1 - 2 * flipped / BITS) if isinstance(flipped, Column) else np.maximum(1e-9, 1 - 2 * flipped / BITS)
-    return 1 + BITS / (4 * BANDS * ROWS) * log(low)
+    return 1 + BITS / (4 * by.bands * by.rows) * log(low)
 
 
 def differing_bits(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, by: Banding = LINK_85) -> DataFrame:
     """``id, n, class, bands, sketch`` of every row; class is a digest of the set, null where that is empty."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,7 +124,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rows = []
             for key, text in zip(batch["id"], batch["text"], strict=True):
                 s = shingles(text)
-                keys, sketch = signature(s) if len(s) else (None, None)
+                keys, sketch = signature(s, by) if len(s) else (None, None)
                 rows.append((key, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, keys, sketch))
             yield pd.DataFrame(rows, columns=["id", "n", "class", "bands", "sketch"])
 
@@ -131,18 +143,22 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     return picked.mapInPandas(sets, "id long, shingles binary")
 
 
-@F.pandas_udf(BooleanType())
-def linked(a: pd.Series, b: pd.Series) -> pd.Series:
+def linked(a: Column, b: Column, by: Banding) -> Column:
     """Whether two full sets reach the threshold."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        both = np.intersect1d(s, t, assume_unique=True).size
-        out.append(100 * both >= LINK * (s.size + t.size - both))
-    return pd.Series(out, dtype="bool")
+
+    @F.pandas_udf(BooleanType())
+    def reach(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = np.intersect1d(s, t, assume_unique=True).size
+            out.append(100 * both >= by.link * (s.size + t.size - both))
+        return pd.Series(out, dtype="bool")
+
+    return reach(a, b)
 
 
-def _links_in_block(group: pd.DataFrame) -> pd.DataFrame:
+def _links_in_block(group: pd.DataFrame, by: Banding) -> pd.DataFrame:
     """One verified link for each two components of a block's members that any link joins."""
     group = group.drop_duplicates("id").sort_values("id")
     ids, sets = group["id"].to_numpy(), [np.frombuffer(x, np.uint64) for x in group["shingles"]]
@@ -152,7 +168,7 @@ def _links_in_block(group: pd.DataFrame) -> pd.DataFrame:
     sketches = np.array(group["sketch"].tolist(), np.int64).view(np.uint64)
     part, flags, found = group["component"].to_numpy().copy(), np.zeros(inverse.max() + 1, bool), []
     for k in range(len(ids)):
-        near = estimate(np.bitwise_count(sketches ^ sketches[k]).sum(axis=1)) >= LEAST_ESTIMATE
+        near = estimate(np.bitwise_count(sketches ^ sketches[k]).sum(axis=1), by) >= by.least_estimate
         near &= part != part[k]
         near[:k] = False
         if not near.any():
@@ -161,14 +177,14 @@ def _links_in_block(group: pd.DataFrame) -> pd.DataFrame:
         flags[own] = True
         both = np.add.reduceat(flags[inverse], starts, dtype=np.int64)
         flags[own] = False
-        for j in np.flatnonzero(near & (100 * both >= LINK * (sizes + sizes[k] - both))):
+        for j in np.flatnonzero(near & (100 * both >= by.link * (sizes + sizes[k] - both))):
             if part[j] != part[k]:
                 found.append((ids[k], ids[j]))
                 part[part == part[j]] = part[k]
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
-def near_links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def near_links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, by: Banding) -> DataFrame:
     """Links ``a, b`` between classes, enough to connect whatever any link connects."""
     members = classes.select("id", F.explode("bands").alias("key"))
     heads = members.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).filter("size > 1")
@@ -179,11 +195,11 @@ def near_links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str)
     likely = (
         pairs.join(sketches, "id")
         .join(sketches.select(F.col("id").alias("head"), F.col("sketch").alias("sketch2")), "head")
-        .filter(estimate(differing_bits(F.col("sketch"), F.col("sketch2"))) >= LEAST_ESTIMATE)
+        .filter(estimate(differing_bits(F.col("sketch"), F.col("sketch2")), by) >= by.least_estimate)
         .select("id", "head")
     )
     tested = likely.join(sets, "id").join(sets.select(F.col("id").alias("head"), F.col("shingles").alias("shingles2")), "head")
-    first = checkpointed(tested.filter(linked("shingles", "shingles2")).select(F.col("head").alias("a"), F.col("id").alias("b")))
+    first = checkpointed(tested.filter(linked(F.col("shingles"), F.col("shingles2"), by)).select(F.col("head").alias("a"), F.col("id").alias("b")))
     part = connected_components(first).select(F.col("node").alias("id"), "component")
     placed = shared.filter("size > 2").join(part, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high")
@@ -194,20 +210,20 @@ def near_links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str)
         "key", "id", "component", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high")
     )
     ready = dealt.join(sketches, "id").join(sets, "id").select("key", "low", "high", "id", "component", "sketch", "shingles")
-    second = ready.groupBy("key", "low", "high").applyInPandas(_links_in_block, "a long, b long")
+    second = ready.groupBy("key", "low", "high").applyInPandas(lambda group: _links_in_block(group, by), "a long, b long")
     return first.unionByName(second)
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: Banding = LINK_85) -> DataFrame:
     """All rows and columns, with ``n_shingles, component_id, kept``."""
-    signed = checkpointed(signatures(docs, id_col, text_col))
+    signed = checkpointed(signatures(docs, id_col, text_col, by))
     classes = (
         signed.filter(F.col("class").isNotNull() & F.col("id").isNotNull())
         .groupBy("class")
         .agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     )
     classes = checkpointed(classes)
-    part = connected_components(near_links(classes, docs, id_col, text_col)).select(F.col("node").alias("id"), "component")
+    part = connected_components(near_links(classes, docs, id_col, text_col, by)).select(F.col("node").alias("id"), "component")
     named = classes.select("class", "id").join(part, "id", "left").select("class", F.coalesce("component", "id").alias("component"))
     key, own = fresh_name(docs, "id_"), F.coalesce("component", "id")
     told = signed.select("id", "n", "class").join(named, "class", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
