@@ -1,9 +1,13 @@
-"""SentencePiece encoding and decoding by a streaming Viterbi search.
+"""SentencePiece encoding and decoding by a streaming search.
 
-The segmentation with the highest sum of piece scores; among equal sums the one
+The scores of a BPE model rank its merges. Its segmentation is the one in which
+each two neighbours stay apart when they are merged on their own, and each
+prefix of a text has just one last piece that does so: a back-pointer holds only
+there, and the ids are the library's. For other models the search is Viterbi's:
+the segmentation with the highest sum of piece scores; among equal sums the one
 whose last piece is longest, decided from left to right. Characters that no
-piece covers become byte pieces, ten below the lowest score. The search keeps
-scores for a window of the longest piece only, and commits ids as soon as all
+piece covers become byte pieces, for Viterbi ten below the lowest score. The
+search keeps a window of the longest piece only, and commits ids as soon as all
 surviving back-pointer paths meet in one boundary, so a text of any length
 streams through.
 
@@ -34,6 +38,8 @@ MEMORY, LONGEST = 1_000_000, 200
 MARK = "▁"
 # Fixed values of the model file: kinds of pieces that text can match, and of bytes.
 MATCHED, BYTE = (1, 4), 6
+# Where the model file says how it was trained, and the value for BPE.
+TRAINER, MODEL_TYPE, BPE = 2, 3, 2
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -63,7 +69,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
 
 
 class Pieces:
-    """The pieces of one model file."""
+    """The pieces of one model file, searched by their sums of scores."""
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
@@ -92,6 +98,9 @@ class Pieces:
         self.cut_at_blanks = not any(re.search(r"[^ ] ", p) for p in self.ids)
         self.parts = _Parts(self)
 
+    def stream(self) -> StreamingViterbi:
+        return StreamingViterbi(self)
+
     def encode(self, text: str | None) -> bytes:
         """The ids of a text as little-endian 32-bit numbers."""
         if not text:
@@ -115,7 +124,7 @@ class _Parts(dict):
     def __missing__(self, part: str) -> bytes:
         ids = self.old.get(part)
         if ids is None:
-            stream = StreamingViterbi(self.pieces)
+            stream = self.pieces.stream()
             ids = np.array(stream.feed(part) + stream.finish(), "<i4").tobytes()
         if len(part) <= LONGEST:
             if len(self) >= MEMORY // 2:
@@ -202,9 +211,76 @@ class StreamingViterbi:
         return self._commit(len(self.text))
 
 
+class MergedPieces(Pieces):
+    """The pieces of a BPE model, in the order of its merges."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        self.known: dict[tuple[str, str], bool] = {}
+
+    def stream(self) -> StreamingMerges:
+        return StreamingMerges(self)
+
+    def merge(self, text: str) -> list[str]:
+        """Plain merging, highest score first and then leftmost; here only for one or two pieces."""
+        parts, none = list(text), float("-inf")
+        while len(parts) > 1:
+            scores = [self.walk.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
+            scores = [none if x is None else x for x in scores]
+            best = max(scores)
+            if best == none:
+                break
+            at = scores.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def apart(self, a: str, b: str) -> bool:
+        """Whether a and b, side by side, are encoded as just these two."""
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        ok = self.known[(a, b)] = self.merge(a + b) == ([a, b] if a else [b])
+        return ok
+
+
+class StreamingMerges(StreamingViterbi):
+    """The same window and commits; a back-pointer holds where the last two pieces stay apart."""
+
+    def __init__(self, pieces: MergedPieces) -> None:
+        super().__init__(pieces)
+        self.last = [""]  # the piece that ends at each boundary
+
+    def _grow(self, text: str) -> None:
+        super()._grow(text)
+        self.last += [""] * len(text)
+
+    def _weigh(self, upto: int) -> None:
+        """Just one start is right for each end."""
+        p, text, back, last, size = self.pieces, self.text, self.back, self.last, len(self.text)
+        walk, known, nothing = p.walk.get, p.known.get, float("inf")
+        for start in range(self.start, upto):
+            here = last[start]
+            for end in range(start + 1, size + 1):
+                piece = text[start:end]
+                score = walk(piece, nothing)
+                if back[end] < 0 and (end == start + 1 or (score is not None and score != nothing)):
+                    ok = known((here, piece))
+                    if p.apart(here, piece) if ok is None else ok:
+                        back[end], last[end] = start, piece
+                if score == nothing:
+                    break
+        self.start = max(self.start, upto)
+
+    def _commit(self, upto: int) -> list[int]:
+        ids = super()._commit(upto)
+        self.last = self.last[max(0, upto) :]
+        return ids
+
+
 @functools.cache
 def pieces(path: str) -> Pieces:
-    return Pieces(path)
+    with open(path, "rb") as f:
+        trainer = next((dict(_fields(body)) for field, body in _fields(f.read()) if field == TRAINER), {})
+    return MergedPieces(path) if trainer.get(MODEL_TYPE, 1) == BPE else Pieces(path)
 
 
 def encode_text(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

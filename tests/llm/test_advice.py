@@ -3,7 +3,10 @@
 import random
 
 import corpus_pipeline
-from stormframe.llm import near_dedup
+import numpy as np
+import public_tokenizers
+import sentencepiece
+from stormframe.llm import near_dedup, pieces
 
 ROW = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -29,3 +32,21 @@ def test_pipeline_stage_links_from_080_on(spark):
     kept = {k for k in range(len(texts)) if not any(near(sets[k], sets[j], 80) for j in range(k))}
     out = corpus_pipeline.minhash_near_dedup(spark, rows(spark, enumerate(texts)), "")
     assert {x["doc_id"] for x in out.collect()} == kept
+
+
+def test_piece_ids_match_library(spark):
+    path, r = public_tokenizers.path(pieces.MODEL), random.Random(6)
+    library, ours = sentencepiece.SentencePieceProcessor(model_file=path), pieces.pieces(path)
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = [" population the government", "x" * 5000, " " * 300, "  a   b ", "\u65e5\u672c\u8a9e \U0001f300\n\n x", "\x00\u00e9" * 70]
+    texts += ["".join(r.choice("abcth eing") for _ in range(600)).replace(" ", "" if k % 2 else " ") for k in range(20)]
+    texts += [x["text"] for x in d.collect() if x["text"]]
+    assert len(ours.encode("population the government")) == 4 * 3
+    for text in texts:
+        ids = library.encode(text)
+        if "\u2581" not in text:  # the library takes the mark for a blank; here it is written as bytes
+            assert np.frombuffer(ours.encode(text), "<i4").tolist() == ids
+            stream, got = ours.stream(), []
+            for k in range(0, len(text) + 1, 97):
+                got += stream.feed((" " + text)[k : k + 97])
+            assert got + stream.finish() == ids
