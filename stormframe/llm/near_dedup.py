@@ -14,9 +14,13 @@ on and no list of pairs of a group is made. Components come from rounds of joins
 
 Defined cases: A-Z are lower-cased, words are runs without ASCII white space; a
 text with fewer words than a shingle is one shingle; a null text or one without
-words has an empty set and is linked with nothing; equal texts, repeated rows
-included, share a class; a null id is never a representative; other columns
-pass through ``near_groups`` and a clashing name is replaced.
+words has an empty set, is linked with nothing and stays; equal texts, repeated
+rows included, share a class. ``component_id`` is the least id of a component,
+and ``kept`` is true for one row of it: of the rows with that id (rows of a null
+id count as one id, after all others) those with the least hash of their text,
+and of repeated rows one. Different texts of one id are judged apart. Other
+columns pass through ``near_groups`` and a clashing name is replaced. The digest
+has its SQL's ``kept``, which is told by the id alone.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from stormframe.llm.common import checkpointed, fresh_name
+from stormframe.llm.common import checkpointed, fresh_name, stored
 from stormframe.llm.components import connected_components
 
 SHINGLE = 5
@@ -116,30 +120,41 @@ def differing_bits(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+def row_key(id_col: str, text_col: str) -> tuple[Column, Column, Column]:
+    """``missing, id, h``: rows that agree in these repeat one document. None of them is null."""
+    missing = F.col(id_col).isNull()
+    return missing, F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.xxhash64(F.coalesce(text_col, F.lit("")), missing)
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    missing, key, h = row_key(id_col, text_col)
+    return docs.select(missing.alias("missing"), key.alias("id"), h.alias("h"), F.col(text_col).alias("text"))
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, by: Banding = LINK_85) -> DataFrame:
-    """``id, n, class, bands, sketch`` of every row; class is a digest of the set, null where that is empty."""
+    """``missing, id, h, n, class, bands, sketch`` of every row; class is a digest of the set, null where that is empty."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for key, text in zip(batch["id"], batch["text"], strict=True):
+            for *key, text in zip(batch["missing"], batch["id"], batch["h"], batch["text"], strict=True):
                 s = shingles(text)
                 keys, sketch = signature(s, by) if len(s) else (None, None)
-                rows.append((key, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, keys, sketch))
-            yield pd.DataFrame(rows, columns=["id", "n", "class", "bands", "sketch"])
+                rows.append((*key, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, keys, sketch))
+            yield pd.DataFrame(rows, columns=["missing", "id", "h", "n", "class", "bands", "sketch"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return picked.mapInPandas(sign, "id long, n long, class binary, bands array<long>, sketch array<long>")
+    return keyed(docs, id_col, text_col).mapInPandas(sign, "missing boolean, id long, h long, n long, class binary, bands array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, shingles`` of the wanted ids."""
+    """``id, shingles`` of the wanted classes ``id, rep``; a repeated row gives its class again."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "shingles": [shingles(t).tobytes() for t in batch["text"]]})
 
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted.select("id"), "id", "left_semi")
+    named = wanted.select(F.col("id").alias("node"), "rep.id", "rep.h")
+    picked = keyed(docs, id_col, text_col).join(named, ["id", "h"]).select(F.col("node").alias("id"), "text")
     return picked.mapInPandas(sets, "id long, shingles binary")
 
 
@@ -184,13 +199,15 @@ def _links_in_block(group: pd.DataFrame, by: Banding) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
-def near_links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, by: Banding) -> DataFrame:
+def near_links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, by: Banding, repeated: bool) -> DataFrame:
     """Links ``a, b`` between classes, enough to connect whatever any link connects."""
     members = classes.select("id", F.explode("bands").alias("key"))
     heads = members.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).filter("size > 1")
     shared = checkpointed(members.join(heads, "key"))
     sketches = classes.select("id", "sketch")
-    sets = checkpointed(full_sets(docs, shared.select("id").distinct(), id_col, text_col))
+    wanted = classes.join(shared.select("id").distinct(), "id", "left_semi")
+    sets = full_sets(docs, wanted, id_col, text_col)
+    sets = checkpointed(sets.dropDuplicates(["id"]) if repeated else sets)
     pairs = shared.filter("id <> head").select("id", "head").distinct()
     likely = (
         pairs.join(sketches, "id")
@@ -217,20 +234,45 @@ def near_links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str,
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: Banding = LINK_85) -> DataFrame:
     """All rows and columns, with ``n_shingles, component_id, kept``."""
     signed = checkpointed(signatures(docs, id_col, text_col, by))
+    documents = signed.groupBy("missing", "id", "h").agg(F.first("n").alias("n"), F.first("class").alias("class"), F.count("*").alias("rows"))
+    repeated = not documents.filter("rows > 1 and class is not null").isEmpty()
     classes = (
-        signed.filter(F.col("class").isNotNull() & F.col("id").isNotNull())
+        signed.filter(F.col("class").isNotNull())
         .groupBy("class")
-        .agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        .agg(F.min(F.struct("missing", "id", "h")).alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    )
+    # Classes have numbers of their own, as several may share an id or have none.
+    classes = checkpointed(classes.withColumn("id", F.monotonically_increasing_id()))
+    part = connected_components(near_links(classes, docs, id_col, text_col, by, repeated)).select(F.col("node").alias("id"), "component")
+    linked_classes = classes.select("id", "class", "rep").join(part, "id")
+    best = linked_classes.groupBy("component").agg(F.min("rep").alias("best"))
+    named = classes.select("id", "class", "rep").join(linked_classes.join(best, "component").select("id", "best"), "id", "left")
+    named = named.select(F.col("class").alias("class_"), F.coalesce("best", "rep").alias("rep"))
+    key, h, rows = (fresh_name(docs, c) for c in ("id_", "h_", "rows_"))
+    told = documents.join(named, F.col("class") == F.col("class_"), "left").select(
+        F.col("id").alias(key),
+        F.col("h").alias(h),
+        F.when(F.col("class").isNotNull(), F.col("rows")).otherwise(0).alias(rows),
+        F.col("n").alias("n_shingles"),
+        F.when(~F.coalesce("rep.missing", "missing"), F.coalesce("rep.id", "id")).alias("component_id"),
+        (F.col("class").isNull() | ((F.col("id") == F.col("rep.id")) & (F.col("h") == F.col("rep.h")))).alias("kept"),
     )
-    classes = checkpointed(classes)
-    part = connected_components(near_links(classes, docs, id_col, text_col, by)).select(F.col("node").alias("id"), "component")
-    named = classes.select("class", "id").join(part, "id", "left").select("class", F.coalesce("component", "id").alias("component"))
-    key, own = fresh_name(docs, "id_"), F.coalesce("component", "id")
-    told = signed.select("id", "n", "class").join(named, "class", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
-    told = told.dropDuplicates([key])
-    plain = docs.drop("n_shingles", "component_id", "kept")
-    return plain.join(told, plain[id_col].cast("long").eqNullSafe(told[key])).drop(key).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
+    _, own, own_h = row_key(id_col, text_col)
+    plain = docs.drop("n_shingles", "component_id", "kept").withColumns({key: own, h: own_h})
+    if not repeated:
+        return plain.join(told, [key, h]).drop(key, h, rows)
+    # Of the rows that repeat a document that stays, the first in the order of their other columns is kept.
+    told = checkpointed(told)
+    twice = told.filter(F.col("kept") & (F.col(rows) > 1)).select(key, h)
+    tag = fresh_name(docs, "tag_")
+    order = F.struct(F.xxhash64(*[c for c in plain.columns if not plain.schema[c].dataType.typeName() == "map"]).alias("x"), F.monotonically_increasing_id().alias("k"))
+    again = stored(plain.join(twice, [key, h], "left_semi").withColumn(tag, order))
+    first = again.groupBy(key, h).agg(F.min(tag).alias("first_"))
+    chosen = again.join(first, [key, h]).join(told.drop("kept"), [key, h]).withColumn("kept", F.col(tag) == F.col("first_")).drop(tag, "first_")
+    others = plain.join(twice, [key, h], "left_anti").join(told, [key, h])
+    return others.unionByName(chosen).drop(key, h, rows)
 
 
 def near_digest(docs: DataFrame) -> DataFrame:
-    return near_groups(docs.select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    return near_groups(docs.select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", kept)

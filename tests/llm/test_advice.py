@@ -50,3 +50,19 @@ def test_piece_ids_match_library(spark):
             for k in range(0, len(text) + 1, 97):
                 got += stream.feed((" " + text)[k : k + 97])
             assert got + stream.finish() == ids
+
+
+def test_one_row_of_a_group_through_stages_3_and_4(spark):
+    r = random.Random(7)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    twice, none, near, shared, other, nulls, many = (text() for _ in range(7))
+    pairs = [(1, twice), (1, twice), (None, none), (3, near), (None, near + " end"), (4, shared), (4, other), (2, other), (None, nulls), (None, nulls)]
+    pairs += [(6, many), (5, many), (5, many), (7, ""), (None, None), (0, text())]
+    d = rows(spark, pairs)
+    out = corpus_pipeline.minhash_near_dedup(spark, d, "").cache()
+    expected = [(1, twice), (None, none), (3, near), (4, shared), (2, other), (None, nulls), (5, many), (7, ""), (None, None), pairs[-1]]
+    assert sorted(map(str, expected)) == sorted(str((x["doc_id"], x["text"])) for x in out.collect())
+    after = corpus_pipeline.suffix_array_dedup(spark, out, "")
+    assert sorted(map(str, [(k, t or "") for k, t in expected])) == sorted(str((x["doc_id"], x["text"] or "")) for x in after.collect())
+    told = {(x["doc_id"], x["text"]): x["component_id"] for x in near_dedup.near_groups(d).collect()}
+    assert [told[k] for k in ((4, other), (4, shared), (None, none), (None, near + " end"), (6, many))] == [2, 4, None, 3, 5]
