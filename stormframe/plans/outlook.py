@@ -9,9 +9,22 @@ from stormframe.functions.geometry import offset_point
 from stormframe.functions.scalars import round_half_up
 from stormframe.functions.text import MPH_TO_KT, compass_degrees, formation_chance, found, leftmost_key, one_line, paragraphs, rejoin_wraps, sentences
 
-# What makes a sentence speak of a feature, of another basin, or of a model or section.
-FEATURE = r"(?i)\b(low|wave|trough|disturbance|system|depression|storm|gyre|circulation|area of)\b"
-ELSEWHERE = r"(?i)\b(see|section|model|guidance)\b"
+# What makes a sentence speak of a feature, of one that has left its basin, or of a model or section;
+# the names of climatology that hold a noun of a feature. EP text says of arrivals what AT text says of departures.
+FEATURE = r"(?i)\b(?:wave|low|disturbance|disturbed|trough|area|system|gyre)\b"
+ELSEWHERE = r"(?i)\brefer to\b|\b(?:gfs|ecmwf|nam|model)\b"
+LEFT_BASIN = {
+    "AT": r"(?i)\bmoved\s+(?:in)?to\s+the\s+(?:eastern\s+)?pacific\b",
+    "EP": r"(?i)\b(?:in)?to\s+the\s+central\s+pacific\b|\bw(?:est)?\s+of\s+140w\b|\bcrossed\s+140w\b|\bmoved\s+inland\b",
+}
+_CLIMATOLOGY = (
+    r"(?i)(?:colombian|panama)\s+low|(?:bermuda-azores|bermuda|azores)\s+high|(?:subtropical|atlantic)\s+ridge|\w+\s+warning\s+area"
+    r"|(?:north|south|east|west)\s+of\s+the\s+(?:forecast\s+)?area|this\s+area"
+)
+CLIMATOLOGY = {
+    "AT": _CLIMATOLOGY,
+    "EP": _CLIMATOLOGY + r"|(?:tehuantepec|papagayo)\s+(?:gap\s+)?winds?(?:\s+(?:event|area))?|gap\s+wind\s+(?:event|area)",
+}
 OFFSET = r"(?:(?:a\s+)?(couple|few|several)(?:\s+of)?\s+hundred|(\d{2,4}))\s+(nautical\s+)?miles\s+(?:to\s+the\s+)?([a-z][a-z-]{1,20})\s+of\s+([\s\S]+)$"
 VAGUE = r"\b(?:well|far)\s+(?:to\s+the\s+)?([a-z-]{1,20})\s+of\s+(?:the\s+)?$"
 TITLE = r"^\s*(?:\d+\.\s*)?([^:.]{1,80}):"
@@ -48,13 +61,22 @@ def resolve_place(phrase: Column, places: Gazetteer) -> Column:
     return F.coalesce(middle, away, F.when(~vague, anchor_point(p, places)))
 
 
+def locates(sentence: Column, basin: Column) -> Column:
+    """Whether a sentence speaks of a feature of its basin, and not of a model or another section."""
+
+    def gate(name: str) -> Column:
+        return ~sentence.rlike(LEFT_BASIN[name]) & F.regexp_replace(sentence, CLIMATOLOGY[name], " ").rlike(FEATURE)
+
+    return ~sentence.rlike(ELSEWHERE) & F.when(basin == "EP", gate("EP")).otherwise(gate("AT"))
+
+
 def disturbances(products: DataFrame, places: Gazetteer) -> DataFrame:
     """Areas of outlook products: ``file, basin, stamp, ts, id, invest, lat, lon, chance48, chance7, source, context``.
 
     A paragraph with a line of odds ends an area; its body takes in the paragraph
     before if it starts with the odds, or if that one is titled and it is not.
     A place in the title counts as it is, one in a sentence only if the
-    sentence speaks of a feature of this basin.
+    sentence speaks of a feature that has not left this basin.
     """
     cut = products.filter("kind = 'TWO'").select("file", "basin", "stamp", "ts", F.posexplode(paragraphs(rejoin_wraps(F.col("text")))).alias("n", "chunk"))
     order = Window.partitionBy("file").orderBy("n")
@@ -67,8 +89,7 @@ def disturbances(products: DataFrame, places: Gazetteer) -> DataFrame:
     ends = ends.withColumn("flat", one_line(F.col("body")))
     prose = one_line(F.array_join(F.filter(F.split("body", "\n"), lambda x: ~x.rlike(r"^\s*\*")), " "))
     ends = ends.withColumn("prose", prose).withColumn("title", found(F.col("prose"), TITLE))
-    speaks = lambda s: s.rlike(FEATURE) & ~s.rlike(ELSEWHERE)
-    by_sentence = F.filter(F.transform(F.filter(sentences(F.col("prose")), speaks), lambda s: resolve_place(s, places)), lambda x: x.isNotNull())
+    by_sentence = F.filter(F.transform(F.filter(sentences(F.col("prose")), lambda s: locates(s, F.col("basin"))), lambda s: resolve_place(s, places)), lambda x: x.isNotNull())
     ends = ends.withColumn("pos", F.coalesce(resolve_place(F.col("title"), places), F.get(by_sentence, F.lit(0))))
     return ends.select(
         "file",
