@@ -7,20 +7,19 @@ from pyspark.sql import functions as F
 
 from stormframe.llm.common import checkpointed
 
-ROUNDS = 60
-
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the least node reachable) of every node with an edge in ``a, b``.
 
     Alternates large-star and small-star steps: each node's larger, then its
-    smaller, neighbours are linked to the least one, until the edges are stars.
+    smaller, neighbours are linked to the least one, until the edges are stars
+    (in a number of rounds that grows with the logarithm of the longest path).
     Minima are combined before they are shuffled, and a join deals a node's
     neighbours out, so a node with very many of them can be split.
     """
     now = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = _mark(now)
-    for _ in range(ROUNDS):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

@@ -1,4 +1,4 @@
-"""Bounded samples of labelled rows, and sums of dense tables over a few partitions."""
+"""Bounded samples of labelled rows, and sums of dense tables over all partitions."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from stormframe.llm.common import checkpointed
 
-#: Partitions that a bounded sample is read in, and the rows of a table that are summed together.
-PARTS, CHUNK = 8, 4096
+#: Partitions that a bounded sample is read in; bytes of a table that are summed together; groups that partial sums are added up in first.
+PARTS, CHUNK_BYTES, SHARES = 8, 1 << 16, 64
 
 
 def bounded(labels: DataFrame, label: str, wanted: Column, rows: int) -> DataFrame:
@@ -25,36 +25,53 @@ def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """``label, text`` of the chosen ids: a bounded side is sent to the texts, which stay where they are."""
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
     # The few rows found are dealt out anew; merging partitions instead would read all texts in as few tasks.
-    return checkpointed(found.repartition(PARTS, "doc_id"))
+    return checkpointed(found.repartition(PARTS))
 
 
-def summed(sample: DataFrame, add: Callable[[np.ndarray, pd.DataFrame], None], rows: int, width: int) -> DataFrame:
-    """A dense (rows, width) table of 32-bit sums, as ``chunk, sums`` rows.
+def _chunk(width: int) -> int:
+    """Rows of a 32-bit table of that width in a chunk."""
+    return max(1, CHUNK_BYTES // (4 * width))
 
-    ``add`` puts a batch into its partition's table; chunks of the tables of all
-    partitions are then summed. The table's size is a parameter and the sample
-    has PARTS partitions at most, so what moves is bounded.
+
+def summed(texts: DataFrame, add: Callable[[np.ndarray, pd.DataFrame], None], rows: int, width: int) -> DataFrame:
+    """A dense (rows, width) table of sums, as ``chunk, sums`` rows of 64-bit numbers.
+
+    ``add`` puts a batch into its partition's table of 32-bit numbers. Its chunks
+    that hold anything are then added one after the other, first in SHARES
+    groups, then in one for each chunk, so that a task holds one table and one
+    batch however many partitions there are. Sums of whole numbers are the same in any order.
     """
+    step = _chunk(width)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.zeros((rows, width), np.float32)
         for batch in batches:
             add(table, batch)
-        for k in range(0, rows, CHUNK):
-            yield pd.DataFrame({"chunk": [k], "sums": [table[k : k + CHUNK].tobytes()]})
+        for k in range(0, rows, step):
+            part = table[k : k + step]
+            if part.any():
+                yield pd.DataFrame({"chunk": [k], "sums": [part.astype(np.float64).tobytes()]})
 
-    def total(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        sums = np.sum([np.frombuffer(x, np.float32).astype(np.float64) for x in group["sums"]], axis=0)
-        return pd.DataFrame({"chunk": [key[0]], "sums": [sums.astype(np.float32).tobytes()]})
+    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, raw in zip(batch["chunk"], batch["sums"], strict=True):
+                part = np.frombuffer(raw, np.float64)
+                sums[chunk] = sums[chunk] + part if chunk in sums else part
+        for chunk, part in sums.items():
+            yield pd.DataFrame({"chunk": [chunk], "sums": [part.tobytes()]})
 
-    return sample.mapInPandas(partial, "chunk long, sums binary").groupBy("chunk").applyInPandas(total, "chunk long, sums binary")
+    kind = "chunk long, sums binary"
+    parts = texts.mapInPandas(partial, kind).withColumn("share", F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(SHARES)))
+    shares = parts.repartition("chunk", "share").select("chunk", "sums").mapInPandas(total, kind)
+    return shares.repartition("chunk").mapInPandas(total, kind)
 
 
 def table_of(chunks: DataFrame, rows: int, width: int) -> np.ndarray:
     """The summed table on the driver; its size is a parameter."""
-    out = np.zeros((rows, width), np.float32)
+    out = np.zeros((rows, width))
     for r in chunks.toLocalIterator():
-        got = np.frombuffer(r["sums"], np.float32).reshape(-1, width)
+        got = np.frombuffer(r["sums"], np.float64).reshape(-1, width)
         out[r["chunk"] : r["chunk"] + len(got)] = got
     return out
 

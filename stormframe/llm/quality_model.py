@@ -1,8 +1,8 @@
 """Quality classifier: random-indexing word vectors, pooled, under a small network.
 
 Each hashed word has a sparse random index vector; its context vector is the sum
-of its neighbours' index vectors over a bounded sample of labelled rows. Words
-count twice, as themselves and as their shape (runs of capitals, letters, digits
+of its neighbours' index vectors over all documents, for which no label is
+needed. Words count twice, as themselves and as their shape (runs of capitals, letters, digits
 and signs). A document is the mean of its words' context vectors, the mean of
 its shapes', and the mean product of the index vectors of adjacent words, which
 is large where words repeat. Two dense layers in numpy turn that into a
@@ -29,7 +29,7 @@ from stormframe.llm.common import crc_bucket
 from stormframe.llm.labelled import bounded, sigmoid, summed, table_of, texts_of
 
 WORDS, DIM, NONZERO, REACH, SEED = 1 << 14, 32, 6, 2, 20
-#: Bound of the fit: labelled rows, of which one in five fits the temperature.
+#: Bound of the fit of the network: labelled rows, of which one in five fits the temperature.
 ROWS, KEPT_OUT = 8000, 5
 HIDDEN, STEPS, RATE, DECAY = 32, 400, 0.01, 1e-4
 THRESHOLD = 0.3
@@ -108,16 +108,17 @@ class QualityModel:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", rows: int = ROWS) -> QualityModel:
-    """Learn vectors, network and temperature from at most ``rows`` labelled documents for which ``learn`` holds."""
+    """Learn vectors from all documents, network and temperature from at most ``rows`` labelled ones for which ``learn`` holds."""
     sample = texts_of(docs, bounded(labels, label, learn, rows))
     n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     prior = float(np.log((n.get(1, 0) + 1) / (n.get(0, 0) + 1)))
     zero = np.zeros(3 * DIM + 1, np.float32)
     if not n.get(0) or not n.get(1):
         return QualityModel(np.zeros((WORDS, 2 * DIM), np.float32), zero, zero + 1, None, 1.0, prior)
-    contexts = table_of(summed(sample, _add_contexts, WORDS, 2 * DIM), WORDS, 2 * DIM)
+    contexts = table_of(summed(docs.select("text"), _add_contexts, WORDS, 2 * DIM), WORDS, 2 * DIM)
     for half in (slice(0, DIM), slice(DIM, 2 * DIM)):
         contexts[:, half] /= np.maximum(np.linalg.norm(contexts[:, half], axis=1, keepdims=True), 1e-6)
+    contexts = contexts.astype(np.float32)
     model = QualityModel(contexts, zero, zero + 1, None, 1.0, prior)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -79,7 +79,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str =
     n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(n) < 2:
         return empty
-    seen = table_of(summed(sample, _count, BUCKETS, 2), BUCKETS, 2).astype(np.float64)
+    seen = table_of(summed(sample, _count, BUCKETS, 2), BUCKETS, 2)
     rate = (seen + SMOOTH) / (np.array([n[0], n[1]]) + 2 * SMOOTH)
     spread = np.sqrt((rate * (1 - rate) / np.array([n[0], n[1]])).sum(axis=1))
     sure = np.where(seen.sum(axis=1) >= SUPPORT, np.abs(rate[:, 1] - rate[:, 0]) / spread, 0)
