@@ -10,7 +10,8 @@ Candidates of a bucket are first compared with its least class only. Buckets
 whose members then still lie in several components are worked through exactly,
 in blocks: every member against all those outside its component, so that no
 link between different texts is lost, while at most one link a member is passed
-on and no list of pairs of a group is made. Components come from rounds of joins.
+on and no list of pairs of a group is made. Members of a bucket's main component
+are copied once for each block of members outside it. Components come from rounds of joins.
 
 Defined cases: A-Z are lower-cased, words are runs without ASCII white space; a
 text with fewer words than a shingle is one shingle; a null text or one without
@@ -57,7 +58,7 @@ class Banding(NamedTuple):
 #: under it.
 LINK_85, LINK_80 = Banding(85, 24, 5, 0.6), Banding(80, 27, 4, 0.55)
 #: Members of a bucket that one task compares with as many others.
-BLOCK = 1024
+BLOCK = 512
 MEMORY = 500_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -202,7 +203,8 @@ def _links_in_block(group: pd.DataFrame, by: Banding) -> pd.DataFrame:
 def near_links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, by: Banding, repeated: bool) -> DataFrame:
     """Links ``a, b`` between classes, enough to connect whatever any link connects."""
     members = classes.select("id", F.explode("bands").alias("key"))
-    heads = members.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).filter("size > 1")
+    # Stored before the join, so that adaptive execution can split a key of very many members.
+    heads = stored(members.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).filter("size > 1"))
     shared = checkpointed(members.join(heads, "key"))
     sketches = classes.select("id", "sketch")
     wanted = classes.join(shared.select("id").distinct(), "id", "left_semi")
@@ -219,13 +221,25 @@ def near_links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     first = checkpointed(tested.filter(linked(F.col("shingles"), F.col("shingles2"), by)).select(F.col("head").alias("a"), F.col("id").alias("b")))
     part = connected_components(first).select(F.col("node").alias("id"), "component")
     placed = shared.filter("size > 2").join(part, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high")
-    # A bucket of several blocks is dealt out by pairs of blocks.
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = placed.join(mixed.select("key", "size"), "key").withColumn("mine", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-        "key", "id", "component", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high")
+    placed = stored(placed)
+    parts = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "id").alias("main"))
+    mixed = parts.filter("low <> high").select("key", "main")
+    apart = F.col("component") != F.col("main")
+    counted = stored(placed.join(mixed, "key").groupBy("key", "main").agg(F.count_if(~apart).alias("inside"), F.count_if(apart).alias("outside")))
+    # Members of the main component, mostly all, are dealt out in blocks once; those outside it meet every block.
+    blocks, others = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("inside", "outside"))
+    placed = placed.join(counted, "key").withColumns({"blocks": blocks, "others": others, "apart": apart})
+    placed = placed.withColumn("mine", F.pmod(F.xxhash64("id"), F.when(F.col("apart"), F.col("others")).otherwise(F.col("blocks"))).cast("int"))
+    pair = lambda low, high: F.struct(low.alias("low"), high.alias("high"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    mine = F.col("mine")
+    outside = F.concat(
+        F.transform(upto("blocks"), lambda k: pair(k, mine)),
+        F.transform(F.filter(upto("others"), lambda k: k != mine), lambda k: pair(F.col("blocks") + F.least(k, mine), F.greatest(k, mine))),
     )
+    inside = F.transform(upto("others"), lambda k: pair(mine, k))
+    dealt = placed.select("key", "id", "component", F.explode(F.when(F.col("apart"), outside).otherwise(inside)).alias("block"))
+    dealt = dealt.select("key", "id", "component", "block.low", "block.high")
     ready = dealt.join(sketches, "id").join(sets, "id").select("key", "low", "high", "id", "component", "sketch", "shingles")
     second = ready.groupBy("key", "low", "high").applyInPandas(lambda group: _links_in_block(group, by), "a long, b long")
     return first.unionByName(second)

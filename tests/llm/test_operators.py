@@ -67,11 +67,40 @@ def test_repeats_match_brute_force(spark):
     texts = [*ODD, *base, base[0], base[1][:300] + base[2][100:420] + "zz", base[3][:199], "q" + base[3][50:249], base[4][:200] + "!" + base[4][700:]]
     got = suffix_dedup.repeat_digest(docs(spark, texts)).orderBy("doc_id").collect()
     assert [tuple(x)[1:] for x in got] == brute_repeats(texts)
+    # Anchors with more than one string are split down to single windows.
+    hot = suffix_dedup.repeat_digest(docs(spark, texts), hot=1).orderBy("doc_id").collect()
+    assert [tuple(x)[1:] for x in hot] == brute_repeats(texts)
     left = suffix_dedup.remove_repeats(docs(spark, texts).withColumn("id_", F.lit(1)))
     assert left.columns == ["doc_id", "text", "source", "id_"] and left.count() == len(texts)
     assert suffix_dedup.repeat_digest(empty(spark)).count() == 0
 
 
+def test_repeats_of_a_hot_line(spark):
+    r = random.Random(4)
+    tail = lambda n: "".join(r.choice("ab ") for _ in range(n))
+    line, passage = tail(150), tail(230)
+    texts = [tail(r.randrange(60)) + line + (tail(40)[: r.randrange(40)]) + (passage if k % 3 else line) + tail(90) for k in range(40)] + [line + line[:49], line + passage[:50]] * 2
+    want = brute_repeats(texts)
+    for hot in (3, 12):
+        got = suffix_dedup.repeat_digest(docs(spark, texts), hot=hot).orderBy("doc_id").collect()
+        assert [tuple(x)[1:] for x in got] == want
+
+
+def test_merged_transforms_give_common_prefixes(monkeypatch):
+    r = random.Random(5)
+    base = ["".join(r.choice("ab") for _ in range(400)).encode() for _ in range(4)]
+    strings = [b[a : a + r.randrange(200, 300)] for b in base for a in range(0, 100, 9)]
+    seen = collections.Counter(s[i : i + 200] for s in strings for i in range(len(s) - 199))
+    want = [i <= len(s) - 200 and seen[s[i : i + 200]] > 1 for s in strings for i in range(len(s))]
+    for size in (300, 2000, 60000):
+        monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", size)
+        assert suffix_dedup.merged_intervals(strings, np.ones(len(strings))).tolist() == want
+    text = np.frombuffer(b"abcabcabd" * 40 + b"\0" * suffix_dedup.SYMBOL, np.uint8)
+    names, k = suffix_dedup.symbol_names(text), suffix_dedup.SYMBOL
+    raw = text.tobytes()
+    assert len({(names[i], raw[i : i + k]) for i in range(len(raw) - k)}) == len({raw[i : i + k] for i in range(len(raw) - k)}) == len(set(names[: len(raw) - k].tolist()))
+
+
 def test_pieces_match_plain_viterbi(spark):
     p = pieces.Pieces(public_tokenizers.path(pieces.MODEL))
     r = random.Random(2)
