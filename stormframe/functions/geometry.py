@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stormframe.functions.scalars import cone_radius
+from stormframe.functions.text import bind
 
 
 def offset_point(lat: Column, lon: Column, bearing: Column, nm: Column) -> Column:
@@ -47,10 +48,9 @@ def segment_distance(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2:
 
 def quadrant_ring(lat: Column, lon: Column, radii: list[Column]) -> Column:
     """Four arcs of 16 points, at each quadrant's own radius (north-east, south-east, south-west, north-west)."""
-    by_quadrant = F.array(*radii)
     arcs = F.transform(
-        F.sequence(F.lit(0), F.lit(3)),
-        lambda q: F.transform(F.sequence(F.lit(0), F.lit(90), F.lit(6)), lambda d: offset_point(lat, lon, (q * 90 + d).cast("double"), F.get(by_quadrant, q))),
+        F.array(*radii),
+        lambda r, q: F.transform(F.sequence(F.lit(0), F.lit(90), F.lit(6)), lambda d: offset_point(lat, lon, (q * 90 + d).cast("double"), r)),
     )
     return F.flatten(arcs)
 
@@ -59,12 +59,17 @@ def forecast_cone(points: Column, basin: Column, steps: int = 8) -> Column:
     """The ring around an array of ``lat, lon, hours``: one side outwards, a cap, the other side back, a cap.
 
     Each point is set off square to its heading, which is the mean of those to
-    its neighbours; null with fewer than two points.
+    its neighbours; null with fewer than two points. The points, and the points
+    with their headings, are worked out once each.
     """
+    return bind(points, lambda p: F.when(F.size(p) >= 2, bind(_headed(p, basin), lambda h: _cone(h, steps))))
+
+
+def _headed(points: Column, basin: Column) -> Column:
     n = F.size(points)
     at = lambda i: F.get(points, i)
     course = lambda i: heading(at(i)["lat"], at(i)["lon"], at(i + 1)["lat"], at(i + 1)["lon"])
-    headed = F.transform(
+    return F.transform(
         points,
         lambda p, i: F.struct(
             p["lat"].alias("lat"),
@@ -73,18 +78,43 @@ def forecast_cone(points: Column, basin: Column, steps: int = 8) -> Column:
             cone_radius(F.coalesce(p["hours"], F.lit(0)), basin).alias("nm"),
         ),
     )
+
+
+def _cone(headed: Column, steps: int) -> Column:
     side = lambda turn: F.transform(headed, lambda p: offset_point(p["lat"], p["lon"], p["course"] + turn, p["nm"]))
 
     def cap(p: Column, turn: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.lit(steps - 1)), lambda k: offset_point(p["lat"], p["lon"], p["course"] + turn + k * (180.0 / steps), p["nm"]))
 
-    return F.when(n >= 2, F.concat(side(-90), cap(F.get(headed, n - 1), -90), F.reverse(side(90)), cap(F.get(headed, F.lit(0)), 90)))
+    return F.concat(side(-90), cap(F.element_at(headed, -1), -90), F.reverse(side(90)), cap(F.element_at(headed, 1), 90))
 
 
 def ring_area(ring: Column) -> Column:
-    """Shoelace area in square degrees."""
-    pairs = F.zip_with(ring, F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1)), lambda p, q: p["lon"] * q["lat"] - q["lon"] * p["lat"])
-    return F.abs(F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x)) / 2
+    """Shoelace area in square degrees, in one pass that carries the point before."""
+
+    def area(points: Column) -> Column:
+        start = F.struct(F.element_at(points, -1)["lon"].alias("x"), F.element_at(points, -1)["lat"].alias("y"), F.lit(0.0).alias("sum"))
+        step = lambda a, p: F.struct(p["lon"].alias("x"), p["lat"].alias("y"), (a["sum"] + a["x"] * p["lat"] - p["lon"] * a["y"]).alias("sum"))
+        return F.abs(F.aggregate(points, start, step, lambda a: a["sum"])) / 2
+
+    return bind(ring, lambda points: F.when(F.size(points) > 0, area(points)))
+
+
+def wind_field(center: Column, radii: Column) -> Column:
+    """``kt, ring`` of each threshold of a map of quadrant radii, ascending; null without radii."""
+
+    def band(kt: Column) -> Column:
+        q = F.element_at(radii, kt)
+        return F.struct(kt.alias("kt"), quadrant_ring(center["lat"], center["lon"], [q[k] for k in ("ne", "se", "sw", "nw")]).alias("ring"))
+
+    return F.when(F.size(radii) > 0, F.transform(F.array_sort(F.map_keys(radii)), band))
+
+
+def day_band(lat: Column, lon: Column, motion: Column) -> Column:
+    """``slow, fast, band``: where the slow and the fast end of a stated motion lead in a day; null without a bearing."""
+    slow, fast = (project_day(lat, lon, motion["bearing"], motion[k]) for k in ("slow_kt", "fast_kt"))
+    told = F.struct(slow.alias("slow"), fast.alias("fast"), (motion["slow_kt"] != motion["fast_kt"]).alias("band"))
+    return F.when(motion["bearing"].isNotNull() & lat.isNotNull(), told)
 
 
 def collapse_repeats(line: Column) -> Column:
@@ -148,5 +178,34 @@ def clip_rings(df: DataFrame, column: str, box: tuple[float, float, float, float
     return _on_points(df, column, lambda r: _clip_ring(r, box))
 
 
+def clip_lines(df: DataFrame, column: str, box: tuple[float, float, float, float] = (-145, -5, 5, 45)) -> DataFrame:
+    """A row for each stretch of a line inside (west, south, east, north), with the point before it and the one after it.
+
+    Stretches are numbered by the points outside before them; all as expressions, without Python.
+    """
+    w, s, e, n = box
+    inside = lambda p: p["lon"].between(w, e) & p["lat"].between(s, n)
+    count = F.size(column)
+    # A stretch begins at an inner point that no inner point stands before.
+    begins = F.filter(F.sequence(F.lit(0), count - 1), lambda k: inside(F.get(column, k)) & ~F.coalesce(inside(F.get(column, k - 1)), F.lit(False)))
+    cut = df.filter(count > 0).withColumn("_begin", F.explode(begins))
+    outside = F.filter(F.sequence(F.col("_begin"), count - 1), lambda k: ~inside(F.get(column, k)))
+    end = F.coalesce(F.get(outside, F.lit(0)), count - 1)
+    start = F.greatest(F.col("_begin") - 1, F.lit(0))
+    return cut.withColumn(column, F.slice(column, start + 1, end - start + 1)).drop("_begin").filter(F.size(column) >= 2)
+
+
+def large_rings(df: DataFrame, column: str, least: float = 0.0005) -> DataFrame:
+    """Rings with an area of at least so many square degrees."""
+    return df.filter(F.coalesce(ring_area(F.col(column)) >= least, F.lit(False)))
+
+
+def swap_inset(coarse: DataFrame, fine: DataFrame, column: str, box: tuple[float, float, float, float] = (-65.7, 9.8, -59.0, 19.0)) -> DataFrame:
+    """Features that lie wholly in (west, south, east, north) from the fine layer, all others from the coarse one."""
+    w, s, e, n = box
+    within = F.forall(column, lambda p: p["lon"].between(w, e) & p["lat"].between(s, n))
+    return coarse.filter(~within).unionByName(fine.filter(within))
+
+
 def simplify_lines(df: DataFrame, column: str, eps: float = 0.03) -> DataFrame:
     return _on_points(df, column, lambda r: _simplify(r, eps))

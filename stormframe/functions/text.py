@@ -16,13 +16,20 @@ ZONES = {
 }
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 MPH_TO_KT = 0.868976
-PAIR = r"(\d{1,3}(?:\.\d+)?)([NS])\s+(\d{1,3}(?:\.\d+)?)([EW])"
+# A position, a single coordinate, and the pieces of a position. Hemispheres are capitals in free text.
+LAT, LON = r"(\d{1,2}(?:\.\d)?)\s*([NS])", r"(\d{1,3}(?:\.\d)?)\s*([EW])"
+PAIR = LAT + r"\s*" + LON
+COORDINATE = r"\b\d{1,3}(?:\.\d)?\s*[NSEW]\b"
 
 
 def lookup(table: dict, key: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
 
 
+def lookup_or_null(table: dict, key: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
+
+
 def found(text: Column, pattern: str, group: int = 1) -> Column:
     """A group of the first match, or null."""
     got = F.regexp_extract(text, pattern, group)
@@ -56,7 +63,7 @@ def unwrap_pre(html: Column) -> Column:
 
 
 def coordinate_pairs(text: Column) -> Column:
-    """All ``12.5N 61W`` of a text as points; west and south are negative."""
+    """All ``12.5N 61W`` and ``14N76W`` of a text as points; west and south are negative."""
     groups = [F.regexp_extract_all(text, F.lit(PAIR), k) for k in (1, 2, 3, 4)]
     zipped = F.arrays_zip(*(g.alias(n) for g, n in zip(groups, ("a", "b", "c", "d"), strict=True)))
     sign = lambda v, h, minus: F.when(h == minus, -v.cast("double")).otherwise(v.cast("double"))
@@ -73,6 +80,7 @@ def compass_degrees(word: Column) -> Column:
     return F.when(spelled, F.try_element_at(F.create_map(*(F.lit(x) for kv in COMPASS.items() for x in kv)), letters))
 
 
+# How a speed and a course are worded.
 _SPEED = r"(\d{1,2})\s*(?:to\s*(\d{1,2}))?\s*(kt|knots|mph)\b"
 _TOWARD = r"(?:moving|movement(?:\s+is)?|drifting)\s+(?:toward(?:s)?(?: the)?\s+|to the\s+)?((?:north|south|east|west)(?:[- ]?(?:north|south|east|west))*(?:ward)?|[nsew]{1,3})\b"
 
@@ -107,6 +115,7 @@ def formation_chance(flat: Column, horizon: str) -> Column:
     return F.when(flat.rlike(p), F.struct(F.lower(F.regexp_extract(flat, p, 1)).alias("cat"), F.regexp_extract(flat, p, 2).cast("int").alias("pct")))
 
 
+# Fixed value: an issuance line.
 _ISSUED = r"(?i)(\d{3,4})\s*(AM|PM)?\s*([A-Z]{1,4})\s+[A-Za-z]{3,}\s+([A-Za-z]{3})[A-Za-z]*\s+(\d{1,2})\s+(\d{4})"
 
 
@@ -123,10 +132,20 @@ def issued_time(line: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(start) + minutes.cast("long") * 60_000_000)
 
 
+# What the head of an eastern Pacific product holds, and how far the head reaches.
+_EASTERN = r"\b(?:TWDEP|TWOEP|AXPZ20|ABPZ20)\b|(?i:\bfor\s+the\s+east(?:ern)?(?:\s+and\s+central)?(?:\s+north)?\s+pacific\b)"
+_HEAD = 400
+
+
 def detect_basin(text: Column) -> Column:
-    """EP where the head of a product says so, else AT."""
-    head = F.substring(text, 1, 400)
-    return F.when(head.rlike(r"(?i)TW[OD]EP|\bPZ\d{2}\b|east(?:ern)?\s+(?:north\s+)?pacific"), "EP").otherwise("AT")
+    """EP where the head of a product says so, else AT; what the body says of the Pacific does not count."""
+    return F.when(F.substring(F.coalesce(text, F.lit("")), 1, _HEAD).rlike(_EASTERN), "EP").otherwise("AT")
+
+
+def product_route(text: Column) -> Column:
+    """Which kind of product a pasted text is: TCM, else TWO, else TWD, by its head."""
+    head = F.upper(F.substring(F.coalesce(text, F.lit("")), 1, _HEAD))
+    return F.when(head.rlike(r"FORECAST/ADVISORY"), "TCM").when(F.substring(head, 1, 300).rlike(r"TROPICAL WEATHER OUTLOOK|\bTWO(?:AT|EP)\b"), "TWO").otherwise("TWD")
 
 
 def leftmost_key(text: Column, keys: list[str]) -> Column:
@@ -155,3 +174,76 @@ def find_all(text: Column, pattern: str, groups: int) -> Column:
 def title_case(text: Column) -> Column:
     """Capitals at the start of each word, also after a hyphen."""
     return F.array_join(F.transform(F.split(text, "-"), lambda w: F.initcap(w)), "-")
+
+
+def bind(value: Column, then) -> Column:
+    """Name a value: ``then`` may use it many times, and it is worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+#: Characters of a context that is shown.
+CONTEXT = 600
+
+
+def cap_context(text: Column, at: Column, size: Column) -> Column:
+    """At most CONTEXT characters around a span ``at`` (from 0), cut between words, with an ellipsis where something is left out."""
+
+    def window(t: Column) -> Column:
+        length = F.length(t)
+        low = F.greatest(F.lit(0), F.least(at - F.floor((CONTEXT - size) / 2).cast("int"), length - CONTEXT))
+        return F.when(length <= CONTEXT, t).otherwise(bind(low, lambda x: bind(_word_bounds(t, x, at, size), lambda r: _shown(t, r))))
+
+    return bind(text, window)
+
+
+def _word_bounds(t: Column, low: Column, at: Column, size: Column) -> Column:
+    """``start, end`` of a window moved in to blanks that do not touch the span."""
+    blank = F.locate(" ", F.substring(t, low + 1, F.length(t)))
+    before = F.substring(t, F.lit(1), low + CONTEXT + 1)
+    last = F.length(before) - F.locate(" ", F.reverse(before))
+    start = F.when((low > 0) & (blank > 0) & (low + blank - 1 < at), low + blank).otherwise(low)
+    end = F.when((low + CONTEXT < F.length(t)) & (last < F.length(before)) & (last > at + size), last).otherwise(low + CONTEXT)
+    return F.struct(start.alias("start"), end.alias("end"))
+
+
+def _shown(t: Column, r: Column) -> Column:
+    return F.concat(F.when(r["start"] > 0, "\u2026").otherwise(""), F.substring(t, r["start"] + 1, r["end"] - r["start"]), F.when(r["end"] < F.length(t), "\u2026").otherwise(""))
+
+
+def sentence_around(flat: Column, at: Column, size: Column) -> Column:
+    """The sentence, or sentences, that a span ``at`` (from 0) of a one-line text stands in, capped."""
+
+    def piece(f: Column) -> Column:
+        stop = F.locate(".", F.reverse(F.substring(f, F.lit(1), at)))
+        start = F.when(stop > 0, at - stop + 1).otherwise(0)
+        rest = F.locate(".", F.substring(f, at + size + 1, F.length(f)))
+        end = F.when(rest > 0, at + size + rest).otherwise(F.length(f))
+        return bind(start, lambda x: F.struct(x.alias("start"), F.substring(f, x + 1, end - x).alias("t")))
+
+    def capped(p: Column) -> Column:
+        lead = F.length(p["t"]) - F.length(F.ltrim(p["t"]))
+        return bind(at - p["start"] - lead, lambda x: cap_context(F.trim(p["t"]), x, size))
+
+    return bind(flat, lambda f: bind(piece(f), capped))
+
+
+def stated_time(header: Column) -> Column:
+    """``805 AM EDT`` of an issuance line; the whole line where it has no such head."""
+    return F.coalesce(F.trim(F.regexp_replace(found(header, r"(?i)^\s*(\d{3,4}\s*(?:AM|PM)?\s*[A-Z]{1,4})\b"), r"\s+", " ")), header)
+
+
+def stated_date(header: Column) -> Column:
+    """``Jul 7`` of an issuance line, or nothing."""
+    p = r"\b([A-Za-z]{3})[a-z]*\s+(\d{1,2})\s+\d{4}\b"
+    return F.when(header.rlike(p), F.concat(F.initcap(F.regexp_extract(header, p, 1)), F.lit(" "), F.regexp_extract(header, p, 2))).otherwise("")
+
+
+def with_respelling(name: Column, respelling: Column) -> Column:
+    """A name in capitals with how it is said; one said as it is written stands alone."""
+    same = respelling.isNull() | (F.lower(respelling) == F.lower(name))
+    return F.when(same, F.upper(name)).otherwise(F.concat(F.upper(name), F.lit(" ("), respelling, F.lit(")")))
+
+
+def chance_lines(context: Column) -> Column:
+    """An area's text cut before each of its bullets."""
+    return F.filter(F.transform(F.split(context, r"(?=\*\s)"), lambda x: F.trim(x)), lambda x: x != "")

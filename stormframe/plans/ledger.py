@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormframe.functions.scalars import plus_hours, round_half_up
+from stormframe.functions.geometry import flat_distance
+from stormframe.functions.scalars import hours_between, plus_hours, round_half_up, stamp_time, time_stamp
 
 HORIZONS = (48, 168)
 CATEGORIES = ("low", "medium", "high")
@@ -70,29 +71,84 @@ def truth_kind(cyclone_file: Column, first_td: Column, hours_since_invest: Colum
     )
 
 
-def invest_truth(records: DataFrame, files: DataFrame, now: Column) -> DataFrame:
-    """The truth of tagged chains ``chain_id, tag, first_ts, last_ts`` by explicit evidence only.
+# Degrees and hours within which a cyclone that no link claims leaves an invest unresolved.
+NEAR_DEGREES, NEAR_TAIL_HOURS = 10.0, 48
 
-    ``files`` has ``base, id, num, basin, refs, genesis_num, first_td_dtg, min_ts, max_ts``.
-    An invest's own file is met by id and era; a cyclone's by era and a stated
-    reference or a shared genesis number. Of several the first by base counts.
+
+def data_now(*tables: DataFrame) -> DataFrame:
+    """One row with ``now``, the latest stamp of all tables: no clock is read."""
+    stamps = None
+    for df in tables:
+        part = df.agg(F.max("at_stamp" if "at_stamp" in df.columns else "stamp").alias("now"))
+        stamps = part if stamps is None else stamps.unionByName(part)
+    return stamps.agg(F.max("now").alias("now"))
+
+
+def chain_spans(sightings: DataFrame) -> DataFrame:
+    return sightings.groupBy("basin", "chain_id").agg(F.first("tag", ignorenulls=True).alias("tag"), F.min("stamp").alias("first_stamp"), F.max("stamp").alias("last_stamp"))
+
+
+def nearby_cyclones(invests: DataFrame, cyclones: DataFrame, links: DataFrame) -> DataFrame:
+    """``basin, chain_id, cyclone_id, name, first_stamp, dist`` of cyclones that no invest is linked to and that open near one.
+
+    A cyclone opens between an invest's first sighting and 48 hours after its last, within ten degrees of the
+    sighting nearest in time; an unknown distance counts, as null.
     """
-    from stormframe.functions.scalars import hours_between, overlaps
-    from stormframe.operators.matching import first_match
-
-    tagged = records.filter(F.col("tag").rlike(r"^(AL|EP|CP)\d{2}$")).withColumn("file_id", F.concat(F.lower("tag"), F.year("first_ts").cast("string")))
-    f = files.select(*(F.col(c).alias(f"f_{c}") for c in ("base", "id", "num", "basin", "refs", "genesis_num", "first_td_dtg", "min_ts", "max_ts")))
-    era = lambda after: overlaps(F.col("f_min_ts"), F.col("f_max_ts"), F.col("first_ts"), F.col("last_ts"), 48, after)
-    own = first_match(tagged.join(f, (F.col("f_id") == F.col("file_id")) & era(48)), ["chain_id"], ["f_base"])
-    own = own.select("chain_id", F.col("f_base").alias("invest_base"), F.col("f_refs").alias("own_refs"), F.col("f_genesis_num").alias("own_num"), F.col("f_max_ts").alias("own_max"))
-    known = tagged.join(own, "chain_id", "left")
-    evidence = (
-        F.array_contains("f_refs", F.col("file_id"))
-        | F.coalesce(F.col("own_num") == F.col("f_genesis_num"), F.lit(False))
-        | F.coalesce(F.array_contains("own_refs", F.col("f_id")), F.lit(False))
-    )
-    near = known.join(f.filter("f_num < 90"), (F.col("f_basin") == F.substring("tag", 1, 2)) & era(240))
-    cyclone = first_match(near.filter(evidence), ["chain_id"], ["f_base"]).select("chain_id", F.col("f_base").alias("cyclone_base"), "f_first_td_dtg")
-    out = known.join(cyclone, "chain_id", "left")
-    kind = truth_kind(F.col("cyclone_base").isNotNull(), F.col("f_first_td_dtg"), hours_between(F.col("own_max"), now))
-    return out.select(*records.columns, "invest_base", "cyclone_base", F.col("f_first_td_dtg").alias("first_td_dtg"), kind.alias("truth"))
+    claimed = links.filter("kind = 'invest-cyclone'").select(F.col("target").alias("cyclone_id"))
+    first = cyclones.filter("seq = 1").select("basin", F.col("chain_id").alias("cyclone_id"), "name", F.col("stamp").alias("opens"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
+    first = first.join(claimed, "cyclone_id", "left_anti")
+    spans = chain_spans(invests).withColumn("tail", time_stamp(plus_hours(stamp_time(F.col("last_stamp")), NEAR_TAIL_HOURS)))
+    met = spans.join(first, "basin").filter((F.col("opens") >= F.col("first_stamp")) & (F.col("opens") <= F.col("tail")))
+    placed = invests.filter("lat IS NOT NULL AND lon IS NOT NULL").select("basin", "chain_id", "seq", F.col("stamp").alias("s_stamp"), "lat", "lon")
+    far = F.abs(hours_between(stamp_time(F.col("s_stamp")), stamp_time(F.col("opens"))))
+    keys = ["basin", "chain_id", "cyclone_id", "name", "opens", "c_lat", "c_lon"]
+    nearest = met.select(*keys).join(placed, ["basin", "chain_id"], "left").groupBy(*keys).agg(F.min_by(F.struct("lat", "lon"), F.when(F.col("lat").isNotNull(), F.struct(far.alias("h"), "seq"))).alias("p"))
+    dist = round_half_up(flat_distance(F.col("c_lat"), F.col("c_lon"), F.col("p.lat"), F.col("p.lon")), 3)
+    out = nearest.select("basin", "chain_id", "cyclone_id", "name", F.col("opens").alias("first_stamp"), dist.alias("dist"))
+    return out.filter(F.col("dist").isNull() | (F.col("dist") <= NEAR_DEGREES))
+
+
+def ledger_records(invests: DataFrame, cyclones: DataFrame, links: DataFrame, now: DataFrame) -> DataFrame:
+    """A row for each invest chain with a stated chance: its span, origin, outcome, nearby cyclones, and other chains of its tag."""
+    stated = invests.filter("chance48 IS NOT NULL OR chance7 IS NOT NULL").select("chain_id").distinct()
+    spans = chain_spans(invests)
+    made = links.filter("kind = 'invest-cyclone'").select("basin", F.col("source").alias("chain_id"), F.col("target").alias("cyclone_id"), F.col("at_stamp").alias("genesis_stamp"))
+    names = cyclones.filter("seq = 1").select(F.col("chain_id").alias("cyclone_id"), F.col("name").alias("cyclone_name"))
+    origin = links.filter("kind = 'wave-invest'").groupBy("basin", F.col("target").alias("chain_id")).agg(F.max_by("source", F.struct("at_stamp", "source")).alias("wave_id"))
+    near = nearby_cyclones(invests, cyclones, links).groupBy("basin", "chain_id").agg(F.sort_array(F.collect_list(F.struct("cyclone_id", "name", "first_stamp", "dist"))).alias("nearby"))
+    tagged = spans.filter("tag IS NOT NULL")
+    # A tag is used again for few chains of a season.
+    family = tagged.groupBy("basin", "tag").agg(F.sort_array(F.collect_list("chain_id")).alias("family"))
+    out = spans.join(stated, "chain_id").join(made, ["basin", "chain_id"], "left").join(names, "cyclone_id", "left").join(origin, ["basin", "chain_id"], "left")
+    out = out.join(near, ["basin", "chain_id"], "left").join(family, ["basin", "tag"], "left").crossJoin(F.broadcast(now))
+    since = hours_between(stamp_time(F.col("last_stamp")), stamp_time(F.col("now")))
+    linked = F.col("cyclone_id").isNotNull()
+    return out.select(
+        "basin", "chain_id", "tag", "first_stamp", "last_stamp", "wave_id", "cyclone_id", "cyclone_name", "genesis_stamp",
+        chain_outcome(linked, since, F.coalesce(F.size("nearby"), F.lit(0)) > 0).alias("outcome"),
+        F.when(linked | F.col("nearby").isNull(), F.array().cast("array<struct<cyclone_id:string,name:string,first_stamp:string,dist:double>>")).otherwise(F.col("nearby")).alias("nearby"),
+        F.coalesce(F.array_remove("family", F.col("chain_id")), F.array().cast("array<string>")).alias("siblings"), "now",
+    )
+
+
+def ledger_statements(records: DataFrame, invests: DataFrame) -> DataFrame:
+    """``basin, chain_id, stamp, horizon, cat, pct, verdict`` of each stated chance."""
+    told = F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(c).alias("chance")) for h, c in zip(HORIZONS, ("chance48", "chance7"), strict=True)))
+    rows = invests.select("basin", "chain_id", "stamp", F.explode(told).alias("s")).filter("s.chance IS NOT NULL")
+    earliest = F.array_min(F.transform("nearby", lambda n: n["first_stamp"]))
+    known = records.select("basin", "chain_id", "genesis_stamp", earliest.alias("near_stamp"), "now")
+    time = lambda c: stamp_time(F.col(c))
+    verdict = F.coalesce(*(F.when(F.col("s.horizon") == h, statement_verdict(time("stamp"), h, F.col("s.chance"), time("genesis_stamp"), time("near_stamp"), time("now"))) for h in HORIZONS))
+    return rows.join(known, ["basin", "chain_id"]).select("basin", "chain_id", "stamp", "s.horizon", "s.chance.cat", "s.chance.pct", verdict.alias("verdict"))
+
+
+def calibration_total(cells: DataFrame, by: list[str], digits: int = 3) -> DataFrame:
+    """Cells summed over groups, by horizon and category, with the rate worked out anew."""
+    names = ("statements", *(v.replace("-", "_") for v in VERDICTS))
+    out = cells.groupBy(*by, "cat").agg(*(F.sum(n).alias(n) for n in names))
+    return out.withColumn("observed_rate", observed_rate(F.col("formed"), F.col("not_formed"), digits))
+
+
+def verdict_tally(statements: DataFrame) -> DataFrame:
+    """How many statements of each basin have each verdict."""
+    return statements.filter("verdict IS NOT NULL").groupBy("basin", "verdict").agg(F.count("*").alias("n"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from stormframe.functions.geometry import offset_point
 from stormframe.functions.scalars import round_half_up
-from stormframe.functions.text import MPH_TO_KT, compass_degrees, formation_chance, found, leftmost_key, one_line, paragraphs, rejoin_wraps, sentences
+from stormframe.functions.text import MPH_TO_KT, bind, compass_degrees, formation_chance, found, leftmost_key, lookup_or_null, one_line, paragraphs, rejoin_wraps, sentences
+from stormframe.plans.places import PLACES
 
 # What makes a sentence speak of a feature, of one that has left its basin, or of a model or section;
 # the names of climatology that hold a noun of a feature. EP text says of arrivals what AT text says of departures.
@@ -28,6 +29,8 @@ CLIMATOLOGY = {
 OFFSET = r"(?:(?:a\s+)?(couple|few|several)(?:\s+of)?\s+hundred|(\d{2,4}))\s+(nautical\s+)?miles\s+(?:to\s+the\s+)?([a-z][a-z-]{1,20})\s+of\s+([\s\S]+)$"
 VAGUE = r"\b(?:well|far)\s+(?:to\s+the\s+)?([a-z-]{1,20})\s+of\s+(?:the\s+)?$"
 TITLE = r"^\s*(?:\d+\.\s*)?([^:.]{1,80}):"
+# A line of odds, a paragraph with a title of its own or a title before, and the tag in a title.
+ODDS, OWN_TITLE, TITLED, TAG = r"(?i)\*\s*formation chance", r"^[^\n]*:", r"^\s*(?:\d+\.\s*)?[^:.\n]{1,80}:", r"(?i)\(((?:AL|EP|CP)\d{2})\)"
 
 Gazetteer = dict[str, tuple[float, float]]
 
@@ -38,27 +41,43 @@ def anchor_point(phrase: Column, places: Gazetteer) -> Column:
     return F.try_element_at(points, leftmost_key(phrase, sorted(places)))
 
 
+# A place between two others, the miles of vague hundreds, and the farthest a product would measure.
+BETWEEN = r"between (.+?) and (?:the )?(.+?)(?:[.,]|$)"
+HUNDREDS, FARTHEST = {"couple": 200, "few": 300, "several": 400}, 1500
+
+
 def resolve_place(phrase: Column, places: Gazetteer) -> Column:
     """Between two places: the middle. A distance and direction from one: that point, to a tenth. Else the place
     named, unless the phrase puts the feature far from it by an unstated amount."""
-    p = F.lower(phrase)
-    a = anchor_point(F.regexp_extract(p, r"between (.+?) and (?:the )?(.+?)(?:[.,]|$)", 1), places)
-    b = anchor_point(F.regexp_extract(p, r"between (.+?) and (?:the )?(.+?)(?:[.,]|$)", 2), places)
-    middle = F.when(a.isNotNull() & b.isNotNull(), F.struct(((a["lat"] + b["lat"]) / 2).alias("lat"), ((a["lon"] + b["lon"]) / 2).alias("lon")))
-    hundreds = F.when(found(p, OFFSET) == "couple", 200.0).when(found(p, OFFSET) == "few", 300.0).when(found(p, OFFSET) == "several", 400.0)
+    return bind(one_line(F.lower(phrase)), lambda p: F.coalesce(_middle(p, places), _away(p, places), _named(p, places)))
+
+
+def _middle(p: Column, places: Gazetteer) -> Column:
+    ends = F.array(anchor_point(F.regexp_extract(p, BETWEEN, 1), places), anchor_point(F.regexp_extract(p, BETWEEN, 2), places))
+    told = bind(ends, lambda e: F.when(F.size(F.array_compact(e)) == 2, F.struct(*(((e[0][k] + e[1][k]) / 2).alias(k) for k in ("lat", "lon")))))
+    return F.when(p.rlike(BETWEEN), told)
+
+
+def _away(p: Column, places: Gazetteer) -> Column:
+    hundreds = lookup_or_null(HUNDREDS, found(p, OFFSET)).cast("double")
     miles = F.coalesce(hundreds, found(p, OFFSET, 2).cast("double"))
     nm = F.when(found(p, OFFSET, 3).isNotNull(), miles).otherwise(miles * MPH_TO_KT)
-    bearing = compass_degrees(found(p, OFFSET, 4))
+    # Only the first of two landmarks counts.
     base = anchor_point(F.get(F.split(found(p, OFFSET, 5), r"\s+and\s+"), F.lit(0)), places)
+    told = F.struct(base.alias("base"), compass_degrees(found(p, OFFSET, 4)).alias("bearing"), nm.alias("nm"))
+
+    def moved(x: Column) -> Column:
+        to = bind(offset_point(x["base"]["lat"], x["base"]["lon"], x["bearing"], x["nm"]), lambda q: F.struct(*(round_half_up(q[k], 1).alias(k) for k in ("lat", "lon"))))
+        return F.when(x["base"].isNotNull() & x["bearing"].isNotNull() & (x["nm"] <= FARTHEST), to)
+
     within = p.rlike(r"\bwithin\s+(?:about\s+|around\s+|approximately\s+)?" + OFFSET)
-    moved = offset_point(base["lat"], base["lon"], bearing, nm)
-    away = F.when(
-        base.isNotNull() & bearing.isNotNull() & (nm <= 1500) & ~within,
-        F.struct(round_half_up(moved["lat"], 1).alias("lat"), round_half_up(moved["lon"], 1).alias("lon")),
-    )
+    return F.when(p.rlike(OFFSET) & ~within, bind(told, moved))
+
+
+def _named(p: Column, places: Gazetteer) -> Column:
     before = F.substring(p, F.lit(1), F.instr(p, leftmost_key(p, sorted(places))) - 1)
     vague = F.coalesce(compass_degrees(found(before, VAGUE)).isNotNull(), F.lit(False))
-    return F.coalesce(middle, away, F.when(~vague, anchor_point(p, places)))
+    return F.when(~vague, anchor_point(p, places))
 
 
 def locates(sentence: Column, basin: Column) -> Column:
@@ -70,34 +89,36 @@ def locates(sentence: Column, basin: Column) -> Column:
     return ~sentence.rlike(ELSEWHERE) & F.when(basin == "EP", gate("EP")).otherwise(gate("AT"))
 
 
-def disturbances(products: DataFrame, places: Gazetteer) -> DataFrame:
+def disturbances(products: DataFrame, places: Gazetteer | None = None) -> DataFrame:
     """Areas of outlook products: ``file, basin, stamp, ts, id, invest, lat, lon, chance48, chance7, source, context``.
 
     A paragraph with a line of odds ends an area; its body takes in the paragraph
     before if it starts with the odds, or if that one is titled and it is not.
     A place in the title counts as it is, one in a sentence only if the
-    sentence speaks of a feature that has not left this basin.
+    sentence speaks of a feature that has not left this basin. Places are the
+    basin's, unless others are given.
     """
+    resolve = (lambda p: resolve_place(p, places)) if places else (lambda p: F.when(F.col("basin") == "EP", resolve_place(p, PLACES["EP"])).otherwise(resolve_place(p, PLACES["AT"])))
     cut = products.filter("kind = 'TWO'").select("file", "basin", "stamp", "ts", F.posexplode(paragraphs(rejoin_wraps(F.col("text")))).alias("n", "chunk"))
     order = Window.partitionBy("file").orderBy("n")
     cut = cut.withColumn("before", F.coalesce(F.lag("chunk").over(order), F.lit("")))
-    ends = cut.filter(F.col("chunk").rlike(r"(?i)\*\s*formation chance"))
-    own_title = F.ltrim("chunk").rlike(r"^[^\n]*:")
-    titled_before = F.col("before").rlike(r"^\s*(?:\d+\.\s*)?[^:.\n]{1,80}:")
+    ends = cut.filter(F.col("chunk").rlike(ODDS))
+    own_title = F.ltrim("chunk").rlike(OWN_TITLE)
+    titled_before = F.col("before").rlike(TITLED)
     inherits = F.col("chunk").rlike(r"^\s*\*") | (~own_title & titled_before)
     ends = ends.withColumn("body", F.when(inherits, F.concat("before", F.lit("\n"), "chunk")).otherwise(F.col("chunk")))
     ends = ends.withColumn("flat", one_line(F.col("body")))
     prose = one_line(F.array_join(F.filter(F.split("body", "\n"), lambda x: ~x.rlike(r"^\s*\*")), " "))
     ends = ends.withColumn("prose", prose).withColumn("title", found(F.col("prose"), TITLE))
-    by_sentence = F.filter(F.transform(F.filter(sentences(F.col("prose")), lambda s: locates(s, F.col("basin"))), lambda s: resolve_place(s, places)), lambda x: x.isNotNull())
-    ends = ends.withColumn("pos", F.coalesce(resolve_place(F.col("title"), places), F.get(by_sentence, F.lit(0))))
+    by_sentence = F.filter(F.transform(F.filter(sentences(F.col("prose")), lambda s: locates(s, F.col("basin"))), resolve), lambda x: x.isNotNull())
+    ends = ends.withColumn("pos", F.coalesce(resolve(F.col("title")), F.get(by_sentence, F.lit(0))))
     return ends.select(
         "file",
         "basin",
         "stamp",
         "ts",
         F.concat(F.lit("D"), F.row_number().over(order).cast("string")).alias("id"),
-        F.upper(found(F.col("title"), r"(?i)\(((?:AL|EP|CP)\d{2})\)")).alias("invest"),
+        F.upper(found(F.col("title"), TAG)).alias("invest"),
         F.col("pos.lat").alias("lat"),
         F.col("pos.lon").alias("lon"),
         formation_chance(F.col("flat"), "48 hours").alias("chance48"),

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stormframe.functions.scalars import pad_dtg, stamp_time, tenths_to_degrees
+from stormframe.functions.scalars import is_stale, pad_dtg, stamp_time, tenths_to_degrees
 
-_NAME = r"(TW[OD])(AT|EP)\.(\d{12})\.txt$"
+_NAME = r"(?:^|/)(?:(TW[OD])(AT|EP)|TCM(AT|EP)\d?)\.(\d{12})\.txt$"
 _TRACK = r"(b((?:al|ep)(\d{2})(\d{4})))\.(\d{12})\.dat$"
 # Fixed value: status codes of a tropical or subtropical cyclone.
 CYCLONE_STATUS = ("TD", "TS", "HU", "TY", "ST", "SD", "SS")
@@ -15,22 +15,92 @@ CYCLONE_STATUS = ("TD", "TS", "HU", "TY", "ST", "SD", "SS")
 
 def read_products(spark: SparkSession, folder: str) -> DataFrame:
     """``file, kind, basin, stamp, ts, text`` of each product file; other names are left out before reading."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "TW*.txt").text(folder)
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "T*.txt").text(folder)
     return name_products(raw.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text")))
 
 
 def name_products(files: DataFrame) -> DataFrame:
     """Kind, basin and time from ``file, text`` rows; line ends become LF."""
+    outlook = F.regexp_extract("file", _NAME, 1)
     named = files.filter(F.col("file").rlike(_NAME)).select(
         "file",
-        F.regexp_extract("file", _NAME, 1).alias("kind"),
-        F.regexp_extract("file", _NAME, 2).alias("basin"),
-        F.regexp_extract("file", _NAME, 3).alias("stamp"),
+        F.when(outlook != "", outlook).otherwise("TCM").alias("kind"),
+        F.concat(F.regexp_extract("file", _NAME, 2), F.regexp_extract("file", _NAME, 3)).alias("basin"),
+        F.regexp_extract("file", _NAME, 4).alias("stamp"),
         F.regexp_replace("text", "\r\n?", "\n").alias("text"),
     )
     return named.withColumn("ts", stamp_time(F.col("stamp")))
 
 
+def since(products: DataFrame, bound: str | None) -> DataFrame:
+    """Products from a day (``2026-06-01`` or ``20260601``) at 00 UTC on; a bound that is none keeps all."""
+    day = (bound or "").replace("-", "")
+    return products.filter(F.col("stamp") >= F.lit(day + "0000")) if len(day) == 8 and day.isdigit() else products
+
+
+def with_errors(products: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Every product with its parsed columns; one that gave nothing has ``error``, and stays a row."""
+    rest = [c for c in parsed.columns if c != "file"]
+    joined = products.select("file", "kind", "stamp", F.col("text").isNull().alias("_empty")).join(parsed.withColumn("_found", F.lit(True)), "file", "left")
+    error = F.when(F.col("_empty"), "no text").when(F.col("_found").isNull(), "not parsed")
+    return joined.select("file", "kind", "stamp", *rest, error.alias("error"))
+
+
+def latest_of_basin(products: DataFrame, newest: int = 12) -> DataFrame:
+    """The newest product of each basin among so many newest ones; order by time, then file."""
+    few = products.orderBy(F.desc("ts"), F.desc("file")).limit(newest)
+    return few.withColumn("_n", F.row_number().over(Window.partitionBy("basin").orderBy(F.desc("ts"), F.desc("file")))).filter("_n = 1").drop("_n")
+
+
+def matching(products: DataFrame, product_id: str, newest: int = 30, keep: int = 8) -> DataFrame:
+    """Of so many newest products the newest whose text has the id on a line of its own; a failed text does not match."""
+    few = products.orderBy(F.desc("ts"), F.desc("file")).limit(newest)
+    return few.filter(F.coalesce(F.col("text").rlike(rf"(?m)^{product_id}\b"), F.lit(False))).orderBy(F.desc("ts"), F.desc("file")).limit(keep)
+
+
+def with_mirror(primary: DataFrame, mirror: DataFrame, now: Column) -> DataFrame:
+    """The primary's product of each basin, or the mirror's where the primary is missing or stale and the mirror is strictly newer."""
+    p = primary.select("basin", F.struct("file", "ts", "text").alias("p"))
+    m = mirror.select("basin", F.struct("file", "ts", "text").alias("m"))
+    newer = F.coalesce(F.col("m.ts") > F.col("p.ts"), F.lit(True)) & F.col("m.ts").isNotNull()
+    use = (F.col("p").isNull() | is_stale(F.col("p.ts"), now)) & newer
+    both = p.join(m, "basin", "full_outer").withColumn("x", F.when(use, F.col("m")).otherwise(F.col("p")))
+    return both.select("basin", "x.*", F.when(use, "mirror").otherwise("primary").alias("source")).filter("file IS NOT NULL")
+
+
+def resolve_manifest(wanted: DataFrame, names: DataFrame) -> DataFrame:
+    """The first listed name, in order, that begins with each wanted ``type`` and time ``prefix``; null if none does."""
+    starts = F.concat("type", F.lit("."), "prefix")
+    kinds = names.select("name", F.substring_index("name", ".", 1).alias("type"))
+    met = wanted.join(kinds, "type", "left").filter(F.col("name").isNull() | F.startswith("name", starts))
+    return wanted.join(met.groupBy("type", "prefix").agg(F.min("name").alias("name")), ["type", "prefix"], "left")
+
+
+def bijection(raw: DataFrame, derived: DataFrame, key: str = "file") -> DataFrame:
+    """Keys that only one of the two has, or that one has twice; none if every file has its record."""
+    count = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    both = count(raw, "raw").join(count(derived, "derived"), key, "full_outer").fillna(0, ["raw", "derived"])
+    return both.filter("raw <> 1 OR derived <> 1")
+
+
+def geojson_features(text: DataFrame, column: str = "value") -> DataFrame:
+    """``layer, kind, line``: each line or outer ring of feature collections, points as ``lon, lat``."""
+    shape = "struct<features:array<struct<geometry:struct<type:string,coordinates:string>>>>"
+    feature = F.explode(F.from_json(column, shape)["features"])
+    kept = [c for c in text.columns if c != column]
+    rows = text.select(*kept, feature.alias("f")).select(*kept, F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("c"))
+    deep = {"LineString": 2, "MultiLineString": 3, "Polygon": 3, "MultiPolygon": 4}
+    read = lambda n: F.from_json("c", "array<" * n + "double" + ">" * n)
+    lines = (
+        F.when(F.col("kind") == "LineString", F.array(read(deep["LineString"])))
+        .when(F.col("kind") == "MultiLineString", read(deep["MultiLineString"]))
+        .when(F.col("kind") == "Polygon", F.slice(read(deep["Polygon"]), 1, 1))
+        .when(F.col("kind") == "MultiPolygon", F.transform(read(deep["MultiPolygon"]), lambda p: p[0]))
+    )
+    points = rows.select(*kept, "kind", F.explode(lines).alias("l"))
+    return points.select(*kept, "kind", F.transform("l", lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))).alias("line"))
+
+
 def read_best_tracks(spark: SparkSession, folder: str) -> DataFrame:
     """``file, n, line`` of best-track files, in file order."""
     raw = spark.read.option("wholetext", True).option("pathGlobFilter", "b*.dat").text(folder)
