@@ -105,8 +105,8 @@ def _walk(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def plain_number(x: Column) -> Column:
-    """A number as text without a bare fraction: -44, -44.5."""
-    return F.regexp_replace(x.cast("double").cast("string"), r"\.0$", "")
+    """A number as text without a bare fraction: -44, -44.5; minus zero is 0."""
+    return F.regexp_replace((x.cast("double") + F.lit(0.0)).cast("string"), r"\.0$", "")
 
 
 def _chains(features: DataFrame, pairs: DataFrame, family: str, tag: Column, link: Column, signature: Column) -> DataFrame:
