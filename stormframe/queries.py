@@ -192,9 +192,10 @@ def newest_8(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""SELECT doc_id, len(p) AS n_paragraphs, list_sum(list_transform(p, lambda x: length(x)))::BIGINT AS chars
-FROM (SELECT doc_id, regexp_split_to_array(text, '\n') AS p FROM documents)""")
+FROM (SELECT doc_id, regexp_split_to_array(replace(text, '. ', '.' || chr(10) || ' ' || chr(10)), '\n\s*\n') AS p FROM documents)""")
 def text_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("p"))
+    spaced = F.replace("text", F.lit(". "), F.lit(".\n \n"))
+    p = table(spark, d, "documents").select("doc_id", text.paragraphs(spaced).alias("p"))
     return p.select("doc_id", F.size("p").cast("long").alias("n_paragraphs"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
 
 
@@ -280,30 +281,41 @@ def quality_flags(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.array_join(F.array_compact(F.array(*(F.when(c, name) for name, c in tests.items()))), ",").alias("flags"))
 
 
-@query(None)
+@query("""WITH RECURSIVE u AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderkey) AS ord, year(o_orderdate) AS y FROM orders),
+c AS (SELECT a.o_custkey || ':' || b.y AS g, a.ord AS l, b.ord AS r, abs(a.o_totalprice - b.o_totalprice) AS d FROM u a JOIN u b ON a.o_custkey = b.o_custkey AND b.y = a.y + 1 WHERE abs(a.o_totalprice - b.o_totalprice) <= 100000),
+ck AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY d, l, r) AS k FROM c),
+gr AS (SELECT DISTINCT g, 0::BIGINT AS k, []::BIGINT[] AS ul, []::BIGINT[] AS ur FROM ck UNION ALL
+ SELECT gr.g, ck.k, CASE WHEN list_contains(ul, ck.l) OR list_contains(ur, ck.r) THEN ul ELSE list_append(ul, ck.l) END, CASE WHEN list_contains(ul, ck.l) OR list_contains(ur, ck.r) THEN ur ELSE list_append(ur, ck.r) END
+ FROM gr JOIN ck ON ck.g = gr.g AND ck.k = gr.k + 1),
+gf AS (SELECT g, arg_max(ul, k) AS ul, arg_max(ur, k) AS ur FROM gr GROUP BY g)
+SELECT CAST(split_part(g, ':', 1) AS BIGINT) AS o_custkey, CAST(split_part(g, ':', 2) AS INT) AS y, unnest(ul) AS before, unnest(ur) AS now FROM gf""")
 def greedy_pairs(spark: SparkSession, d: str) -> DataFrame:
-    line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    other = line.select("l_orderkey", F.col("l_linenumber").alias("other"), F.col("l_quantity").alias("q"))
-    pairs = line.join(other, "l_orderkey").filter("l_linenumber % 2 = 0 AND other % 2 = 1")
-    pairs = pairs.select("l_orderkey", "l_linenumber", "other", F.abs(F.col("l_quantity") - F.col("q")).alias("dist")).filter("dist <= 20")
-    return matching.greedy_pairs(pairs, ["l_orderkey"], "l_linenumber", "other", "dist")
+    """Each year's orders of a customer with those of the year before, nearest in price first, one to one."""
+    rank = F.row_number().over(Window.partitionBy("o_custkey", F.year("o_orderdate")).orderBy("o_orderkey"))
+    u = table(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("y"), rank.cast("long").alias("now"), "o_totalprice")
+    before = u.select("o_custkey", (F.col("y") + 1).alias("y"), F.col("now").alias("before"), F.col("o_totalprice").alias("was"))
+    near = before.join(u, ["o_custkey", "y"]).withColumn("dist", F.abs(F.col("was") - F.col("o_totalprice"))).filter("dist <= 100000")
+    return matching.greedy_pairs(near, ["o_custkey", "y"], "before", "now", "dist").select("o_custkey", "y", "before", "now")
 
 
-def _rings(spark: SparkSession, d: str) -> DataFrame:
-    s = F.col("p_size").cast("double")
-    ring = F.transform(geometry.quadrant_ring(s % 40, -s - 10, [s * 10 + 20.0 * k for k in range(4)]), lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
-    return table(spark, d, "part").select("p_partkey", ring.alias("ring"))
-
-
-@query(None)
+@query("""WITH b AS (SELECT p_partkey, greatest(0.0, least(-15, -p_size + 10.0) - greatest(-40, -p_size - 10.0)) AS w, greatest(0.0, least(30, p_size % 40 + 5.0) - greatest(0, p_size % 40 - 5.0)) AS h FROM part)
+SELECT p_partkey, CASE WHEN w > 0 AND h > 0 THEN round(w * h, 4) END AS area FROM b""")
 def clip_boxes(spark: SparkSession, d: str) -> DataFrame:
-    out = geometry.clip_rings(_rings(spark, d), "ring", (-40.0, 0.0, -15.0, 30.0))
-    return out.select("p_partkey", F.size("ring").alias("points"), r4(F.when(F.size("ring") > 0, geometry.ring_area(F.col("ring")))).alias("area"))
+    """Boxes clipped to a frame: what is left of each is its overlap with it."""
+    s = F.col("p_size")
+    corner = lambda x, y: F.struct((-s + F.lit(x)).cast("double").alias("lon"), (s % 40 + F.lit(y)).cast("double").alias("lat"))
+    ring = F.array(*(corner(x, y) for x, y in ((-10, -5), (10, -5), (10, 5), (-10, 5))))
+    out = geometry.clip_rings(table(spark, d, "part").select("p_partkey", ring.alias("ring")), "ring", (-40.0, 0.0, -15.0, 30.0))
+    area = r4(geometry.ring_area(F.col("ring")))
+    return out.select("p_partkey", F.when(area > 0, area).alias("area"))
 
 
-@query(None)
+@query("SELECT p_partkey, CAST(CASE WHEN p_size / 50.0 > 0.5 THEN 4 ELSE 2 END AS INT) AS points FROM part")
 def simplify_rings(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.simplify_lines(_rings(spark, d), "ring", 0.5).select("p_partkey", F.size("ring").alias("points"))
+    """Lines whose two bumps go if they are no higher than half a degree, and stay otherwise, without the point between them."""
+    a = F.col("p_size") / F.lit(50.0)
+    line = F.array(*(F.struct(F.lit(x).alias("lon"), y.cast("double").alias("lat")) for x, y in ((0.0, F.lit(0)), (25.0, a), (50.0, F.lit(0)), (75.0, -a), (100.0, F.lit(0)))))
+    return geometry.simplify_lines(table(spark, d, "part").select("p_partkey", line.alias("ring")), "ring", 0.5).select("p_partkey", F.size("ring").alias("points"))
 
 
 @query("SELECT p_partkey, CASE WHEN b < 0 THEN NULL WHEN h < 0 THEN NULL ELSE h END AS hours FROM (SELECT *, b * 24 + (h1 - h0) AS h FROM (SELECT p_partkey, h0, h1, CASE WHEN d1 - d0 >= 0 THEN d1 - d0 WHEN d1 - d0 + 31 BETWEEN 0 AND 6 THEN d1 - d0 + 31 WHEN d1 - d0 + 30 BETWEEN 0 AND 6 THEN d1 - d0 + 30 WHEN d1 - d0 + 29 BETWEEN 0 AND 6 THEN d1 - d0 + 29 WHEN d1 - d0 + 28 BETWEEN 0 AND 6 THEN d1 - d0 + 28 ELSE -1 END AS b FROM (SELECT p_partkey, CAST(25 + p_size % 6 AS INT) AS d0, CAST(1 + p_size % 5 + CASE WHEN p_size % 7 = 0 THEN 25 ELSE 0 END AS INT) AS d1, CAST(p_size % 24 AS INT) AS h0, CAST((p_size * 5) % 24 AS INT) AS h1 FROM part)))")
@@ -336,17 +348,26 @@ def advisory_fields(spark: SparkSession, d: str) -> DataFrame:
 def convection_boxes(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("p_size")
     told = F.format_string("A 1012 mb low. %s is noted\nfrom %dN to 20N between %dW and\n%dW.", F.when(s % 2 == 0, "Strong convection").otherwise("Convection"), s, s + 20, s + 40)
-    return discussions.convection_boxes(table(spark, d, "part").select("p_partkey", told.alias("body"))).drop("source")
+    return discussions.convection_boxes(table(spark, d, "part").select("p_partkey", told.alias("body"))).drop("source", "context")
 
 
 @query("""SELECT p_partkey, unnest([CAST(p_size + 0.5 AS DOUBLE), CAST(-p_size AS DOUBLE)]) AS lat, unnest([CAST(-76 AS DOUBLE), CAST(100 AS DOUBLE)]) AS lon FROM part""")
 def point_fixes(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("p_size")
     told = F.format_string("A low is centered near %d.5N76W. A ship\nat %dS 100E reports; 12N 30W is no fix.", s, s)
-    return discussions.point_fixes(table(spark, d, "part").select("p_partkey", told.alias("body"))).drop("source")
-
-
-@query(None)
+    return discussions.point_fixes(table(spark, d, "part").select("p_partkey", told.alias("body"))).drop("source", "context")
+
+
+@query("""WITH t AS (SELECT p_partkey, k, p_size % 30 + 10.0 + k AS lat, -p_size - 20.0 - 2.0 * k AS lon, CASE WHEN p_partkey % 2 = 0 THEN [10, 37, 56, 78] ELSE [10, 39, 62, 95] END[k + 1] AS nm FROM part CROSS JOIN (SELECT unnest(range(4)) AS k)),
+h AS (SELECT *, lead(lat) OVER w AS la, lead(lon) OVER w AS lo FROM t WINDOW w AS (PARTITION BY p_partkey ORDER BY k)),
+c AS (SELECT *, degrees(atan2((lo - lon) * cos(radians((lat + la) / 2)), la - lat)) AS nxt FROM h),
+d AS (SELECT *, lag(nxt) OVER (PARTITION BY p_partkey ORDER BY k) AS prv FROM c),
+e AS (SELECT p_partkey, k, lat, lon, nm, CASE WHEN k = 0 THEN nxt WHEN k = 3 THEN prv ELSE degrees(atan2(sin(radians(prv)) + sin(radians(nxt)), cos(radians(prv)) + cos(radians(nxt)))) END AS hd FROM d),
+r AS (SELECT p_partkey, k AS o, lat, lon, nm, hd - 90 AS b FROM e UNION ALL SELECT p_partkey, 3 + i, lat, lon, nm, hd - 90 + i * 22.5 FROM e CROSS JOIN (SELECT unnest(range(1, 8)) AS i) WHERE k = 3
+ UNION ALL SELECT p_partkey, 14 - k, lat, lon, nm, hd + 90 FROM e UNION ALL SELECT p_partkey, 14 + i, lat, lon, nm, hd + 90 + i * 22.5 FROM e CROSS JOIN (SELECT unnest(range(1, 8)) AS i) WHERE k = 0),
+x AS (SELECT p_partkey, o, lon + nm * sin(radians(b)) / (60 * cos(radians(lat))) AS x, lat + nm * cos(radians(b)) / 60 AS y FROM r),
+n AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM x WINDOW w AS (PARTITION BY p_partkey ORDER BY o))
+SELECT p_partkey, CAST(count(*) AS INT) AS points, round(abs(sum(x * y2 - x2 * y)) / 2, 4) AS area FROM n GROUP BY 1""")
 def forecast_cones(spark: SparkSession, d: str) -> DataFrame:
     """The ring of a track of four points from each part's numbers."""
     s = F.col("p_size").cast("double")

@@ -9,7 +9,7 @@ from stormframe.functions import geometry, scalars, text
 from stormframe.operators import matching
 from stormframe.plans import advisories, discussions, ledger, outlook
 from stormframe.sources import products
-from stormframe.streaming.alerts import alert_stream, compare
+from stormframe.streaming.alerts import AREAS, alert_stream, compare, load_state, messages
 
 D = "/root/testdata/sf0.001"
 
@@ -37,6 +37,7 @@ def test_scalars(spark):
     assert one(spark, scalars.stamp_time(F.lit("202602300000"))) is None
     assert one(spark, scalars.tenths_to_degrees(F.lit("742W"))) == -74.2
     assert one(spark, scalars.area_key(F.lit(None), F.lit(15.5), F.lit(-61.3), F.lit(""))) == "G15,-60"
+    assert one(spark, scalars.area_key(F.lit(None), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit("A low"))) == "SA low"
     assert one(spark, scalars.is_stale(F.lit(None).cast("timestamp"), F.current_timestamp())) is True
     assert one(spark, F.array_max(F.transform(geometry.quadrant_ring(F.lit(10.0), F.lit(0.0), [F.lit(150.0)] * 4), lambda p: p["lat"]))) == 12.5
 
@@ -70,17 +71,26 @@ def test_verdict_order(spark):
     assert [v("2026-06-02", None, "2026-07-01"), v("2026-06-05", "2026-06-02", "2026-06-02"), v(None, "2026-06-02", "2026-07-01"), v("2026-06-04", None, "2026-07-01")] == ["formed", "pending", "unresolved", "not-formed"]
 
 
+def area(key, tag=None, odds=None):
+    return {"key": key, "tag": tag, "odds": odds, "place": None}
+
+
 def test_alerts(spark, tmp_path):
-    known = {"A": 35, "B": 55}
-    assert compare("2", [("A", None, 65), ("B", None, 55), ("AL91", "AL91", 10)], known, set()) == [("threshold", "A", 40), ("new-invest", "AL91", None)]
-    assert compare("1", [("A", None, 65)], None, set()) == []
-    rows = [("AT", "1", "A", None, 35), ("AT", "2", "A", None, 45), ("AT", "2", "G5,5", None, 10), ("AT", "2", "A", None, 45)]
-    schema = "basin string, product string, key string, tag string, odds int"
-    spark.createDataFrame(rows[:3], schema).write.parquet(str(tmp_path / "in"))
-    q = alert_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("alerts").outputMode("append")
-    q = q.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert sorted((r["kind"], r["threshold"]) for r in spark.table("alerts").collect()) == [("new-area", None), ("threshold", 40)]
+    known = [area("A", odds=35), area("B", odds=55), area("CP91", "CP91", 10)]
+    told = compare([area("A", odds=65), area("B", odds=55), area("AL91", "AL91"), area("CP90", "CP90", 10), area("CP91", "CP91", 20)], known)
+    assert [(k, a["key"], t, w) for k, a, t, w in told] == [("threshold", "A", 40, 35), ("new-invest", "AL91", None, None), ("new-area", "CP90", None, None)]
+    assert compare([area("A", odds=65)], None) == []
+    assert load_state('{"product": "x", "areas": []}') == {"AT": {"product": "x", "areas": []}, "EP": None} and load_state(None) == {"AT": None, "EP": None}
+    # The second product has no area: what it forgets is new when it comes back, in a batch of its own.
+    rows = [("AT", "1", [("A", None, 35, None)]), ("AT", "2", [("A", None, 45, "Gulf"), ("G5,5", None, 10, None)]), ("AT", "3", []), ("AT", "2", [("A", None, 45, None)]), ("AT", "4", [("A", None, 45, None)])]
+    schema = f"basin string, product string, areas {AREAS}"
+    for k, part in enumerate((rows[:4], rows[4:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = alert_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / "out"))
+        q.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(60)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r["product"], r["kind"], r["area"], r["threshold"]) for r in out.collect()) == [("2", "new-area", "G5,5", None), ("2", "threshold", "A", 40), ("4", "new-area", "A", None)]
+    assert {r["title"] for r in messages(out).collect()} == {"New Atlantic disturbance", "7-day chance now 45% (Gulf)"}
 
 
 def test_append_and_upsert(spark):
