@@ -53,7 +53,7 @@ def test_chains_links_ledger_and_truth(spark):
     stamps = ["202606010000", "202606010600", "202606011200", "202606020700", "202606020900"]
     stream = lineage.product_stream(spark.createDataFrame([(f"f{k}", "AT", s) for k, s in enumerate(stamps)], "file string, basin string, stamp string"))
     assert [r["run"] for r in stream.orderBy("n").collect()] == [1, 1, 1, 2, 2]
-    areas = [("f0", 1, None, 10.0, -40.0, ("low", 20)), ("f1", 1, "AL90", 10.5, -41.0, ("low", 20)), ("f1", 2, None, 30.0, -60.0, None), ("f2", 1, "AL91", 10.6, -41.5, ("high", 70)), ("f3", 1, "AL91", 11.0, -42.0, None)]
+    areas = [("f0", 1, None, 10.0, -40.0, ("low", 20)), ("f1", 1, "AL90", 10.5, -41.0, ("low", 20)), ("f1", 2, None, 30.0, -60.0, None), ("f2", 1, "AL91", 10.6, -42.9, ("high", 70)), ("f3", 1, "AL91", 11.0, -42.0, None)]
     kind = "file string, ord int, invest string, lat double, lon double, chance48 struct<cat:string,pct:int>"
     invests = lineage.invest_chains(stream, spark.createDataFrame(areas, kind)).withColumn("chance7", F.lit(None).cast("struct<cat:string,pct:int>"))
     got = [(r["file"], r["ord"], r["chain_id"], r["seq"], r["link"]) for r in invests.orderBy("file", "ord").collect()]
@@ -62,12 +62,12 @@ def test_chains_links_ledger_and_truth(spark):
         ("f2", 1, "AT-I-202606011200-1", 1, None), ("f3", 1, "AT-I-202606020700-1", 1, None),
     ]
     axis = lambda lon: [(15.0, lon), (5.0, lon)]
-    waves = lineage.wave_chains(stream, spark.createDataFrame([("f0", 1, axis(-39.0)), ("f1", 1, axis(-40.0)), ("f2", 1, axis(-37.5))], "file string, ord int, axis array<struct<lat:double,lon:double>>"))
+    waves = lineage.wave_chains(stream, spark.createDataFrame([("f0", 1, axis(-38.5)), ("f1", 1, axis(-38.0)), ("f2", 1, axis(-35.5))], "file string, ord int, axis array<struct<lat:double,lon:double>>"))
     assert sorted((r["file"], r["chain_id"], r["link"]) for r in waves.collect()) == [("f0", "AT-W-202606010000-1", None), ("f1", "AT-W-202606010000-1", "axis"), ("f2", "AT-W-202606011200-1", None)]
     cyclones = lineage.cyclone_chains(stream, spark.createDataFrame([("f3", 1, "Otis", 11.2, -42.5), ("f4", 1, "OTIS", 11.3, -43.0)], "file string, ord int, name string, lat double, lon double"))
     assert {r["chain_id"] for r in cyclones.collect()} == {"AT-C-202606020700-1"}
     links = lineage.genesis_links(waves, invests, cyclones)
-    # Two invests are near the storm's first position, so neither is linked; the first invest's wave is alone.
+    # Several invests are near the storm's first position, so none is linked; the first invest's wave is alone.
     assert sorted((r["kind"], r["source"], r["target"]) for r in links.collect()) == [("wave-invest", "AT-W-202606010000-1", "AT-I-202606010000-1")]
     now = ledger.data_now(waves, invests, cyclones, links)
     records = {r["chain_id"]: r for r in ledger.ledger_records(invests, cyclones, links, now).collect()}
