@@ -1,10 +1,14 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-``features`` counts, for each text, what the rules look at. ``order_rules``
-measures on a bounded sample how much of it each rule rejects and what the rule
-costs, and sorts the rules by rejection per cost; ``verdict`` nests them in
-that order, so a row stops at the first rule that rejects it. The order changes
-only the cost, never a verdict.
+``order_rules`` measures on a bounded sample how much of it each rule rejects
+and what the rule costs, counts that it alone needs included, and sorts the
+rules, the two of the base among them, by rejection per cost; ``verdict`` nests
+them in that order, so a row stops at the first rule that rejects it. Where only
+the verdict is wanted (``keep_documents``), words and their characters are
+counted first and the other counts (``on_demand``) only for rows that reach the
+rule that asks: a row that a cheap rule rejects has no 3-word windows built.
+``features`` counts all for each text. The order changes only the cost, never a
+verdict.
 
 Defined cases: a null text has no words and fails the base rule; an empty table
 gives no rows; equal texts get equal verdicts; other columns pass through, and
@@ -20,9 +24,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormframe.llm.common import fresh_name
+from stormframe.llm.common import checkpointed, fresh_name
 
-SPACE = r"\x20\x09-\x0D"
+SPACE, SYMBOLS = r"\x20\x09-\x0D", "#*$%&|<>"
 #: Most rows that the driver takes to estimate costs and selectivities.
 SAMPLE_ROWS = 400
 
@@ -89,13 +93,31 @@ def base_failed(f: Features) -> Column:
     return (f["n_words"] < 50) | (100 * f["n_repeat_words"] > 50 * f["n_words"])
 
 
+def counted(df: DataFrame, text_col: str, tokens: str) -> DataFrame:
+    """Add the words, how many they are and their characters: several rules look at them."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    out = df.withColumn(tokens, words(text))
+    return out.withColumns({"n_words": F.size(tokens).cast("long"), "word_chars": word_chars(text)})
+
+
+def on_demand(text: Column, tokens: Column) -> Features:
+    """The counts that one rule alone looks at, as expressions: computed for the rows that reach that rule."""
+    return {
+        "n_words": F.col("n_words"),
+        "word_chars": F.col("word_chars"),
+        "n_symbols": count_chars(text, SYMBOLS),
+        "n_dup_lines": dup_lines(text),
+        "n_repeat_words": bound(windows_of_three(tokens), repeat_words),
+    }
+
+
 def features(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Add what the rules look at. Words and windows are columns of projections of their own, each computed once."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     tokens, windows = fresh_name(df, "tokens_"), fresh_name(df, "windows_")
     out = df.drop(*COUNTS).withColumn(tokens, words(text))
     out = out.withColumn(windows, windows_of_three(F.col(tokens)))
-    counts = (F.size(tokens).cast("long"), word_chars(text), count_chars(text, "#*$%&|<>"), dup_lines(text), repeat_words(F.col(windows)))
+    counts = (F.size(tokens).cast("long"), word_chars(text), count_chars(text, SYMBOLS), dup_lines(text), repeat_words(F.col(windows)))
     return out.withColumns(dict(zip(COUNTS, counts, strict=True))).drop(tokens, windows)
 
 
@@ -111,7 +133,11 @@ def _share(f: Features) -> Column:
     return F.greatest(f["n_words"], F.lit(1))
 
 
-#: The method's own rules, beside the base rule.
+#: The base rule's two halves, and the method's own rules.
+BASE = [
+    Rule("few_words", lambda t, f: f["n_words"] < 50),
+    Rule("repeats", lambda t, f: 100 * f["n_repeat_words"] > 50 * f["n_words"]),
+]
 RULES = [
     Rule("symbols", lambda t, f: 100 * f["n_symbols"] > 30 * _share(f)),
     Rule("long_words", lambda t, f: f["word_chars"] > 18 * _share(f)),
@@ -127,19 +153,19 @@ def _columns() -> Features:
     return {c: F.col(c) for c in COUNTS}
 
 
-def order_rules(df: DataFrame, text_col: str = "text", rules: list[Rule] = RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:
+def order_rules(df: DataFrame, text_col: str = "text", rules: list[Rule] = BASE + RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Sort rules by rejection per cost, both measured on at most ``rows`` rows.
 
     A rule's cost is the time of a pass that evaluates it alone over the sample,
-    less that of a pass that evaluates nothing; ties keep the given order.
+    with the counts that it asks for, less that of a pass that evaluates nothing;
+    ties keep the given order.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    picked = df.select(text.alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(4)) == 0)
-    taken = features(picked.limit(rows), "t").select("t", *COUNTS).collect()
+    taken = df.select(text.alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(4)) == 0).limit(rows).collect()
     if not taken:
         return rules
-    kind = "t string, " + ", ".join(f"{c} long" for c in COUNTS)
-    sample = df.sparkSession.createDataFrame(taken, kind).coalesce(1)
+    sample = checkpointed(counted(df.sparkSession.createDataFrame(taken, "t string").coalesce(1), "t", "tokens"))
+    f = on_demand(F.col("t"), F.col("tokens"))
 
     def timed(condition: Column) -> tuple[float, int]:
         began = time.perf_counter()
@@ -150,7 +176,7 @@ def order_rules(df: DataFrame, text_col: str = "text", rules: list[Rule] = RULES
     floor = timed(F.lit(False))[0]
     found = []
     for i, rule in enumerate(rules):
-        seconds, hit = timed(rule.rejects(F.col("t"), _columns()))
+        seconds, hit = timed(rule.rejects(F.col("t"), f))
         found.append((-hit / max(seconds - floor, 1e-3), i, rule))
     return [rule for _, _, rule in sorted(found, key=lambda x: x[:2])]
 
@@ -160,7 +186,7 @@ def verdict(text: Column, f: Features, ordered: list[Rule]) -> Column:
     text, passed = F.coalesce(text, F.lit("")), F.lit(True)
     for rule in reversed(ordered):
         passed = F.when(F.coalesce(rule.rejects(text, f), F.lit(False)), False).otherwise(passed)
-    return F.when(base_failed(f), False).otherwise(passed)
+    return passed
 
 
 def apply_rules(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -170,16 +196,18 @@ def apply_rules(df: DataFrame, text_col: str = "text") -> DataFrame:
     return out.select("*", base_failed(_columns()).alias("base_failed"), verdict(F.col(text_col), _columns(), ordered).alias("kept"))
 
 
-def keep_documents(df: DataFrame, text_col: str = "text") -> DataFrame:
+def keep_documents(df: DataFrame, text_col: str = "text", ordered: list[Rule] | None = None) -> DataFrame:
     """The rows that every rule lets pass, with the columns that they had.
 
-    A filter that the optimizer moves below the projections would compute the
-    features anew for each rule; a row number in them keeps it above.
+    A filter that the optimizer moves below the projections would split the
+    words anew for each rule; a row number in them keeps it above.
     """
-    row, own = fresh_name(df, "row_"), {c: fresh_name(df, f"own_{c}_") for c in df.columns if c in COUNTS}
-    out = features(df.withColumnsRenamed(own), text_col).withColumn(row, F.monotonically_increasing_id())
-    kept = verdict(F.col(text_col), _columns(), order_rules(df, text_col))
-    kept = out.filter(kept & (F.col(row) >= 0)).drop(row, *COUNTS)
+    row, tokens = fresh_name(df, "row_"), fresh_name(df, "tokens_")
+    own = {c: fresh_name(df, f"own_{c}_") for c in df.columns if c in COUNTS}
+    ordered = order_rules(df, text_col) if ordered is None else ordered
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    out = counted(df.withColumnsRenamed(own), text_col, tokens).withColumn(row, F.monotonically_increasing_id())
+    kept = out.filter(verdict(text, on_demand(text, F.col(tokens)), ordered) & (F.col(row) >= 0)).drop(row, tokens, *COUNTS)
     return kept.withColumnsRenamed({v: k for k, v in own.items()}).select(df.columns)
 
 
