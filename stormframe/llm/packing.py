@@ -1,6 +1,7 @@
 """Best-fit packing of documents into sequences, under conflicts of source and duplicate cluster.
 
-Documents are dealt into shards by a hash of their id, whatever their source,
+Documents are dealt into shards by a hash of their id and text, whatever their
+source (so rows that share an id, or have none, are spread),
 and each shard is packed by itself: longest first, each document into the bin
 with the least room left that takes it and holds neither its source nor its
 duplicate cluster. Bins lie in lists by the room they have left; a bitmap of the
@@ -85,7 +86,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataF
         docs.select("doc_id", F.col("source").cast("string").alias("source"), "cluster", F.coalesce("length", F.lit(0)).cast("int").alias("length"))
         .withColumn("part", part)
         .withColumn("length", F.least(F.lit(capacity), F.col("length") - F.col("part") * capacity).cast("int"))
-        .withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+        .withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "part"), F.lit(shards)))
     )
 
     def packed(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
