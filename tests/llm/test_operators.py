@@ -145,6 +145,11 @@ def test_quality_rules(spark):
     kept = quality_rules.keep_documents(d).collect()
     assert [(r["doc_id"], r["n_words"]) for r in kept] == [(8, "mine")]
     assert quality_rules.keep_documents(empty(spark)).count() == 0
+    # The order of the rules changes no verdict: repeated rows, and rows that one rule each rejects.
+    one_each = ["word " * 700, " ".join(w), " ".join(w), " ".join(x + "***" for x in w), " ".join(w) + "\nx y" * 70, "a b c d " + " ".join(w[:9]), " ".join(w).upper(), " ".join(x + "77777777" for x in w)]
+    rules = quality_rules.BASE + quality_rules.RULES
+    for ordered in (rules, rules[::-1], rules[4:] + rules[:4]):
+        assert [r["doc_id"] for r in quality_rules.keep_documents(docs(spark, one_each), ordered=ordered).collect()] == [1, 2]
 
 
 @pytest.mark.parametrize("digest, label", [(toxicity.toxicity_digest, "toxic"), (quality_model.quality_scores, "quality")])
@@ -196,6 +201,63 @@ def test_packing(spark):
     assert packing.best_fit([60, 50, 40], ["a", "b", "a"], [None] * 3, 100) == [(0, 0), (1, 0), (1, 50)]
 
 
+def plain_best_fit(lengths, sources, clusters, capacity):
+    """Every bin is looked at: of those that take the item, the one with the least room, longest at that room."""
+    bins, out = [], []
+    for step, (n, s, c) in enumerate(zip(lengths, sources, clusters, strict=True)):
+        fits = [b for b in bins if b["room"] >= n and (s is None or s not in b["s"]) and (c is None or c not in b["c"])]
+        if fits:
+            b = min(fits, key=lambda b: (b["room"], b["since"]))
+        else:
+            b = {"room": capacity, "s": set(), "c": set(), "no": len(bins)}
+            bins.append(b)
+        out.append((b["no"], capacity - b["room"]))
+        b.update(room=b["room"] - n, since=step)
+        b["s"].add(s)
+        b["c"].add(c)
+    return out
+
+
+def test_packing_matches_plain_best_fit(spark):
+    r = random.Random(8)
+    for capacity, count in ((7, 60), (50, 300), (200, 500)):
+        lengths = sorted((r.randrange(capacity + 1) for _ in range(count)), reverse=True)
+        sources = [r.choice(["hot", "hot", "a", "b", "c", None]) for _ in range(count)]
+        clusters = [r.choice([1, 2, 3, *[None] * 9]) for _ in range(count)]
+        for order in (list(range(count)), r.sample(range(count), count)):
+            given = [[x[k] for k in order] for x in (lengths, sources, clusters)]
+            assert packing.best_fit(*given, capacity) == plain_best_fit(*given, capacity)
+    # Rows without an id are spread over the shards; whole texts count, null ones get a place.
+    rows = spark.range(60).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("w "), F.repeat(F.lit("x "), F.col("id").cast("int"))).alias("text"), F.lit("s").alias("source"))
+    odd = rows.unionByName(docs(spark, [None, "", "y " * 5000])).withColumn("length", F.lit("clash"))
+    out = packing.pack_documents(odd).toPandas()
+    assert len(out) == 60 + 2 + 3 and out["length"].sum() == sum(range(1, 61)) + 5000
+    shards = packing.pack(rows.select("doc_id", "source", F.xxhash64("text").alias("cluster"), F.lit(1).alias("length")), 100, 10).toPandas()
+    assert (shards["bin_id"] // 2**32).nunique() > 3
+
+
+def test_pipeline_on_odd_tables(spark):
+    import corpus_pipeline
+
+    text = lambda seed: " ".join("".join(random.Random(seed + k).choice("abcdefgh") for _ in range(7)) + f"{chr(97 + k % 26)}" for k in range(90))
+    rows = [(k, t, None, None, None) for k, t in enumerate(ODD, 1000)] + [(None, text(1), "en", "s", 1), (None, text(500), None, "s", 2), (7, text(900), "en", None, 3), (7, text(900), "en", None, 3)]
+    docs_ = spark.createDataFrame(rows, spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").schema)
+    d, seen = docs_.withColumn("kept", F.lit("clash")), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        d = stage(spark, d, D).cache()
+        assert d.columns == [*docs_.columns, "kept"]
+        seen.append(sorted((str(r["doc_id"]) for r in d.collect())))
+    # Three texts pass the rules; of the repeated row one stays.
+    assert seen[0] == ["7", "7", "None", "None"] and seen[2] == ["7", "None", "None"] == seen[3]
+    assert [r["text"] for r in d.filter("doc_id = 7").collect()] == [text(900)]
+    packed = corpus_pipeline.STAGES[-1][1](spark, d, D)
+    assert packed.count() == 3 and packed.select("bin_id", "bin_offset").distinct().count() == 3
+    none = docs_.filter("doc_id < 0")
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, D)
+        assert none.count() == 0
+
+
 def test_pipeline_and_names(spark):
     import corpus_pipeline
 
