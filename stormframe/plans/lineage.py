@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,27 +83,27 @@ def cyclone_pairs(features: DataFrame) -> DataFrame:
     return _by_key(features, F.upper("name")).select(*PRODUCT, "p_ord", "ord")
 
 
-def _walk(group: pd.DataFrame) -> pd.DataFrame:
-    """The chains of one run of products: each sighting extends its predecessor's, unless its tag is another than the chain's."""
-    starts, tags, chain_of, seq_of = [], {}, {}, {}
-    for r in group.sort_values(["n", "ord"]).itertuples():
-        tag = r.tag if isinstance(r.tag, str) else None
-        before = None if pd.isna(r.p_ord) else chain_of.get((r.n - 1, int(r.p_ord)))
-        held = tags.get(before)
-        if before is None or (tag and held and tag != held):
-            before = (r.n, r.ord)
-            tags[before] = None
-            starts.append((r.n, r.ord, *before, 1, False))
-            seq_of[before] = 1
-        else:
-            seq_of[before] += 1
-            starts.append((r.n, r.ord, *before, seq_of[before], True))
-        tags[before] = tags[before] or tag
-        chain_of[(r.n, r.ord)] = before
-    out = pd.DataFrame(starts, columns=["n", "ord", "first_n", "first_ord", "seq", "linked"])
-    out.insert(0, "run", group["run"].iloc[0])
-    out.insert(0, "basin", group["basin"].iloc[0])
-    return out
+WALKED = "basin string, run long, n int, ord int, first_n int, first_ord int, seq int, linked boolean"
+
+
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The chains of runs of products, in order: each sighting extends its predecessor's, unless its tag is another than the chain's.
+
+    Only the chains of the product before and of the present one are held.
+    """
+    at, before, now = None, {}, {}
+    for batch in batches:
+        rows = []
+        for basin, run, n, o, p_ord, tag in batch[["basin", "run", "n", "ord", "p_ord", "tag"]].itertuples(index=False, name=None):
+            if at != (basin, run, n):
+                before, now, at = now if at == (basin, run, n - 1) else {}, {}, (basin, run, n)
+            tag = tag if isinstance(tag, str) and tag else None
+            first_n, first_ord, seq, held = (None if pd.isna(p_ord) else before.get(p_ord)) or (n, o, 0, None)
+            if tag and held and tag != held:
+                first_n, first_ord, seq, held = n, o, 0, None
+            now[o] = (first_n, first_ord, seq + 1, held or tag)
+            rows.append((basin, run, n, o, first_n, first_ord, seq + 1, seq > 0))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in WALKED.split(", ")])
 
 
 def plain_number(x: Column) -> Column:
@@ -110,14 +112,13 @@ def plain_number(x: Column) -> Column:
 
 
 def _chains(features: DataFrame, pairs: DataFrame, family: str, tag: Column, link: Column, signature: Column) -> DataFrame:
-    """Sightings of a family with ``chain_id, seq, link, tag``. Runs of products are bounded by the gap rule and walked one by one."""
+    """Sightings of a family with ``chain_id, seq, link, tag``. A run of products stays in one task, which reads it in order."""
     told = features.join(pairs, [*PRODUCT, "ord"], "left")
     earlier = features.select("basin", "run", (F.col("n") + 1).alias("n"), F.col("ord").alias("p_ord"), *(F.col(c).alias(f"p_{c}") for c in features.columns if c not in (*PRODUCT, "ord")))
     told = told.join(earlier, [*PRODUCT, "p_ord"], "left").withColumn("_link", link)
     # A pair that its gate rejects is never matched anew.
     walked = told.select(*PRODUCT, "ord", F.when(F.col("_link").isNotNull(), F.col("p_ord")).alias("p_ord"), tag.alias("tag"))
-    kind = "basin string, run long, n int, ord int, first_n int, first_ord int, seq int, linked boolean"
-    chains = walked.groupBy("basin", "run").applyInPandas(_walk, kind)
+    chains = walked.repartition("basin", "run").sortWithinPartitions(*PRODUCT, "ord").mapInPandas(_walk, WALKED)
     rows = told.select(*features.columns, "_link").join(chains, [*PRODUCT, "ord"])
     chain = Window.partitionBy("basin", "run", "first_n", "first_ord")
     rows = rows.withColumn("tag", F.first(tag, ignorenulls=True).over(chain.orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
