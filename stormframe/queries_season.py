@@ -219,7 +219,8 @@ oc AS (SELECT DISTINCT ON (tg.chain_id) tg.chain_id, fe.file AS cyclone_base, nm
 tk AS (SELECT tg.*, invest_base, cyclone_base, cname, first_td, CASE WHEN cyclone_base IS NOT NULL THEN CASE WHEN first_td IS NOT NULL THEN 'formed' ELSE 'no-genesis' END WHEN invest_base IS NOT NULL THEN CASE WHEN epoch(strptime((SELECT max(max_dtg) FROM fl), '%Y%m%d%H%M')) - epoch(strptime(omax, '%Y%m%d%H%M')) <= 12 * 3600 THEN 'open' ELSE 'not-formed' END END AS truth FROM tg LEFT JOIN oi USING (chain_id) LEFT JOIN oc USING (chain_id)),
 ag AS (SELECT *, CASE WHEN truth IS NULL THEN 'no-data' WHEN truth = 'open' THEN CASE WHEN outcome = 'formed' THEN 'refutes' ELSE 'open' END WHEN outcome = 'formed' THEN CASE WHEN truth = 'formed' AND (cyclone_name IS NULL OR cyclone_name = cname) THEN 'confirms' ELSE 'refutes' END
  WHEN outcome IN ('unresolved-nearby-cyclone', 'open') THEN 'resolves' WHEN truth = 'formed' THEN 'refutes' ELSE 'confirms' END AS agreement FROM tk),
-dd AS (SELECT a.chain_id, i.seq, min(sqrt(power(i.lat - b.flat, 2) + power(i.lon - b.flon, 2))) AS dist FROM ag a JOIN iv i USING (chain_id) JOIN fl ON fl.file = a.invest_base OR fl.file = a.cyclone_base JOIN bf b ON b.o_custkey = fl.o_custkey WHERE i.lat IS NOT NULL AND b.flat IS NOT NULL AND abs(epoch(b.t) - epoch(i.t)) <= 6 * 3600 GROUP BY ALL),
+ba AS (SELECT chain_id, invest_base AS file FROM ag WHERE invest_base IS NOT NULL UNION SELECT chain_id, cyclone_base FROM ag WHERE cyclone_base IS NOT NULL),
+dd AS (SELECT ba.chain_id, i.seq, min(sqrt(power(i.lat - b.flat, 2) + power(i.lon - b.flon, 2))) AS dist FROM ba JOIN fl USING (file) JOIN iv i ON i.chain_id = ba.chain_id JOIN bf b ON b.o_custkey = fl.o_custkey WHERE i.lat IS NOT NULL AND b.flat IS NOT NULL AND abs(epoch(b.t) - epoch(i.t)) <= 6 * 3600 GROUP BY ALL),
 ps AS (SELECT chain_id, count(*) AS n, floor(avg(dist) * 10 + 0.5) / 10 AS mean_deg, floor(max(dist) * 10 + 0.5) / 10 AS max_deg FROM dd GROUP BY 1)"""
 
 
