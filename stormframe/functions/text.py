@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -150,8 +152,22 @@ def product_route(text: Column) -> Column:
 
 def leftmost_key(text: Column, keys: list[str]) -> Column:
     """The key that occurs first in a text; of two at one place the longer one."""
-    hit = lambda k: F.struct(F.instr(F.lower(text), F.lit(k)).alias("at"), F.lit(-len(k)).alias("size"), F.lit(k).alias("key"))
-    return F.array_min(F.filter(F.array(*(hit(k) for k in keys)), lambda x: x["at"] > 0))["key"]
+    return leftmost_entry(text, dict.fromkeys(keys, (None, None)))["key"]
+
+
+def leftmost_entry(text: Column, places: dict[str, tuple]) -> Column:
+    """``at, size, key, lat, lon`` of the place that a text names first; of two at one place the longer one.
+
+    The table is one constant, so that an expression on it stays small however many places there are.
+    """
+    rows = json.dumps([{"key": k, "lat": lat, "lon": lon} for k, (lat, lon) in sorted(places.items())])
+    known = F.from_json(F.lit(rows), "array<struct<key:string,lat:double,lon:double>>")
+
+    def hits(low: Column) -> Column:
+        hit = lambda k: F.struct(F.instr(low, k["key"]).alias("at"), (-F.length(k["key"])).alias("size"), k["key"].alias("key"), k["lat"].alias("lat"), k["lon"].alias("lon"))
+        return F.array_min(F.filter(F.transform(known, hit), lambda x: x["at"] > 0))
+
+    return bind(F.lower(text), hits)
 
 
 def find_all(text: Column, pattern: str, groups: int) -> Column:

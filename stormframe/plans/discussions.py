@@ -27,6 +27,7 @@ from stormframe.functions.text import (
 )
 from stormframe.plans.outlook import CLIMATOLOGY, ELSEWHERE, FEATURE, LEFT_BASIN, resolve_place
 from stormframe.plans.places import PLACES
+from stormframe.session import settled
 
 # How a box and a fix are worded, what calls a box strong, and how far around it that is looked for.
 BOX = rf"(?i)from\s+{LAT}\s+to\s+{LAT}\s+between\s+{LON}\s+and\s+{LON}"
@@ -272,14 +273,17 @@ def without_repeats(points: DataFrame, geometry: DataFrame) -> DataFrame:
 
 
 def discussion_features(products: DataFrame) -> dict[str, DataFrame]:
-    """The tables of features of ``file, basin, text`` products, each pass on its sections; ``inferred`` without what the others tell."""
-    sections = split_sections(products)
-    found_cyclones = cyclones(sections)
+    """The tables of features of ``file, basin, text`` products, each pass on its sections; ``inferred`` without what the others tell.
+
+    Each table is worked out once and checkpointed, as passes read one another's.
+    """
+    sections = settled(split_sections(products))
+    found_cyclones = settled(cyclones(sections))
     fixed = point_fixes(sections.join(found_cyclones.select("file", "section").distinct(), ["file", "section"], "left_anti"))
-    lines = troughs(sections)
+    lines = settled(troughs(sections))
     vertices = lines.select("file", "name", F.explode("line").alias("p")).select("file", "name", "p.lat", "p.lon").distinct()
-    fixed = fixed.join(vertices, ["file", "name", "lat", "lon"], "left_anti")
-    axes = waves(sections)
+    fixed = settled(fixed.join(vertices, ["file", "name", "lat", "lon"], "left_anti"))
+    axes = settled(waves(sections))
     spot = F.array(_point(F.col("lat"), F.col("lon")))
     kinds = (("wave", axes, F.col("axis")), ("trough", lines, F.col("line")), ("point", found_cyclones, spot), ("point", fixed, spot))
     drawn = None
@@ -288,7 +292,7 @@ def discussion_features(products: DataFrame) -> dict[str, DataFrame]:
         drawn = part if drawn is None else drawn.unionByName(part)
     return {
         "sections": sections, "cyclones": found_cyclones, "waves": axes, "convection": convection_boxes(sections), "troughs": lines, "fixes": fixed,
-        "inferred": without_repeats(inferred_points(sections), drawn), "projections": projections(axes, found_cyclones),
+        "inferred": settled(without_repeats(inferred_points(sections), drawn)), "projections": projections(axes, found_cyclones),
     }
 
 

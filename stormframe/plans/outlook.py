@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stormframe.functions.geometry import offset_point
 from stormframe.functions.scalars import round_half_up
-from stormframe.functions.text import MPH_TO_KT, bind, compass_degrees, formation_chance, found, leftmost_key, lookup_or_null, one_line, paragraphs, rejoin_wraps, sentences
+from stormframe.functions.text import MPH_TO_KT, bind, compass_degrees, formation_chance, found, leftmost_entry, lookup_or_null, one_line, paragraphs, rejoin_wraps, sentences
 from stormframe.plans.places import PLACES
 
 # What makes a sentence speak of a feature, of one that has left its basin, or of a model or section;
@@ -35,10 +35,13 @@ ODDS, OWN_TITLE, TITLED, TAG = r"(?i)\*\s*formation chance", r"^[^\n]*:", r"^\s*
 Gazetteer = dict[str, tuple[float, float]]
 
 
+def _spot(hit: Column) -> Column:
+    return F.when(hit.isNotNull(), F.struct(hit["lat"].alias("lat"), hit["lon"].alias("lon")))
+
+
 def anchor_point(phrase: Column, places: Gazetteer) -> Column:
     """The point of the leftmost, then longest, place that a phrase names."""
-    points = F.create_map(*(x for k, (lat, lon) in places.items() for x in (F.lit(k), F.struct(F.lit(float(lat)).alias("lat"), F.lit(float(lon)).alias("lon")))))
-    return F.try_element_at(points, leftmost_key(phrase, sorted(places)))
+    return bind(leftmost_entry(phrase, places), _spot)
 
 
 # A place between two others, the miles of vague hundreds, and the farthest a product would measure.
@@ -75,9 +78,11 @@ def _away(p: Column, places: Gazetteer) -> Column:
 
 
 def _named(p: Column, places: Gazetteer) -> Column:
-    before = F.substring(p, F.lit(1), F.instr(p, leftmost_key(p, sorted(places))) - 1)
-    vague = F.coalesce(compass_degrees(found(before, VAGUE)).isNotNull(), F.lit(False))
-    return F.when(~vague, anchor_point(p, places))
+    def told(hit: Column) -> Column:
+        vague = compass_degrees(found(F.substring(p, F.lit(1), hit["at"] - 1), VAGUE)).isNotNull()
+        return F.when(~F.coalesce(vague, F.lit(False)), _spot(hit))
+
+    return bind(leftmost_entry(p, places), told)
 
 
 def locates(sentence: Column, basin: Column) -> Column:

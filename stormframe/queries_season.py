@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stormframe.plans import audit, ledger, lineage, truth
 from stormframe.queries import _STATEMENTS, _rate, _statements, query, r4
-from stormframe.session import table
+from stormframe.session import settled, table
 from stormframe.sources import products, sinks
 
 #: Days between orders of one basin that end a run, for the kernels whose rule is 18 hours.
@@ -123,6 +123,7 @@ def _families(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
         F.when(c % 6 == 1, F.concat(F.lit("AL9"), (c % 10).cast("string"))).alias("tag"), F.concat(F.lit("N"), (c % 13).cast("string")).alias("name"),
         F.when(k % 3 == 0, F.struct(_cat(k).alias("cat"), (k % 100).cast("int").alias("pct"))).alias("chance48"), F.when(k % 4 == 0, F.struct(_cat(k + 1).alias("cat"), (k % 90).cast("int").alias("pct"))).alias("chance7"),
     )
+    s = settled(s)
     waves = s.filter("family = 0").withColumn("mean_lon", F.col("lon")).withColumn("axis", F.array(F.struct("lat", "lon"), F.struct((F.col("lat") - 5).alias("lat"), "lon")))
     return waves, s.filter("family = 1"), s.filter("family = 2")
 
@@ -153,9 +154,9 @@ rc AS (SELECT sp.*, g.target AS cyclone_id, g.at_stamp AS genesis_stamp, w.sourc
 def _ledger(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     waves, invests, cyclones = _families(spark, d)
     # A season's links and records are few, and several plans read them.
-    links = lineage.genesis_links(waves, invests, cyclones).persist()
+    links = settled(lineage.genesis_links(waves, invests, cyclones))
     now = ledger.data_now(waves, invests, cyclones, links)
-    return ledger.ledger_records(invests, cyclones, links, now), invests, cyclones
+    return settled(ledger.ledger_records(invests, cyclones, links, now)), invests, cyclones
 
 
 @query("WITH " + _CHAINS + ", " + _LINKS + ", " + _NEARBY + " SELECT basin, chain_id, tag, first_stamp, last_stamp, wave_id, cyclone_id, cyclone_name, genesis_stamp, outcome, n_near, n_siblings, now FROM rc")
@@ -193,8 +194,7 @@ fl AS (SELECT *, lower(basin) || lpad(num::VARCHAR, 2, '0') || '2026' AS id, 'b'
  CASE WHEN num < 90 AND o_custkey % 5 <> 0 THEN 'al9' || (o_custkey % 10) || '2026' END AS ref, (o_custkey % 11)::VARCHAR AS gnum, CASE WHEN num < 90 AND o_custkey % 7 <> 0 THEN min_dtg END AS first_td FROM f9)"""
 
 
-def _files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    _, invests, cyclones = _families(spark, d)
+def _files(invests: DataFrame, cyclones: DataFrame) -> tuple[DataFrame, DataFrame]:
     c = F.col("o_custkey")
     s = invests.unionByName(cyclones)
     num = F.when(c % 3 == 1, F.lit(90) + c % 10).otherwise(c % 90).cast("int")
@@ -226,10 +226,11 @@ ps AS (SELECT chain_id, count(*) AS n, floor(avg(dist) * 10 + 0.5) / 10 AS mean_
 
 def _overlay(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     records, invests, cyclones = _ledger(spark, d)
-    files, fixes = _files(spark, d)
+    files, fixes = _files(invests, cyclones)
+    files = settled(files)
     now = files.agg(F.max("max_dtg").alias("btk_now"))
     told = truth.truth_overlay(records.crossJoin(F.broadcast(now)), invests, files, fixes, F.col("btk_now"))
-    return told.persist(), records, invests, cyclones
+    return settled(told), records, invests, cyclones
 
 
 @query("WITH " + _CHAINS + ", " + _LINKS + ", " + _NEARBY + ", " + _FILES + ", " + _TRUTH + " SELECT basin, ag.chain_id, truth, invest_base, cyclone_base, first_td AS first_td_dtg, agreement, CAST(floor((epoch(strptime(genesis_stamp, '%Y%m%d%H%M')) - epoch(strptime(first_td, '%Y%m%d%H%M'))) / 3600 + 0.5) AS INT) AS genesis_delta_h, n, mean_deg, max_deg FROM ag LEFT JOIN ps USING (chain_id)")
@@ -265,8 +266,8 @@ mt AS (SELECT DISTINCT ON (cs.chain_id) cs.chain_id, fl.file AS base FROM cs JOI
 SELECT cs.chain_id, name, base, count(*) FILTER (WHERE base IS NOT NULL) OVER (PARTITION BY base) AS chains_of_file FROM cs LEFT JOIN mt USING (chain_id)""")
 def cyclone_truth(spark: SparkSession, d: str) -> DataFrame:
     """The file of each cyclone chain by name, basin and era; a file that several chains meet is one storm split."""
-    _, _, cyclones = _families(spark, d)
-    files, fixes = _files(spark, d)
+    _, invests, cyclones = _families(spark, d)
+    files, fixes = _files(invests, cyclones)
     out = truth.cyclone_truth(cyclones.withColumn("basin", F.when(F.col("basin") == "0", "AT").otherwise("EP")), files, fixes)
     split = F.count(F.when(F.col("base").isNotNull(), 1)).over(Window.partitionBy("base"))
     return out.select("chain_id", "name", "base", split.alias("chains_of_file"))
@@ -277,7 +278,8 @@ sh AS (SELECT a.o_custkey, b.basin || b.num AS tag FROM fl a JOIN fl b ON a.basi
 SELECT file AS base, id, CASE basin WHEN 'AL' THEN 'AT' ELSE 'EP' END AS basin, CASE WHEN num >= 90 THEN 'invest' ELSE 'cyclone' END AS kind, coalesce(string_agg(tag, ',' ORDER BY tag), '') AS tags, (SELECT count(*) FROM bf WHERE bf.o_custkey = fl.o_custkey) AS n_fixes FROM fl LEFT JOIN al USING (o_custkey) GROUP BY ALL""")
 def storm_tracks(spark: SparkSession, d: str) -> DataFrame:
     """A row for each best-track file with the invests that files name explicitly."""
-    files, fixes = _files(spark, d)
+    _, invests, cyclones = _families(spark, d)
+    files, fixes = _files(invests, cyclones)
     out = truth.storm_tracks(files, fixes.withColumns({"vmax": F.lit(30), "status": F.lit("DB")}), F.lit(2026))
     return out.select("base", "id", "basin", "kind", F.array_join("invest_tags", ",").alias("tags"), F.size("fixes").cast("long").alias("n_fixes"))
 
