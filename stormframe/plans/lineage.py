@@ -12,6 +12,7 @@ from stormframe.functions.geometry import flat_distance
 from stormframe.functions.scalars import hours_between, mean_longitude, round_half_up, stamp_time
 from stormframe.operators.chains import GAP_HOURS
 from stormframe.operators.matching import greedy_pairs, sure_nearest, within
+from stormframe.session import settled
 
 # Degrees between paired waves and areas, the eastward drift that parts a wave, and the gates of genesis.
 WAVE_DEGREES, AREA_DEGREES, EAST_DEGREES = 6.0, 4.0, 2.0
@@ -129,7 +130,8 @@ def _chains(features: DataFrame, pairs: DataFrame, family: str, tag: Column, lin
         F.concat_ws("-", "basin", F.lit(LETTERS[family]), "stamp", F.col("_k").cast("string")).alias("chain_id"),
     )
     out = rows.join(ids, ["basin", "run", "first_n", "first_ord"]).withColumn("link", F.when(F.col("linked"), F.col("_link")))
-    return out.drop("run", "n", "first_n", "first_ord", "linked", "_link")
+    # Links, ledger and lookups all read the chains.
+    return settled(out.drop("run", "n", "first_n", "first_ord", "linked", "_link"))
 
 
 def wave_chains(stream: DataFrame, waves: DataFrame) -> DataFrame:
@@ -190,7 +192,7 @@ def cyclone_links(invests: DataFrame, cyclones: DataFrame) -> DataFrame:
 
 
 def genesis_links(waves: DataFrame, invests: DataFrame, cyclones: DataFrame) -> DataFrame:
-    return wave_links(waves, invests).unionByName(cyclone_links(invests, cyclones)).withColumn("confidence", F.lit("inferred-genesis"))
+    return settled(wave_links(waves, invests).unionByName(cyclone_links(invests, cyclones)).withColumn("confidence", F.lit("inferred-genesis")))
 
 
 #: The order of links in a file.
