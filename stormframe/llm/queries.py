@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stormframe.llm import chat, media, near_dedup, packing, pieces, quality_model, quality_rules, suffix_dedup, token_counts, toxicity
+from stormframe.llm import (
+    chat,
+    decontaminate,
+    hard_negatives,
+    media,
+    near_dedup,
+    packing,
+    pieces,
+    quality_model,
+    quality_rules,
+    suffix_dedup,
+    token_alignment,
+    token_counts,
+    toxicity,
+)
 from stormframe.llm.common import documents, table
 
 #: The planted conversation of the first query.
@@ -55,6 +69,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op11_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.negatives_digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leak_digest(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_corpus(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -68,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_minhash_near_dedup,
         op9_token_counts,
         op10_best_fit_packing,
+        op11_hard_negative_mining,
+        op12_benchmark_decontamination,
+        op13_cross_tokenizer_alignment,
     )
 }
 
@@ -151,4 +180,56 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = componen
 FROM documents d JOIN least USING (doc_id) LEFT JOIN sized USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": _CHAT, "op5_quality_rules": _QUALITY, "op8_minhash_near_dedup": _NEAR}
+_NEGATIVES = r"""
+WITH used AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS other, a.label = c.label AS same, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+  FROM used a JOIN used c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER w <= 5
+"""
+
+_LEAKS = r"""
+WITH said AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+  FROM documents
+), items AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(10, len(words)) AS size, unnest([array_to_string(words[k:k+9], ' ') FOR k IN range(1, greatest(2, len(words) - 8))]) AS w
+  FROM items WHERE len(words) > 0
+), sizes AS (
+  SELECT DISTINCT size FROM windows
+), places AS (
+  SELECT doc_id, size, unnest(range(1, len(words) - size + 2)) AS k, unnest([array_to_string(words[k:k+size-1], ' ') FOR k IN range(1, len(words) - size + 2)]) AS w
+  FROM said, sizes WHERE len(words) >= size
+), hits AS (
+  SELECT doc_id, k, size, item_id FROM places JOIN windows USING (size, w)
+), hit AS (
+  SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(k, k + size)) AS pos FROM hits) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM said LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_formatting": _CHAT,
+    "op5_quality_rules": _QUALITY,
+    "op8_minhash_near_dedup": _NEAR,
+    "op11_hard_negative_mining": _NEGATIVES,
+    "op12_benchmark_decontamination": _LEAKS,
+}
