@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stormframe.session import settled
+
 
 def greedy_pairs(candidates: DataFrame, group: list[str], left: str, right: str, distance: str) -> DataFrame:
     """One-to-one pairs of each group, nearest first; ties by left, then right.
@@ -37,6 +43,25 @@ def within(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, rig
     return joined.filter(F.abs(F.col(left_at) - F.col(right_at)) <= width)
 
 
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str], width: float) -> DataFrame:
+    """Pairs with equal keys whose closed intervals of numbers meet, each pair once.
+
+    Both sides are dealt into bins of ``width``, so a row costs its length in
+    bins; a pair meets in every bin that both cover, and the one in which the
+    later of the two begins owns it. An interval with an unknown end, or one
+    that ends before it begins, meets nothing.
+    """
+    (a, b), (c, d) = left_span, right_span
+    at = lambda x: F.floor(x / width).cast("long")
+
+    def dealt(rows: DataFrame, low: str, high: str) -> DataFrame:
+        return rows.filter(F.col(low) <= F.col(high)).withColumn("_bin", F.explode(F.sequence(at(F.col(low)), at(F.col(high)))))
+
+    joined = dealt(left, a, b).join(dealt(right, c, d), [*keys, "_bin"])
+    meet = (F.col(a) <= F.col(d)) & (F.col(c) <= F.col(b)) & (F.col("_bin") == at(F.greatest(a, c)))
+    return joined.filter(meet).drop("_bin")
+
+
 def last_before(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, payload: list[str]) -> DataFrame:
     """Each left row with the last right row at or before it: one union, one sort, one pass; no join."""
     value = F.struct(F.col(right_at).alias(right_at), *payload)
@@ -74,8 +99,79 @@ def product_diff(previous: DataFrame, current: DataFrame, keys: list[str], order
     return both.withColumn("change", F.when(F.col("_p") & F.col("_c"), "paired").when(F.col("_c"), "added").otherwise("removed")).drop("_p", "_c")
 
 
-def not_superseded(rows: DataFrame, key: str, stamp: str, low: str, high: str) -> DataFrame:
-    """Rows whose interval no later row of the key contains."""
-    later = rows.select(F.col(key).alias("_k"), F.col(stamp).alias("_s"), F.col(low).alias("_l"), F.col(high).alias("_h"))
-    covers = (F.col(key) == F.col("_k")) & (F.col("_s") > F.col(stamp)) & (F.col("_l") <= F.col(low)) & (F.col("_h") >= F.col(high))
-    return rows.join(later, covers, "left_anti")
+#: Rows of a key that one task sweeps; a key with more is cut into chunks by stamp.
+SWEPT = 50_000
+
+
+def not_superseded(rows: DataFrame, key: str, stamp: str, low: str, high: str, swept: int = SWEPT) -> DataFrame:
+    """Rows whose interval no row of the key with a later stamp contains.
+
+    A sweep by falling stamp holds the intervals that no later one contains, in
+    order of their lower ends, and asks of each row whether the last of them that
+    begins no later than it ends before it does. A key of many rows is swept in
+    chunks of stamps; each chunk's outermost intervals are then passed on to the
+    chunks before it, where all of them are later, so a running maximum over the
+    order of lower ends finds what they contain. A row with a null among the
+    four columns contains nothing and is contained by nothing.
+    """
+    whole = F.col(key).isNotNull() & F.col(stamp).isNotNull() & F.col(low).isNotNull() & F.col(high).isNotNull()
+    hot = rows.filter(whole).groupBy(key).agg(F.count("*").alias("_n"), F.min(stamp).alias("_a"), F.max(stamp).alias("_z"))
+    hot = settled(hot.filter((F.col("_n") > swept) & (F.col("_a") < F.col("_z"))).select(key))
+    # Rows with a null pass through; they are dealt out, as they may be many.
+    chunked, many = rows.withColumn("_chunk", F.when(whole, 0).otherwise(-1 - F.pmod(F.xxhash64(stamp, low, high), F.lit(256)).cast("int"))), not hot.isEmpty()
+    if many:
+        # Bounds of chunks from a table of each stamp's rows, added up in order.
+        per = rows.filter(whole).join(hot, key, "left_semi").groupBy(key, stamp).agg(F.count("*").alias("_m"))
+        upto = F.sum("_m").over(Window.partitionBy(key).orderBy(stamp).rowsBetween(Window.unboundedPreceding, -1))
+        chunks = settled(per.select(key, stamp, F.floor(F.coalesce(upto, F.lit(0)) / swept).cast("int").alias("_chunk")))
+        chunked = chunked.join(chunks.withColumnRenamed("_chunk", "_later"), [key, stamp], "left")
+        chunked = chunked.withColumn("_chunk", F.when(whole, F.coalesce("_later", "_chunk")).otherwise(F.col("_chunk"))).drop("_later")
+    kept = chunked.repartition(key, "_chunk").sortWithinPartitions(key, "_chunk", F.desc(stamp))
+    names = (key, stamp, low, high)
+    kept = kept.mapInArrow(lambda batches: _sweep(batches, *names), kept.schema)
+    if many:
+        kept = settled(kept)
+        hot_rows = kept.filter("_chunk >= 0").join(hot, key, "left_semi")
+        by_low = Window.partitionBy(key, "_chunk").orderBy(low, F.desc(high)).rowsBetween(Window.unboundedPreceding, -1)
+        outer = hot_rows.withColumn("_reach", F.max(high).over(by_low)).filter(F.col("_reach").isNull() | (F.col("_reach") < F.col(high)))
+        passed = outer.filter("_chunk > 0").select(key, F.col(low), F.col(high).alias("_far"), F.explode(F.sequence(F.lit(0), F.col("_chunk") - 1)).alias("_chunk"))
+        far = dict(kept.dtypes)[high]
+        both = hot_rows.withColumn("_far", F.lit(None).cast(far)).withColumn("_own", F.lit(True)).unionByName(passed.withColumn("_own", F.lit(False)), allowMissingColumns=True)
+        seen = F.max("_far").over(Window.partitionBy(key, "_chunk").orderBy(low, "_own").rowsBetween(Window.unboundedPreceding, 0))
+        free = both.withColumn("_seen", seen).filter(F.col("_own") & (F.col("_seen").isNull() | (F.col("_seen") < F.col(high)))).select(kept.columns)
+        kept = kept.filter("_chunk < 0").unionByName(kept.filter("_chunk >= 0").join(hot, key, "left_anti")).unionByName(free)
+    return kept.select(rows.columns)
+
+
+def _sweep(batches: Iterator[pa.RecordBatch], key: str, stamp: str, low: str, high: str) -> Iterator[pa.RecordBatch]:
+    """Rows in order of key, chunk and falling stamp, without those that a later row of their chunk contains."""
+    at, now, lows, highs = None, None, [], []
+    own_lows, own_highs = [], []  # rows of the present stamp, which do not contain each other
+    plain = lambda x: (x.cast(pa.int64()) if pa.types.is_timestamp(x.type) else x).to_pylist()
+    for batch in batches:
+        keep = []
+        for k, c, s, a, b in zip(*(plain(batch.column(name)) for name in (key, "_chunk", stamp, low, high)), strict=True):
+            if at != (k, c):
+                at, now, lows, highs, own_lows, own_highs = (k, c), s, [], [], [], []
+            elif s != now:
+                for x, y in zip(own_lows, own_highs, strict=True):
+                    _hold(lows, highs, x, y)
+                now, own_lows, own_highs = s, [], []
+            if c < 0:
+                keep.append(True)
+                continue
+            place = bisect.bisect_right(lows, a)
+            keep.append(not place or highs[place - 1] < b)
+            if keep[-1]:
+                _hold(own_lows, own_highs, a, b)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def _hold(lows: list, highs: list, a, b) -> None:
+    """Add an interval to those held; both ends rise, and what it contains goes."""
+    end = bisect.bisect_right(lows, a)
+    if end and highs[end - 1] >= b:
+        return
+    start = bisect.bisect_left(lows, a)
+    stop = bisect.bisect_right(highs, b, lo=start)
+    lows[start:stop], highs[start:stop] = [a], [b]

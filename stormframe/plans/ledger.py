@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stormframe.functions.geometry import flat_distance
 from stormframe.functions.scalars import hours_between, plus_hours, round_half_up, stamp_time, time_stamp
+from stormframe.operators.matching import overlapping
 
 HORIZONS = (48, 168)
 CATEGORIES = ("low", "medium", "high")
@@ -73,6 +74,8 @@ def truth_kind(cyclone_file: Column, first_td: Column, hours_since_invest: Colum
 
 # Degrees and hours within which a cyclone that no link claims leaves an invest unresolved.
 NEAR_DEGREES, NEAR_TAIL_HOURS = 10.0, 48
+#: Hours of the bins in which spans of chains and eras of files meet: about the length of one.
+SPAN_HOURS = 240.0
 
 
 def data_now(*tables: DataFrame) -> DataFrame:
@@ -98,7 +101,9 @@ def nearby_cyclones(invests: DataFrame, cyclones: DataFrame, links: DataFrame) -
     first = cyclones.filter("seq = 1").select("basin", F.col("chain_id").alias("cyclone_id"), "name", F.col("stamp").alias("opens"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
     first = first.join(claimed, "cyclone_id", "left_anti")
     spans = chain_spans(invests).withColumn("tail", time_stamp(plus_hours(stamp_time(F.col("last_stamp")), NEAR_TAIL_HOURS)))
-    met = spans.join(first, "basin").filter((F.col("opens") >= F.col("first_stamp")) & (F.col("opens") <= F.col("tail")))
+    hour = lambda c: F.unix_seconds(stamp_time(F.col(c))) / F.lit(3600.0)
+    spans = spans.withColumns({"_from": hour("first_stamp"), "_to": hour("tail")})
+    met = overlapping(spans, first.withColumn("_at", hour("opens")), ["basin"], ("_from", "_to"), ("_at", "_at"), SPAN_HOURS)
     placed = invests.filter("lat IS NOT NULL AND lon IS NOT NULL").select("basin", "chain_id", "seq", F.col("stamp").alias("s_stamp"), "lat", "lon")
     far = F.abs(hours_between(stamp_time(F.col("s_stamp")), stamp_time(F.col("opens"))))
     keys = ["basin", "chain_id", "cyclone_id", "name", "opens", "c_lat", "c_lon"]

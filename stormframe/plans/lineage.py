@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +9,7 @@ from stormframe.functions.geometry import flat_distance
 from stormframe.functions.scalars import hours_between, mean_longitude, round_half_up, stamp_time
 from stormframe.operators.chains import GAP_HOURS
 from stormframe.operators.matching import greedy_pairs, sure_nearest, within
+from stormframe.operators.ranking import path_places
 from stormframe.session import settled
 
 # Degrees between paired waves and areas, the eastward drift that parts a wave, and the gates of genesis.
@@ -25,12 +23,23 @@ def product_stream(products: DataFrame, gap_hours: float = GAP_HOURS) -> DataFra
     """``file, basin, stamp, n, run`` in the order (stamp, file); a gap over the limit, or one that can't be measured, starts a new run.
 
     Products without features count: they part what stands before from what comes after.
+    Products are numbered and parted within their day; what the days before it add up to comes from a row a day.
     """
-    order = Window.partitionBy("basin").orderBy("stamp", "file")
+    rows = products.select("file", "basin", "stamp", F.coalesce(F.substring("stamp", 1, 8), F.lit("")).alias("_day"))
     time = stamp_time(F.col("stamp"))
-    fresh = F.coalesce(hours_between(F.lag(time).over(order), time) > gap_hours, F.lit(True)).cast("int")
-    rows = products.select("file", "basin", "stamp").withColumn("n", F.row_number().over(order)).withColumn("fresh", fresh)
-    return rows.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("fresh")
+    order = Window.partitionBy("basin", "_day").orderBy("stamp", "file")
+    fresh = lambda before, own: F.coalesce(hours_between(before, own) > gap_hours, F.lit(True)).cast("long")
+    rows = rows.withColumn("n", F.row_number().over(order)).withColumn("_fresh", F.when(F.col("n") > 1, fresh(F.lag(time).over(order), time)).otherwise(0))
+    rows = rows.withColumn("run", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    days = rows.groupBy("basin", "_day").agg(F.count("*").alias("_n"), F.sum("_fresh").alias("_runs"), F.min_by(time, "n").alias("_first"), F.max_by(time, "n").alias("_last"))
+    by_day = Window.partitionBy("basin").orderBy("_day")
+    days = days.withColumn("_runs", F.col("_runs") + fresh(F.lag("_last").over(by_day), F.col("_first")))
+    earlier = by_day.rowsBetween(Window.unboundedPreceding, -1)
+    # The first product of a day opens a run of its own, or goes on with the last of the day before.
+    opened = F.coalesce(F.sum("_runs").over(earlier), F.lit(0)) + fresh(F.lag("_last").over(by_day), F.col("_first"))
+    days = days.select("basin", "_day", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), opened.alias("_opened"))
+    told = rows.join(days, ["basin", "_day"])
+    return told.select("file", "basin", "stamp", (F.col("n") + F.col("_before")).cast("int").alias("n"), (F.col("run") + F.col("_opened")).alias("run"))
 
 
 def _sides(features: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,54 +93,39 @@ def cyclone_pairs(features: DataFrame) -> DataFrame:
     return _by_key(features, F.upper("name")).select(*PRODUCT, "p_ord", "ord")
 
 
-WALKED = "basin string, run long, n int, ord int, first_n int, first_ord int, seq int, linked boolean"
-
-
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The chains of runs of products, in order: each sighting extends its predecessor's, unless its tag is another than the chain's.
-
-    Only the chains of the product before and of the present one are held.
-    """
-    at, before, now = None, {}, {}
-    for batch in batches:
-        rows = []
-        for basin, run, n, o, p_ord, tag in batch[["basin", "run", "n", "ord", "p_ord", "tag"]].itertuples(index=False, name=None):
-            if at != (basin, run, n):
-                before, now, at = now if at == (basin, run, n - 1) else {}, {}, (basin, run, n)
-            tag = tag if isinstance(tag, str) and tag else None
-            first_n, first_ord, seq, held = (None if pd.isna(p_ord) else before.get(p_ord)) or (n, o, 0, None)
-            if tag and held and tag != held:
-                first_n, first_ord, seq, held = n, o, 0, None
-            now[o] = (first_n, first_ord, seq + 1, held or tag)
-            rows.append((basin, run, n, o, first_n, first_ord, seq + 1, seq > 0))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in WALKED.split(", ")])
-
-
 def plain_number(x: Column) -> Column:
     """A number as text without a bare fraction: -44, -44.5; minus zero is 0."""
     return F.regexp_replace((x.cast("double") + F.lit(0.0)).cast("string"), r"\.0$", "")
 
 
 def _chains(features: DataFrame, pairs: DataFrame, family: str, tag: Column, link: Column, signature: Column) -> DataFrame:
-    """Sightings of a family with ``chain_id, seq, link, tag``. A run of products stays in one task, which reads it in order."""
+    """Sightings of a family with ``chain_id, seq, link, tag``.
+
+    Pairs are one to one, so they make paths; a path is ranked by doubling
+    pointers, and parts where a tag differs from the last one before it: from
+    there on it is a chain of that tag. Only a path is held by one task.
+    """
     told = features.join(pairs, [*PRODUCT, "ord"], "left")
     earlier = features.select("basin", "run", (F.col("n") + 1).alias("n"), F.col("ord").alias("p_ord"), *(F.col(c).alias(f"p_{c}") for c in features.columns if c not in (*PRODUCT, "ord")))
-    told = told.join(earlier, [*PRODUCT, "p_ord"], "left").withColumn("_link", link)
     # A pair that its gate rejects is never matched anew.
-    walked = told.select(*PRODUCT, "ord", F.when(F.col("_link").isNotNull(), F.col("p_ord")).alias("p_ord"), tag.alias("tag"))
-    chains = walked.repartition("basin", "run").sortWithinPartitions(*PRODUCT, "ord").mapInPandas(_walk, WALKED)
-    rows = told.select(*features.columns, "_link").join(chains, [*PRODUCT, "ord"])
-    chain = Window.partitionBy("basin", "run", "first_n", "first_ord")
+    told = settled(told.join(earlier, [*PRODUCT, "p_ord"], "left").withColumn("_link", link))
+    node = lambda n, o: F.concat_ws(":", "basin", n, o)
+    named = told.select("*", node("n", "ord").alias("node"), F.when(F.col("_link").isNotNull(), node(F.col("n") - 1, "p_ord")).alias("_before"))
+    rows = named.join(path_places(named, "node", "_before"), "node")
+    path = Window.partitionBy("root").orderBy("place")
+    own = F.when(tag != "", tag)
+    held = F.last(own, ignorenulls=True).over(path.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_part", F.coalesce(own != held, F.lit(False)).cast("int")).withColumn("_part", F.sum("_part").over(path.rowsBetween(Window.unboundedPreceding, 0)))
+    chain = Window.partitionBy("root", "_part")
+    rows = rows.withColumn("seq", (F.col("place") - F.min("place").over(chain) + 1).cast("int"))
     rows = rows.withColumn("tag", F.first(tag, ignorenulls=True).over(chain.orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     firsts = rows.filter("seq = 1").withColumn("_sig", signature)
     order = Window.partitionBy("basin", "stamp").orderBy("_sig", "n", "ord")
-    ids = firsts.withColumn("_k", F.row_number().over(order)).select(
-        "basin", "run", "first_n", "first_ord",
-        F.concat_ws("-", "basin", F.lit(LETTERS[family]), "stamp", F.col("_k").cast("string")).alias("chain_id"),
-    )
-    out = rows.join(ids, ["basin", "run", "first_n", "first_ord"]).withColumn("link", F.when(F.col("linked"), F.col("_link")))
+    number = F.row_number().over(order).cast("string")
+    ids = firsts.select("root", "_part", F.concat_ws("-", "basin", F.lit(LETTERS[family]), "stamp", number).alias("chain_id"))
+    out = rows.join(ids, ["root", "_part"]).withColumn("link", F.when(F.col("seq") > 1, F.col("_link")))
     # Links, ledger and lookups all read the chains.
-    return settled(out.drop("run", "n", "first_n", "first_ord", "linked", "_link"))
+    return settled(out.select(*features.drop("run", "n").columns, "chain_id", "seq", "tag", "link"))
 
 
 def wave_chains(stream: DataFrame, waves: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from stormframe.functions.geometry import flat_distance
 from stormframe.functions.scalars import hours_between, invest_tag, overlaps, plus_hours, round_half_up, stamp_time, storm_name
-from stormframe.operators.matching import first_match, within
-from stormframe.plans.ledger import HORIZONS, agreement, observed_rate, truth_kind
+from stormframe.operators.matching import first_match, overlapping, within
+from stormframe.plans.ledger import HORIZONS, SPAN_HOURS, agreement, observed_rate, truth_kind
 
 # Hours that an era may lie off a chain, that genesis may trail it, between a sighting and a fix, and an outlier's degrees.
 ERA_HOURS, TRAIL_HOURS, MATCH_HOURS, OUTLIER_DEGREES = 48, 240, 6.0, 5.0
@@ -24,6 +24,15 @@ def _era(after: int) -> Column:
     return overlaps(t("f_min_dtg"), t("f_max_dtg"), t("first_stamp"), t("last_stamp"), ERA_HOURS, after)
 
 
+def _in_era(chains: DataFrame, eras: DataFrame, keys: list[str], after: int) -> DataFrame:
+    """Chains with the files that have their keys and their era."""
+    hour = lambda c: F.unix_seconds(stamp_time(F.col(c))) / F.lit(3600.0)
+    spans = chains.withColumns({"_from": hour("first_stamp") - ERA_HOURS, "_to": hour("last_stamp") + after})
+    # First and last rows stand in the order of the file, not of time.
+    files = eras.withColumns({"_low": F.least(hour("f_min_dtg"), hour("f_max_dtg")), "_high": F.greatest(hour("f_min_dtg"), hour("f_max_dtg"))})
+    return overlapping(spans, files, keys, ("_from", "_to"), ("_low", "_high"), SPAN_HOURS).filter(_era(after))
+
+
 def invest_truth(records: DataFrame, files: DataFrame, now: Column) -> DataFrame:
     """The truth of tagged chains by explicit evidence only: ``truth, invest_base, cyclone_base, cyclone_names, genesis_num,
     first_td_dtg`` added to ``chain_id, tag, first_stamp, last_stamp``.
@@ -36,13 +45,14 @@ def invest_truth(records: DataFrame, files: DataFrame, now: Column) -> DataFrame
     own = first_match(tagged.select("chain_id", "file_id", "first_stamp", "last_stamp").join(f, (F.col("f_id") == F.col("file_id")) & _era(ERA_HOURS)), ["chain_id"], ["f_file"])
     own = own.select("chain_id", F.col("f_base").alias("invest_base"), F.col("f_refs").alias("own_refs"), F.col("f_genesis_num").alias("own_num"), F.col("f_max_dtg").alias("own_max"))
     known = tagged.join(own, "chain_id", "left")
-    evidence = (
-        F.array_contains("f_refs", F.col("file_id"))
-        | F.coalesce((F.col("own_num") == F.col("f_genesis_num")) & (F.col("own_num") != ""), F.lit(False))
-        | F.coalesce(F.array_contains("own_refs", F.col("f_id")), F.lit(False))
-    )
-    near = known.select("chain_id", "tag", "file_id", "first_stamp", "last_stamp", "own_refs", "own_num").join(f.filter("f_num < 90"), (F.col("f_basin") == F.substring("tag", 1, 2)) & _era(TRAIL_HOURS))
-    cyclone = first_match(near.filter(evidence), ["chain_id"], ["f_file"])
+    # Each kind of evidence is an equality: a reference to the chain's invest, one number of both, a reference of the invest's file.
+    said = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    each = lambda kind, values: F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: said(kind, x))
+    sought = F.concat(F.array(said("names", F.col("file_id")), said("number", F.nullif("own_num", F.lit("")))), each("named", F.col("own_refs")))
+    shown = F.concat(F.array(said("named", F.col("f_id")), said("number", F.col("f_genesis_num"))), each("names", F.col("f_refs")))
+    chains = known.select("chain_id", "first_stamp", "last_stamp", F.substring("tag", 1, 2).alias("area"), F.explode(F.array_distinct(sought)).alias("evidence")).filter("evidence.value IS NOT NULL")
+    eras = f.filter("f_num < 90").select(*f.columns, F.col("f_basin").alias("area"), F.explode(F.array_distinct(shown)).alias("evidence"))
+    cyclone = first_match(_in_era(chains, eras, ["area", "evidence"], TRAIL_HOURS), ["chain_id"], ["f_file"])
     cyclone = cyclone.select("chain_id", F.col("f_base").alias("cyclone_base"), "f_first_td_dtg", F.col("f_names").alias("cyclone_names"), F.col("f_genesis_num").alias("cyclone_num"))
     out = records.join(known.select("chain_id", "invest_base", "own_num", "own_max"), "chain_id", "left").join(cyclone, "chain_id", "left")
     kind = truth_kind(F.col("cyclone_base").isNotNull(), F.col("f_first_td_dtg"), hours_between(stamp_time(F.col("own_max")), stamp_time(now)))
@@ -111,7 +121,8 @@ def cyclone_truth(cyclones: DataFrame, files: DataFrame, fixes: DataFrame) -> Da
     spans = cyclones.groupBy("basin", "chain_id").agg(F.min_by("name", "seq").alias("name"), F.min("stamp").alias("first_stamp"), F.max("stamp").alias("last_stamp"))
     spans = spans.withColumn("file_basin", F.when(F.col("basin") == "AT", "AL").otherwise(F.col("basin")))
     f = _files(files, "names", "file").filter("f_num < 90")
-    met = spans.join(f, (F.col("f_basin") == F.col("file_basin")) & F.array_contains("f_names", storm_name(F.col("name"))) & _era(ERA_HOURS))
+    named = f.select(*f.columns, F.col("f_basin").alias("file_basin"), F.explode(F.array_distinct("f_names")).alias("storm"))
+    met = _in_era(spans.withColumn("storm", storm_name(F.col("name"))), named, ["file_basin", "storm"], ERA_HOURS)
     base = first_match(met, ["chain_id"], ["f_file"]).select("chain_id", F.col("f_base").alias("base"))
     out = spans.select("basin", "chain_id", "name").join(base, "chain_id", "left")
     return out.join(position_stats(cyclones, fixes, base), "chain_id", "left")

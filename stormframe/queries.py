@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stormframe.functions import geometry, scalars, text
 from stormframe.operators import chains, matching
 from stormframe.plans import advisories, discussions, ledger
-from stormframe.session import table
+from stormframe.session import settled, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -104,7 +104,7 @@ WITH s AS (SELECT l_suppkey AS supp, l_orderkey AS stamp, min(l_shipdate) AS low
 SELECT a.supp, a.stamp FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.supp = a.supp AND b.stamp > a.stamp AND b.low <= a.low AND b.high >= a.high)""")
 def anti_superseded(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("supp"), F.col("l_orderkey").alias("stamp")).agg(F.min("l_shipdate").alias("low"), F.max("l_shipdate").alias("high"))
-    return matching.not_superseded(s, "supp", "stamp", "low", "high").select("supp", "stamp")
+    return matching.not_superseded(settled(s), "supp", "stamp", "low", "high").select("supp", "stamp")
 
 
 def _statements(spark: SparkSession, d: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,16 +39,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """A table that several plans read, worked out once and checkpointed in the folder that driver and executors share.
+    """A table that several plans read, worked out once and written as Parquet in the folder that driver and executors share.
 
     That is ``spark.checkpoint.dir``; only a local session without it, as in tests, gets a folder of its own.
+    Later reads take the columns they need. Who runs many seasons in one session calls ``drop_settled`` between them.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _SETTLED.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_SETTLED: list[str] = []
+
+
+def drop_settled(spark: SparkSession) -> int:
+    """Delete the tables of ``settled``; plans over them can't run after this. Returns how many there were."""
+    n = len(_SETTLED)
+    for path in _SETTLED:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _SETTLED.clear()
+    return n
