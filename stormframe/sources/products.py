@@ -15,7 +15,7 @@ CYCLONE_STATUS = ("TD", "TS", "HU", "TY", "ST", "SD", "SS")
 
 def read_products(spark: SparkSession, folder: str) -> DataFrame:
     """``file, kind, basin, stamp, ts, text`` of each product file; other names are left out before reading."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "T*.txt").text(folder)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "T*.txt").text(folder, wholetext=True)
     return name_products(raw.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text")))
 
 
@@ -103,7 +103,7 @@ def geojson_features(text: DataFrame, column: str = "value") -> DataFrame:
 
 def read_best_tracks(spark: SparkSession, folder: str) -> DataFrame:
     """``file, n, line`` of best-track files, in file order."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "b*.dat").text(folder)
+    raw = spark.read.option("pathGlobFilter", "b*.dat").text(folder, wholetext=True)
     lines = F.posexplode(F.split("value", "\r?\n"))
     return raw.select(F.col("_metadata.file_name").alias("file"), lines.alias("n", "line"))
 
