@@ -39,8 +39,8 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def rejoin_wraps(text: Column) -> Column:
-    """Put together words that a line break parted after a hyphen; the hyphen stays."""
-    return F.regexp_replace(text, r"-\n[ \t]*", "-")
+    """Put together words that a line break parted after a hyphen, and blank lines after it; the hyphen stays."""
+    return F.regexp_replace(text, r"-\n\s*", "-")
 
 
 def paragraphs(text: Column) -> Column:

@@ -79,6 +79,73 @@ def audit_advisories(products: DataFrame, parsed: DataFrame) -> DataFrame:
     return rows.select("file", flags(tests).alias("flags"))
 
 
+def _named(kind: str, names: Column) -> Column:
+    """``kind:name`` of each name."""
+    return F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.concat(F.lit(kind + ":"), F.coalesce(n, F.lit("null"))))
+
+
+def _told(kind: str, wanted: Column, got: Column) -> Column:
+    """``kind:wanted/got:got`` where the two differ."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    flag = F.array(F.concat(F.lit(kind + ":"), text(wanted), F.lit("/got:"), text(got)))
+    return F.when(~wanted.eqNullSafe(got), flag).otherwise(F.array().cast("array<string>"))
+
+
+def _if(test: Column, flag: str) -> Column:
+    return F.when(F.coalesce(test, F.lit(False)), F.array(F.lit(flag))).otherwise(F.array().cast("array<string>"))
+
+
+def _lost(wanted: Column, got: Column) -> Column:
+    """The wanted names, in their order, that are not there; whatever the case."""
+    there = F.transform(F.coalesce(got, F.array().cast("array<string>")), lambda x: F.upper(x))
+    return F.filter(F.coalesce(wanted, F.array().cast("array<string>")), lambda n: ~F.exists(there, lambda x: F.coalesce(x == F.upper(n), F.lit(False))))
+
+
+def expected_outlooks(expected: DataFrame, products: DataFrame, areas: DataFrame) -> DataFrame:
+    """``file, flags`` for each ``file, disturbances, invests`` that is expected: other counts, tags that are missing,
+    areas that lie out of the basin or state no odds. A file that is not there has none of what is expected."""
+    box = F.when(F.col("lat").isNotNull() & ~sane(F.col("lat"), F.col("lon"), F.col("basin")), F.coalesce("invest", F.lit("untagged")))
+    silent = F.when(F.col("chance48").isNull() & F.col("chance7").isNull(), F.coalesce("invest", F.lit("untagged")))
+    item = F.struct(F.substring("id", 2, 9).cast("int").alias("n"), "invest", box.alias("off"), silent.alias("silent"))
+    found = areas.groupBy("file").agg(F.sort_array(F.collect_list(item)).alias("x"))
+    rows = expected.join(products.select("file").distinct(), "file", "left").join(found, "file", "left")
+    part = lambda c: F.array_compact(F.transform("x", lambda v: v[c]))
+    n = F.coalesce(F.size("x"), F.lit(0))
+    told = F.concat(_told("disturbance-count", F.col("disturbances"), F.greatest(n, F.lit(0))), _named("missing-invest", _lost(F.col("invests"), part("invest"))), _named("disturbance-out-of-basin", part("off")), _named("no-chances", part("silent")))
+    return rows.select("file", told.alias("flags"))
+
+
+def expected_discussions(expected: DataFrame, products: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """``file, flags`` for each ``file, cyclones, names, waves_min``: counts, names that are missing, cyclones without a
+    place in the basin or a wind, sections that were not told apart."""
+    rows = expected.join(products.select("file", "basin"), "file", "left")
+    spot = F.struct("cyclone", "lat", "lon", "wind_kt")
+    found = tables["cyclones"].groupBy("file").agg(F.sort_array(F.collect_list(spot)).alias("x"))
+    rows = rows.join(found, "file", "left")
+    for name in ("waves", "sections"):
+        rows = rows.join(tables[name].groupBy("file").agg(F.count("*").alias(f"n_{name}")), "file", "left")
+    rows = rows.fillna(0, ["n_waves", "n_sections"])
+    part = lambda test: F.transform(F.filter(F.coalesce("x", F.array().cast(dict(found.dtypes)["x"])), test), lambda v: v["cyclone"])
+    off = part(lambda v: ~F.coalesce(sane(v["lat"], v["lon"], F.col("basin")), F.lit(False)))
+    few = F.when(F.col("n_waves") < F.col("waves_min"), F.array(F.concat(F.lit("waves-min:"), F.col("waves_min").cast("string"), F.lit("/got:"), F.col("n_waves").cast("string"))))
+    told = F.concat(
+        _told("cyclone-count", F.col("cyclones"), F.greatest(F.coalesce(F.size("x"), F.lit(0)), F.lit(0))), _named("missing-cyclone", _lost(F.col("names"), part(lambda v: F.lit(True)))),
+        _named("cyclone-out-of-basin", off), _named("cyclone-no-wind", part(lambda v: v["wind_kt"].isNull())), F.coalesce(few, F.array().cast("array<string>")), _if(F.col("n_sections") <= 1, "sections-not-split"),
+    )
+    return rows.select("file", told.alias("flags"))
+
+
+def expected_advisories(expected: DataFrame, products: DataFrame, parsed: DataFrame) -> DataFrame:
+    """``file, flags`` for each ``file, classification, name, post_tropical``: the flags of the audit, and what was read otherwise than expected."""
+    audited = audit_advisories(products, parsed).withColumnRenamed("flags", "_flags")
+    got = parsed.select("file", F.col("classification").alias("_class"), F.col("name").alias("_name"), F.exists("track", lambda p: F.coalesce(p["state"] == "post-tropical", F.lit(False))).alias("_post"), F.lit(True).alias("_read"))
+    rows = expected.join(got, "file", "left").join(audited, "file", "left")
+    other = F.concat(_told("expected-classification", F.col("classification"), F.col("_class")), _told("expected-name", F.col("name"), F.col("_name")))
+    tagged = _if(F.col("post_tropical") & ~F.coalesce("_post", F.lit(False)), "no-post-trop-tag")
+    told = F.when(F.col("_read").isNull(), F.array(F.lit("parse-null"))).otherwise(F.concat(other, F.coalesce("_flags", F.array().cast("array<string>")), tagged))
+    return rows.select("file", told.alias("flags"))
+
+
 def audit_totals(audited: DataFrame) -> DataFrame:
     """One row: products, flagged ones, and the sum of every count."""
     counts = [c for c, kind in audited.dtypes if kind in ("int", "bigint") and c != "file"]

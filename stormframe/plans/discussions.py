@@ -313,7 +313,10 @@ def discussion_summary(products: DataFrame) -> DataFrame:
         "waves": F.struct("section", "id", "axis", "motion"),
     }
     for name, item in lists.items():
-        out = out.join(tables[name].groupBy("file").agg(F.sort_array(F.collect_list(item)).alias(name)), "file", "left")
+        # By number: the tenth comes after the second.
+        number = F.regexp_extract("id", r"(\d+)$", 1).try_cast("int").alias("number")
+        listed = tables[name].groupBy("file").agg(F.sort_array(F.collect_list(F.struct("section", number, item.alias("item")))).alias("x"))
+        out = out.join(listed.select("file", F.transform("x", lambda v: v["item"]).alias(name)), "file", "left")
     for name in ("sections", "convection", "fixes", "inferred", "projections"):
         out = out.join(tables[name].groupBy("file").agg(F.count("*").alias(f"n_{name}")), "file", "left")
     kinds = [F.count_if(F.col("subtype") == k).alias(f"n_{k}") for k in ("itcz", "monsoon", "trough")]

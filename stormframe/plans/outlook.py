@@ -26,8 +26,8 @@ CLIMATOLOGY = {
     "AT": _CLIMATOLOGY,
     "EP": _CLIMATOLOGY + r"|(?:tehuantepec|papagayo)\s+(?:gap\s+)?winds?(?:\s+(?:event|area))?|gap\s+wind\s+(?:event|area)",
 }
-OFFSET = r"(?:(?:a\s+)?(couple|few|several)(?:\s+of)?\s+hundred|(\d{2,4}))\s+(nautical\s+)?miles\s+(?:to\s+the\s+)?([a-z][a-z-]{1,20})\s+of\s+([\s\S]+)$"
-VAGUE = r"\b(?:well|far)\s+(?:to\s+the\s+)?([a-z-]{1,20})\s+of\s+(?:the\s+)?$"
+OFFSET = r"(?:(?:a\s+)?(couple|few|several)(?:\s+of)?\s+hundred|(\d{2,4}))\s+(nautical\s+)?miles\s+(?:to\s+the\s+)?([a-z][a-z-]{1,20})\s+of\s+([\s\S]+)\z"
+VAGUE = r"\b(?:well|far)\s+(?:to\s+the\s+)?([a-z-]{1,20})\s+of\s+(?:the\s+)?\z"
 TITLE = r"^\s*(?:\d+\.\s*)?([^:.]{1,80}):"
 # A line of odds, a paragraph with a title of its own or a title before, and the tag in a title.
 ODDS, OWN_TITLE, TITLED, TAG = r"(?i)\*\s*formation chance", r"^[^\n]*:", r"^\s*(?:\d+\.\s*)?[^:.\n]{1,80}:", r"(?i)\(((?:AL|EP|CP)\d{2})\)"
@@ -39,20 +39,25 @@ def _spot(hit: Column) -> Column:
     return F.when(hit.isNotNull(), F.struct(hit["lat"].alias("lat"), hit["lon"].alias("lon")))
 
 
+def _bare(phrase: Column) -> Column:
+    """A phrase as places are looked up in it: without an article at its head and a mark at its end."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(phrase, r"^\s+|\s+\z", ""), r"^the\s+", ""), r"[.,]\z", "")
+
+
 def anchor_point(phrase: Column, places: Gazetteer) -> Column:
     """The point of the leftmost, then longest, place that a phrase names."""
-    return bind(leftmost_entry(phrase, places), _spot)
+    return bind(leftmost_entry(_bare(phrase), places), _spot)
 
 
 # A place between two others, the miles of vague hundreds, and the farthest a product would measure.
-BETWEEN = r"between (.+?) and (?:the )?(.+?)(?:[.,]|$)"
+BETWEEN = r"between (.+?) and (?:the )?(.+?)(?:[.,]|\z)"
 HUNDREDS, FARTHEST = {"couple": 200, "few": 300, "several": 400}, 1500
 
 
 def resolve_place(phrase: Column, places: Gazetteer) -> Column:
     """Between two places: the middle. A distance and direction from one: that point, to a tenth. Else the place
-    named, unless the phrase puts the feature far from it by an unstated amount."""
-    return bind(one_line(F.lower(phrase)), lambda p: F.coalesce(_middle(p, places), _away(p, places), _named(p, places)))
+    named, unless the phrase puts the feature far from it by an unstated amount. Line breaks stand: no name goes over one."""
+    return bind(F.lower(phrase), lambda p: F.coalesce(_middle(p, places), _away(p, places), _named(p, places)))
 
 
 def _middle(p: Column, places: Gazetteer) -> Column:
@@ -73,16 +78,17 @@ def _away(p: Column, places: Gazetteer) -> Column:
         to = bind(offset_point(x["base"]["lat"], x["base"]["lon"], x["bearing"], x["nm"]), lambda q: F.struct(*(round_half_up(q[k], 1).alias(k) for k in ("lat", "lon"))))
         return F.when(x["base"].isNotNull() & x["bearing"].isNotNull() & (x["nm"] <= FARTHEST), to)
 
+    # Fixed value: a distance that is a reach, not an offset.
     within = p.rlike(r"\bwithin\s+(?:about\s+|around\s+|approximately\s+)?" + OFFSET)
     return F.when(p.rlike(OFFSET) & ~within, bind(told, moved))
 
 
 def _named(p: Column, places: Gazetteer) -> Column:
-    def told(hit: Column) -> Column:
-        vague = compass_degrees(found(F.substring(p, F.lit(1), hit["at"] - 1), VAGUE)).isNotNull()
+    def told(h: Column, hit: Column) -> Column:
+        vague = compass_degrees(found(F.substring(h, F.lit(1), hit["at"] - 1), VAGUE)).isNotNull()
         return F.when(~F.coalesce(vague, F.lit(False)), _spot(hit))
 
-    return bind(leftmost_entry(p, places), told)
+    return bind(_bare(p), lambda h: bind(leftmost_entry(h, places), lambda hit: told(h, hit)))
 
 
 def locates(sentence: Column, basin: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stormframe.plans import audit, ledger, lineage, truth
+from stormframe.plans import audit, ledger, lineage, series, truth
 from stormframe.queries import _STATEMENTS, _rate, _statements, query, r4
 from stormframe.session import settled, table
 from stormframe.sources import products, sinks
@@ -378,3 +378,42 @@ def yearly_diffs(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.year("o_orderdate").alias("y"))
     both = product_diff(o.filter("y < 1998").withColumn("y", F.col("y") + 1), o.filter("y > 1992"), ["o_custkey", "y"], ["o_orderkey"])
     return audit.diff_counts(both, ["y"])
+
+
+# A customer's orders state odds; every fifth states none, and the days between them are what they are.
+_ODDS = """od AS (SELECT CAST(o_custkey % 50 AS VARCHAR) AS basin, CAST(o_custkey AS VARCHAR) AS chain_id, 48 AS horizon, strftime(min(o_orderdate), '%Y%m%d%H%M') AS stamp, CASE WHEN min(o_orderkey) % 5 <> 0 THEN CAST(min(o_orderkey) % 10 * 10 AS INT) END AS pct FROM orders GROUP BY o_custkey, o_orderdate),
+os AS (SELECT *, epoch(strptime(stamp, '%Y%m%d%H%M')) AS t, row_number() OVER w - 1 AS k, lag(pct) OVER w AS before, count(*) OVER (PARTITION BY chain_id) AS n FROM od WINDOW w AS (PARTITION BY chain_id ORDER BY stamp))"""
+
+
+def _odds(spark: SparkSession, d: str) -> DataFrame:
+    days = table(spark, d, "orders").groupBy("o_custkey", "o_orderdate").agg(F.min("o_orderkey").alias("key"))
+    pct = F.when(F.col("key") % 5 != 0, (F.col("key") % 10 * 10).cast("int"))
+    return days.select((F.col("o_custkey") % 50).cast("string").alias("basin"), F.col("o_custkey").cast("string").alias("chain_id"), F.lit(48).alias("horizon"), F.date_format("o_orderdate", "yyyyMMddHHmm").alias("stamp"), pct.alias("pct"))
+
+
+@query("WITH " + _ODDS + """ SELECT basin, chain_id, stamp, CAST(k AS INT) AS k, round(CASE WHEN max(t) OVER c > min(t) OVER c THEN (t - min(t) OVER c) / (max(t) OVER c - min(t) OVER c) * (n - 1) ELSE 0 END, 6) AS x, pct, CASE WHEN pct IS NOT NULL THEN before END AS previous,
+ CASE WHEN pct IS NOT NULL THEN CAST(count(*) FILTER (WHERE pct IS NOT NULL AND before IS NULL) OVER (PARTITION BY chain_id ORDER BY stamp ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS segment FROM os WINDOW c AS (PARTITION BY chain_id)""")
+def step_series(spark: SparkSession, d: str) -> DataFrame:
+    """Stated odds as steps, true to time; a statement without odds is a gap."""
+    return series.step_series(_odds(spark, d)).select("basin", "chain_id", "stamp", F.col("k").cast("int").alias("k"), F.round("x", 6).alias("x"), "pct", "previous", "segment")
+
+
+@query("WITH " + _ODDS + """, gr AS (SELECT chain_id, min(basin) AS basin, unnest(range(CAST(min(t) AS BIGINT), CAST(max(t) AS BIGINT) + 1, 720 * 3600)) AS g FROM os GROUP BY chain_id)
+SELECT gr.basin, gr.chain_id, strftime(make_timestamp(g * 1000000), '%Y%m%d%H%M') AS "at", os.pct FROM gr ASOF JOIN os ON gr.chain_id = os.chain_id AND g >= os.t""")
+def step_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The odds in force every thirty days; gaps stay null."""
+    return series.on_grid(_odds(spark, d), 720).select("basin", "chain_id", "at", "pct")
+
+
+@query("WITH " + _CHAINS + ", " + _LINKS + ", " + _NEARBY + ", " + _TOLD + """, db AS (SELECT chain_id, min(stamp) AS doubt FROM sv WHERE verdict = 'unresolved' GROUP BY 1),
+tt AS (SELECT basin, rc.chain_id, outcome, strptime(first_stamp, '%Y%m%d%H%M') AS a, strptime(last_stamp, '%Y%m%d%H%M') AS z, strptime(now, '%Y%m%d%H%M') AS w, strptime(near_stamp, '%Y%m%d%H%M') AS ne, strptime(doubt, '%Y%m%d%H%M') AS dt FROM rc LEFT JOIN db ON db.chain_id = rc.chain_id),
+sp2 AS (SELECT basin, chain_id, 1 AS p, greatest(w, z) AS a, z + INTERVAL 168 HOUR AS z FROM tt WHERE z + INTERVAL 168 HOUR > w AND w >= a AND outcome <> 'formed'
+ UNION ALL SELECT basin, chain_id, 2, coalesce(dt, a), CASE WHEN ne IS NULL THEN z ELSE least(greatest(ne, z), z + INTERVAL 168 HOUR) END FROM tt WHERE outcome = 'unresolved-nearby-cyclone'),
+ct AS (SELECT DISTINCT basin, chain_id, unnest([a, z]) AS c FROM sp2), pc AS (SELECT *, lead(c) OVER (PARTITION BY chain_id ORDER BY c) AS e FROM ct)
+SELECT pc.basin, pc.chain_id, strftime(c, '%Y%m%d%H%M') AS starts, strftime(e, '%Y%m%d%H%M') AS ends, CASE sum(p) WHEN 1 THEN 'pending' WHEN 2 THEN 'unresolved' ELSE 'both' END AS kind
+FROM pc JOIN sp2 ON sp2.chain_id = pc.chain_id AND sp2.a <= c AND e <= sp2.z WHERE e IS NOT NULL GROUP BY ALL""")
+def ruler_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Disjoint spans of each chain that are pending, unresolved, or both."""
+    records, invests, _ = _ledger(spark, d)
+    near = F.when(F.col("genesis_stamp").isNull(), F.array_min(F.transform("nearby", lambda n: n["first_stamp"])))
+    return series.ruler_windows(records.withColumn("near_stamp", near), ledger.ledger_statements(records, invests))

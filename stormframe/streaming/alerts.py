@@ -24,9 +24,11 @@ _INVEST = re.compile(r"(AL|EP)9\d")
 
 def product_areas(products: DataFrame, areas: DataFrame) -> DataFrame:
     """``basin, product, areas``: one row per product, with an empty array where it has no area, so that what is gone is forgotten."""
+    # Fixed value: the title of an area.
     place = found(F.col("source"), r"^\s*\d+\.\s*(.+?)[:(]")
     item = F.struct(area_key(F.col("invest"), F.col("lat"), F.col("lon"), F.col("source")).alias("key"), F.col("invest").alias("tag"), F.col("chance7.pct").alias("odds"), F.trim(place).alias("place"))
-    per = areas.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("id", item.alias("a")))).alias("x"))
+    number = F.substring("id", 2, 9).cast("int").alias("n")
+    per = areas.groupBy("file").agg(F.sort_array(F.collect_list(F.struct(number, item.alias("a")))).alias("x"))
     per = per.select("file", F.transform("x", lambda v: v["a"]).alias("areas"))
     return products.join(per, "file", "left").select("basin", F.col("file").alias("product"), F.coalesce("areas", F.array().cast(AREAS)).alias("areas"))
 
