@@ -169,3 +169,28 @@ def test_alignment_memory_is_bounded(monkeypatch):
     want = [t[:5] for t in whole.align_all(texts * 2)]
     monkeypatch.setattr(token_alignment, "MEMORY", 50)
     assert [t[:5] for x in texts * 2 for t in small.align_all([x])] == want and len(small.known) <= 50
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9)))
+    texts = [" ".join(word() for _ in range(120)) + "." for _ in range(60)]
+    texts += texts[:3] + [None, ""]
+    rows = [(k, t, "en", "s", len(t or ""), f"own {k}", k * 3, -0.5, "c", k / 2) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, N_shingles int, quality_score double, component_id string, n_words double")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    told = {r[0]: r[5:] for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        if name == "quality classifier":
+            folder = docs.sparkSession.sparkContext.getCheckpointDir()
+            labels.write.mode("overwrite").parquet(f"{folder}/labels.parquet")
+            out = stage(spark, docs.filter("text <> ''"), folder)
+        else:
+            out = stage(spark, docs, "")
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        got = out.select("doc_id", "kept", "N_shingles", "quality_score", "component_id", "n_words").collect()
+        assert got and all(told[x[0]] == tuple(x[1:]) for x in got)
+        assert stage(spark, docs.filter(F.lit(False)), folder if name == "quality classifier" else "").count() == 0
