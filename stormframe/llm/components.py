@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from stormframe.llm.common import checkpointed
 
+#: Edges of one task, about; more of them are dealt out over as many tasks as there are.
+EDGES = 100_000
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the least node reachable) of every node with an edge in ``a, b``.
@@ -20,13 +23,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = _mark(now)
     while True:
+        # Few edges in few tasks: each of a round's shuffles costs a file for each of its tasks.
+        few = mark[0] // EDGES + 1
+        now = now.coalesce(few)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct().coalesce(2 * few)
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(down, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        now = checkpointed(small.filter("u <> v").distinct())
+        now = checkpointed(small.filter("u <> v").distinct().coalesce(2 * few))
         before, mark = mark, _mark(now)
         if mark == before:
             break
