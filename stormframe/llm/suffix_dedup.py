@@ -301,6 +301,8 @@ def repeat_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
     bucket = F.pmod(F.xxhash64("key", "key2"), F.lit(total["bytes"] // TASK_BYTES + 1))
     for part in ready:
         decided = decided.unionByName(part.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(_merge, f"anchor long, run long, run2 long, spans {SPANS}"))
+    # The pieces of a run are put together before they meet its occurrences.
+    decided = decided.groupBy(*RUN).agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return found.join(decided, RUN).groupBy("id", "h").agg(F.collect_list(F.struct("first", "spans")).alias("spans"))
 
 
