@@ -11,9 +11,10 @@ search keeps a window of the longest piece only, and commits ids as soon as all
 surviving back-pointer paths meet in one boundary, so a text of any length
 streams through.
 
-No piece holds a blank after another character, so a blank that follows one is
-always such a boundary; what lies between two of them is segmented once and
-remembered, in a memory of bounded size.
+Each whole text is fed in blocks. No piece holds a blank after another character,
+so the paths always meet at a blank that follows one, and nothing behind it
+depends on what came before: the text between two such commits and its ids are
+remembered, in a memory of bounded size, and stepped over where they come again.
 
 Defined cases: a null or empty text has no ids; every text decodes to itself
 (the blank mark U+2581 in a text is written as bytes); equal texts get equal
@@ -35,7 +36,11 @@ from pyspark.sql import DataFrame
 
 MODEL = "piece_bpe_32k.model"
 MEMORY, LONGEST = 1_000_000, 200
+#: Characters of a text that are fed at a time.
+BLOCK = 4096
 MARK = "▁"
+#: Text up to the next blank that follows another character.
+PART = re.compile(r" *[^ ]+| +")
 # Fixed values of the model file: kinds of pieces that text can match, and of bytes.
 MATCHED, BYTE = (1, 4), 6
 # Where the model file says how it was trained, and the value for BPE.
@@ -96,7 +101,7 @@ class Pieces:
         self.walk.update((t, self.score[i]) for t, i in self.ids.items())
         self.unknown = min(self.score) - 10.0
         self.cut_at_blanks = not any(re.search(r"[^ ] ", p) for p in self.ids)
-        self.parts = _Parts(self)
+        self.memory = _Memory()
 
     def stream(self) -> StreamingViterbi:
         return StreamingViterbi(self)
@@ -105,110 +110,172 @@ class Pieces:
         """The ids of a text as little-endian 32-bit numbers."""
         if not text:
             return b""
-        text = " " + text
-        if self.cut_at_blanks:
-            return b"".join(map(self.parts.__getitem__, re.findall(r" +[^ ]*", text)))
-        return self.parts[text]
+        text, stream = " " + text, self.stream()
+        return b"".join(stream.add(text[k : k + BLOCK], k + BLOCK >= len(text)) for k in range(0, len(text), BLOCK))
 
     def decode(self, ids: bytes) -> bytes:
         """The UTF-8 bytes of a text."""
         return b"".join(map(self.plain.__getitem__, np.frombuffer(ids, "<i4").tolist()))[1:]
 
 
-class _Parts(dict):
-    """Ids of the text between two certain boundaries; a full memory becomes the old one."""
+class _Memory:
+    """Ids of text between two certain boundaries; when one half is full, the older one is forgotten."""
 
-    def __init__(self, pieces: Pieces) -> None:
-        self.pieces, self.old = pieces, {}
+    def __init__(self) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, part: str) -> bytes:
-        ids = self.old.get(part)
-        if ids is None:
-            stream = self.pieces.stream()
-            ids = np.array(stream.feed(part) + stream.finish(), "<i4").tobytes()
-        if len(part) <= LONGEST:
-            if len(self) >= MEMORY // 2:
-                self.old = dict(self)
-                self.clear()
-            self[part] = ids
-        return ids
+    def put(self, part: str, ids: bytes) -> None:
+        if len(self.new) >= MEMORY // 2:
+            self.new, self.old = {}, self.new
+        self.new[part] = ids
 
 
 class StreamingViterbi:
-    """Feed text, get the ids that can no longer change; ``finish`` gives the rest."""
+    """Feed text, get the ids that can no longer change; ``finish`` gives the rest.
+
+    Starts are weighed one after the other, each with the window of the longest
+    piece after it in sight. Where all surviving paths meet in one boundary, what
+    lies before it is committed. ``commits`` counts the commits of the search made
+    while text was still to come, ``held`` is the most characters open at one.
+    """
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
-        self.text = ""  # from the last committed boundary on
-        self.best, self.back = [0.0], [-1]  # of each boundary since then
-        self.start = 0  # pieces that start before it are weighed
+        self.text, self.at = "", 0  # what was fed, and the last committed boundary in it
+        # Text since the last certain boundary and its ids; None where it is too long to remember.
+        self.key: str | None = "" if pieces.cut_at_blanks else None
+        self.found: list[bytes] = []
+        self.commits = self.held = 0
+        self._restart()
+
+    def _restart(self) -> None:
+        self.best, self.back = [0.0], [-1]  # of each boundary from the committed one on
+        self.start = self.far = 0  # the next start to weigh, and the furthest boundary that a path has reached
 
     def feed(self, text: str) -> list[int]:
-        """Add text in blocks of the window's size; commit after each."""
-        ids: list[int] = []
-        step = 4 * self.pieces.longest
-        if len(text) <= step and not self.text:
-            self._grow(text)
-            return ids
-        for at in range(0, len(text), step):
-            self._grow(text[at : at + step])
-            self._weigh(len(self.text) - self.pieces.longest)
-            if self.start >= step:
-                ids += self._commit(self._meeting())
-        return ids
-
-    def _grow(self, text: str) -> None:
-        self.text += text
-        self.best += [float("-inf")] * len(text)
-        self.back += [-1] * len(text)
+        return np.frombuffer(self.add(text, False), "<i4").tolist()
+
+    def finish(self) -> list[int]:
+        return np.frombuffer(self.add("", True), "<i4").tolist()
+
+    def add(self, text: str, last: bool) -> bytes:
+        """The ids that are certain with this text, all of them if it is the last."""
+        self.text, self.at = self.text[self.at :] + text, 0
+        size, out = len(self.text), []
+        upto = size if last else size - self.pieces.longest
+        while self.at < size:
+            if self.key == "" and not self.start:
+                self._recall(last, out)
+            if not self._search(upto, last, out):
+                break
+        return b"".join(out)
+
+    def _recall(self, last: bool, out: list[bytes]) -> None:
+        """Step over parts that the search has been through before, as far as they follow each other."""
+        memory, text, at = self.pieces.memory, self.text, self.at
+        new, old, size = memory.new.get, memory.old.get, len(self.text)
+        for m in PART.finditer(text, at):
+            part = m[0]
+            ids = new(part)
+            if ids is None:
+                ids = old(part)
+                if ids is None:
+                    break
+                memory.put(part, ids)
+            if m.end() == size and not last:
+                break
+            out.append(ids)
+            at = m.end()
+        self.at = at
+
+    def _search(self, upto: int, last: bool, out: list[bytes]) -> bool:
+        """Weigh starts and commit where the paths meet, up to a certain boundary; False where that needs more text."""
+        while self.at + self.start < upto:
+            self._weigh(min(self.start + self.pieces.longest, upto - self.at))
+            meeting = self.start if self.far == self.start else self._meeting()
+            if meeting and self._commit(meeting, last, out):
+                return True
+        return False
+
+    def _grow(self, to: int) -> None:
+        """Room for boundaries up to this one."""
+        more = to + 1 - len(self.back)
+        if more > 0:
+            self.best += [float("-inf")] * more
+            self.back += [-1] * more
 
     def _weigh(self, upto: int) -> None:
-        """Weigh all pieces that start before a boundary; ties stay with the earlier start."""
-        p, text, best, back, size = self.pieces, self.text, self.best, self.back, len(self.text)
-        walk, unknown, nothing = p.walk.get, p.unknown, float("inf")
-        for start in range(self.start, upto):
+        """Weigh all pieces of each start, until the paths meet or the window is through; ties stay with the earlier start."""
+        text = self.text[self.at : self.at + upto + self.pieces.longest]
+        self._grow(len(text))
+        best, back, walk, nothing, unknown = self.best, self.back, self.pieces.walk.get, float("inf"), self.pieces.unknown
+        start, far, size = self.start, self.far, len(text) + 1
+        while start < upto:
             here = best[start]
+            far = max(far, start + 1)
             if here + unknown > best[start + 1]:
                 best[start + 1], back[start + 1] = here + unknown, start
-            for end in range(start + 1, size + 1):
+            for end in range(start + 1, size):
                 score = walk(text[start:end], nothing)
                 if score is None:
                     continue
                 if score == nothing:
                     break
                 if here + score > best[end]:
-                    best[end], back[end] = here + score, start
-        self.start = max(self.start, upto)
+                    best[end], back[end], far = here + score, start, max(far, end)
+            start += 1
+            if far == start:
+                break
+        self.start, self.far = start, far
 
     def _meeting(self) -> int:
         """The last boundary on all paths that can still be extended."""
-        live = {k for k in range(self.start, min(len(self.text), self.start + self.pieces.longest) + 1) if self.back[k] >= 0}
+        live = {k for k in range(self.start, self.far + 1) if self.back[k] >= 0}
         while len(live) > 1:
             last = max(live)
             live.discard(last)
             live.add(max(0, self.back[last]))
         return min(live.pop(), self.start) if live else 0
 
-    def _commit(self, upto: int) -> list[int]:
-        if upto <= 0:
-            return []
-        ids, at = [], upto
-        while at > 0:
-            ids.append(self._ids(self.back[at], at))
-            at = self.back[at]
-        self.text, base = self.text[upto:], self.best[upto]
-        self.best = [x - base for x in self.best[upto:]]
-        self.back = [-1, *(b - upto if b >= 0 else -1 for b in self.back[upto + 1 :])]
-        self.start = max(0, self.start - upto)
-        return [i for found in reversed(ids) for i in found]
-
-    def _ids(self, start: int, end: int) -> list[int]:
-        piece = self.pieces.ids.get(self.text[start:end])
-        return [piece] if piece is not None else [self.pieces.byte[b] for b in self.text[start:end].encode()]
-
-    def finish(self) -> list[int]:
-        self._weigh(len(self.text))
-        return self._commit(len(self.text))
+    def _commit(self, upto: int, last: bool, out: list[bytes]) -> bool:
+        """Give the ids before a boundary; True where nothing after it depends on them."""
+        ids, end, back, text, get = [], upto, self.back, self.text[self.at : self.at + upto], self.pieces.ids.get
+        while end > 0:
+            begin = back[end]
+            piece = get(text[begin:end])
+            if piece is None:
+                ids += [self.pieces.byte[b] for b in reversed(text[begin:end].encode())]
+            else:
+                ids.append(piece)
+            end = begin
+        out.append(struct.pack(f"<{len(ids)}i", *reversed(ids)))
+        self.held = max(self.held, self.far)
+        self.at += upto
+        over = last and self.at == len(self.text)
+        self.commits += not over
+        self._drop(upto)
+        if not self.pieces.cut_at_blanks:
+            return over
+        if self.key is not None:
+            self.key = self.key + text if len(self.key) + upto <= LONGEST else None
+            self.found.append(out[-1])
+        certain = over or (self.at < len(self.text) and self.text[self.at] == " " and self.text[self.at - 1] != " ")
+        if certain:
+            if self.key:
+                self.pieces.memory.put(self.key, b"".join(self.found))
+            self.key = ""
+            self._restart()
+        if certain or self.key is None:
+            self.found = []
+        return certain
+
+    def _drop(self, upto: int) -> None:
+        """Forget what lies before a boundary."""
+        base = self.best[upto]
+        self.best = [x - base for x in self.best[upto : self.far + 1]]
+        self.back = [-1, *(b - upto if b >= 0 else -1 for b in self.back[upto + 1 : self.far + 1])]
+        self.start, self.far = self.start - upto, self.far - upto
 
 
 class MergedPieces(Pieces):
@@ -245,35 +312,44 @@ class MergedPieces(Pieces):
 class StreamingMerges(StreamingViterbi):
     """The same window and commits; a back-pointer holds where the last two pieces stay apart."""
 
-    def __init__(self, pieces: MergedPieces) -> None:
-        super().__init__(pieces)
+    def _restart(self) -> None:
+        super()._restart()
         self.last = [""]  # the piece that ends at each boundary
 
-    def _grow(self, text: str) -> None:
-        super()._grow(text)
-        self.last += [""] * len(text)
+    def _grow(self, to: int) -> None:
+        more = to + 1 - len(self.back)
+        if more > 0:
+            self.back += [-1] * more
+            self.last += [""] * more
 
     def _weigh(self, upto: int) -> None:
         """Just one start is right for each end."""
-        p, text, back, last, size = self.pieces, self.text, self.back, self.last, len(self.text)
-        walk, known, nothing = p.walk.get, p.known.get, float("inf")
-        for start in range(self.start, upto):
+        text = self.text[self.at : self.at + upto + self.pieces.longest]
+        self._grow(len(text))
+        p, back, last, walk, known, nothing = self.pieces, self.back, self.last, self.pieces.walk.get, self.pieces.known.get, float("inf")
+        start, far, size = self.start, self.far, len(text) + 1
+        while start < upto:
             here = last[start]
-            for end in range(start + 1, size + 1):
+            for end in range(start + 1, size):
                 piece = text[start:end]
                 score = walk(piece, nothing)
                 if back[end] < 0 and (end == start + 1 or (score is not None and score != nothing)):
                     ok = known((here, piece))
                     if p.apart(here, piece) if ok is None else ok:
                         back[end], last[end] = start, piece
+                        if end > far:
+                            far = end
                 if score == nothing:
                     break
-        self.start = max(self.start, upto)
+            start += 1
+            if far == start:
+                break
+        self.start, self.far = start, far
 
-    def _commit(self, upto: int) -> list[int]:
-        ids = super()._commit(upto)
-        self.last = self.last[max(0, upto) :]
-        return ids
+    def _drop(self, upto: int) -> None:
+        self.back = [-1, *(b - upto if b >= 0 else -1 for b in self.back[upto + 1 : self.far + 1])]
+        self.last = self.last[upto : self.far + 1]
+        self.start, self.far = self.start - upto, self.far - upto
 
 
 @functools.cache

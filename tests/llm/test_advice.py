@@ -52,6 +52,26 @@ def test_piece_ids_match_library(spark):
             assert got + stream.finish() == ids
 
 
+def test_pieces_are_committed_while_text_streams(spark):
+    path = public_tokenizers.path(pieces.MODEL)
+    library, ours = sentencepiece.SentencePieceProcessor(model_file=path), pieces.MergedPieces(path)
+    text = " ".join(f"word{k} untimely remembrances of a gathering" for k in range(3000))
+    stream, got, before_end = ours.stream(), [], 0
+    for k in range(0, len(text) + 1, 1000):
+        got += stream.feed((" " + text)[k : k + 1000])
+        before_end = len(got)
+    assert got + stream.finish() == library.encode(text)
+    # All but the last window is out before the end, by commits of the search, which holds no more than two windows.
+    assert len(library.encode(text)) - before_end <= ours.longest and stream.commits > 1000
+    assert stream.held <= 2 * ours.longest
+    assert np.frombuffer(ours.encode(text), "<i4").tolist() == library.encode(text)  # now from memory
+    # Without blanks no boundary is certain beforehand: the paths have to meet.
+    joined = text.replace(" ", "")
+    stream = ours.stream()
+    assert np.frombuffer(stream.add(" " + joined, True), "<i4").tolist() == library.encode(joined)
+    assert stream.commits > len(joined) // 100 and stream.held <= 4 * ours.longest
+
+
 def test_one_row_of_a_group_through_stages_3_and_4(spark):
     r = random.Random(7)
     text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(60))
