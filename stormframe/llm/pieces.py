@@ -142,16 +142,17 @@ class StreamingViterbi:
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
-        self.text, self.at = "", 0  # what was fed, and the last committed boundary in it
-        # Text since the last certain boundary and its ids; None where it is too long to remember.
-        self.key: str | None = "" if pieces.cut_at_blanks else None
-        self.found: list[bytes] = []
+        self.text, self.at = "", 0  # what was fed, and the base in it: boundaries are counted from there
+        self.certain = pieces.cut_at_blanks  # whether nothing after the base depends on what came before
+        self.told: list[int] = []  # ids since the base
+        self.sent = 0  # so many of them are given out
         self.commits = self.held = 0
         self._restart()
 
     def _restart(self) -> None:
-        self.best, self.back = [0.0], [-1]  # of each boundary from the committed one on
+        self.best, self.back = [0.0], [-1]  # of each boundary
         self.start = self.far = 0  # the next start to weigh, and the furthest boundary that a path has reached
+        self.done = 0  # the last committed boundary
 
     def feed(self, text: str) -> list[int]:
         return np.frombuffer(self.add(text, False), "<i4").tolist()
@@ -164,13 +165,18 @@ class StreamingViterbi:
         self.text, self.at = self.text[self.at :] + text, 0
         size, out = len(self.text), []
         upto = size if last else size - self.pieces.longest
-        while self.at < size:
-            if self.key == "" and not self.start:
+        while self.at + self.done < size:
+            if self.certain and not self.start:
                 self._recall(last, out)
             if not self._search(upto, last, out):
                 break
+        self._send(out)
         return b"".join(out)
 
+    def _send(self, out: list[bytes]) -> None:
+        out.append(struct.pack(f"<{len(self.told) - self.sent}i", *self.told[self.sent :]))
+        self.sent = len(self.told)
+
     def _recall(self, last: bool, out: list[bytes]) -> None:
         """Step over parts that the search has been through before, as far as they follow each other."""
         memory, text, at = self.pieces.memory, self.text, self.at
@@ -194,7 +200,7 @@ class StreamingViterbi:
         while self.at + self.start < upto:
             self._weigh(min(self.start + self.pieces.longest, upto - self.at))
             meeting = self.start if self.far == self.start else self._meeting()
-            if meeting and self._commit(meeting, last, out):
+            if meeting > self.done and self._commit(meeting, last, out):
                 return True
         return False
 
@@ -239,43 +245,44 @@ class StreamingViterbi:
         return min(live.pop(), self.start) if live else 0
 
     def _commit(self, upto: int, last: bool, out: list[bytes]) -> bool:
-        """Give the ids before a boundary; True where nothing after it depends on them."""
-        ids, end, back, text, get = [], upto, self.back, self.text[self.at : self.at + upto], self.pieces.ids.get
-        while end > 0:
+        """The ids before a boundary no longer change; True where nothing after it depends on them."""
+        ids, end, back, done, at, get = [], upto, self.back, self.done, self.at, self.pieces.ids.get
+        while end > done:
             begin = back[end]
-            piece = get(text[begin:end])
+            text = self.text[at + begin : at + end]
+            piece = get(text)
             if piece is None:
-                ids += [self.pieces.byte[b] for b in reversed(text[begin:end].encode())]
+                ids += [self.pieces.byte[b] for b in reversed(text.encode())]
             else:
                 ids.append(piece)
             end = begin
-        out.append(struct.pack(f"<{len(ids)}i", *reversed(ids)))
-        self.held = max(self.held, self.far)
-        self.at += upto
-        over = last and self.at == len(self.text)
-        self.commits += not over
-        self._drop(upto)
-        if not self.pieces.cut_at_blanks:
-            return over
-        if self.key is not None:
-            self.key = self.key + text if len(self.key) + upto <= LONGEST else None
-            self.found.append(out[-1])
-        certain = over or (self.at < len(self.text) and self.text[self.at] == " " and self.text[self.at - 1] != " ")
-        if certain:
-            if self.key:
-                self.pieces.memory.put(self.key, b"".join(self.found))
-            self.key = ""
+        self.told += reversed(ids)
+        self.held = max(self.held, self.far - done)
+        self.done, now = upto, at + upto
+        more = now < len(self.text)
+        self.commits += more or not last
+        if self.pieces.cut_at_blanks and (self.text[now] == " " != self.text[now - 1] if more else last):
+            if self.certain and upto <= LONGEST:
+                self.pieces.memory.put(self.text[at:now], struct.pack(f"<{len(self.told)}i", *self.told))
+            self._base(upto, out, True)
             self._restart()
-        if certain or self.key is None:
-            self.found = []
-        return certain
+            return True
+        if upto > LONGEST:
+            self._drop(upto)
+            self._base(upto, out, False)
+        return False
+
+    def _base(self, upto: int, out: list[bytes], certain: bool) -> None:
+        """Count boundaries from a committed one on."""
+        self._send(out)
+        self.at, self.certain, self.told, self.sent = self.at + upto, certain, [], 0
 
     def _drop(self, upto: int) -> None:
         """Forget what lies before a boundary."""
         base = self.best[upto]
         self.best = [x - base for x in self.best[upto : self.far + 1]]
         self.back = [-1, *(b - upto if b >= 0 else -1 for b in self.back[upto + 1 : self.far + 1])]
-        self.start, self.far = self.start - upto, self.far - upto
+        self.start, self.far, self.done = self.start - upto, self.far - upto, 0
 
 
 class MergedPieces(Pieces):
@@ -283,7 +290,8 @@ class MergedPieces(Pieces):
 
     def __init__(self, path: str) -> None:
         super().__init__(path)
-        self.known: dict[tuple[str, str], bool] = {}
+        self.known: dict[str, dict[str, bool]] = {}
+        self.n_known = 0
 
     def stream(self) -> StreamingMerges:
         return StreamingMerges(self)
@@ -303,9 +311,11 @@ class MergedPieces(Pieces):
 
     def apart(self, a: str, b: str) -> bool:
         """Whether a and b, side by side, are encoded as just these two."""
-        if len(self.known) > MEMORY:
+        if self.n_known > MEMORY:
             self.known.clear()
-        ok = self.known[(a, b)] = self.merge(a + b) == ([a, b] if a else [b])
+            self.n_known = 0
+        ok = self.known.setdefault(a, {})[b] = self.merge(a + b) == ([a, b] if a else [b])
+        self.n_known += 1
         return ok
 
 
@@ -330,11 +340,12 @@ class StreamingMerges(StreamingViterbi):
         start, far, size = self.start, self.far, len(text) + 1
         while start < upto:
             here = last[start]
+            after = known(here, {}).get
             for end in range(start + 1, size):
                 piece = text[start:end]
                 score = walk(piece, nothing)
                 if back[end] < 0 and (end == start + 1 or (score is not None and score != nothing)):
-                    ok = known((here, piece))
+                    ok = after(piece)
                     if p.apart(here, piece) if ok is None else ok:
                         back[end], last[end] = start, piece
                         if end > far:
@@ -349,7 +360,7 @@ class StreamingMerges(StreamingViterbi):
     def _drop(self, upto: int) -> None:
         self.back = [-1, *(b - upto if b >= 0 else -1 for b in self.back[upto + 1 : self.far + 1])]
         self.last = self.last[upto : self.far + 1]
-        self.start, self.far = self.start - upto, self.far - upto
+        self.start, self.far, self.done = self.start - upto, self.far - upto, 0
 
 
 @functools.cache
