@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,7 +17,8 @@ def greedy_pairs(candidates: DataFrame, group: list[str], left: str, right: str,
     """One-to-one pairs of each group, nearest first; ties by left, then right.
 
     A group holds the candidates of two consecutive products, tens of rows; they
-    are folded as one sorted array, without Python.
+    are folded as one sorted array, without Python. ``greedy_rounds`` gives the
+    same pairs where a group may hold thousands.
     """
     item = F.struct(F.col(distance).alias("d"), F.col(left).alias("l"), F.col(right).alias("r"))
     folded = candidates.groupBy(*group).agg(F.sort_array(F.collect_list(item)).alias("all"))
@@ -30,6 +32,35 @@ def greedy_pairs(candidates: DataFrame, group: list[str], left: str, right: str,
     return pairs.select(*group, F.col("p.l").alias(left), F.col("p.r").alias(right), F.col("p.d").alias(distance))
 
 
+def greedy_rounds(candidates: DataFrame, group: list[str], left: str, right: str, distance: str) -> DataFrame:
+    """The pairs of ``greedy_pairs`` for groups of any size, none of which has to fit a task.
+
+    A candidate that comes first both among those of its left and among those of
+    its right is taken whatever else happens, so each round takes all of these
+    and drops what shares a side with them, until none is left. The firsts are
+    minima, combined before the shuffle; they meet as whole candidates, each of
+    which is there once, so no join has a hot key but for the removal, where the
+    taken side holds a left or right once. Rounds grow with the longest chain of
+    candidates that wait for each other, for distances in no particular order
+    with the logarithm of a group. A group of null is a group; a candidate whose
+    left, right or distance is null is none; of repeated candidates one counts.
+    """
+    item = F.struct(F.col(distance).alias("d"), F.col(left).alias("l"), F.col(right).alias("r"))
+    whole = F.col(left).isNotNull() & F.col(right).isNotNull() & F.col(distance).isNotNull()
+    open_ = settled(candidates.filter(whole).select(F.struct(*group).alias("g"), item.alias("x")).distinct())
+    taken = []
+    while not open_.isEmpty():
+        first = lambda side: open_.groupBy("g", F.col(f"x.{side}").alias("_s")).agg(F.min("x").alias("x")).select("g", "x")  # noqa: B023, E731
+        pairs = settled(first("l").join(first("r"), ["g", "x"]))
+        taken.append(pairs)
+        for side in ("l", "r"):
+            gone = pairs.select("g", F.col(f"x.{side}").alias("_s"))
+            open_ = open_.withColumn("_s", F.col(f"x.{side}")).join(gone, ["g", "_s"], "left_anti").select("g", "x")
+        open_ = settled(open_)
+    pairs = functools.reduce(DataFrame.unionByName, taken, open_)
+    return pairs.select("g.*", F.col("x.l").alias(left), F.col("x.r").alias(right), F.col("x.d").alias(distance))
+
+
 def within(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, width: float) -> DataFrame:
     """Pairs with equal keys and numbers at most ``width`` apart.
 

@@ -298,6 +298,24 @@ def greedy_pairs(spark: SparkSession, d: str) -> DataFrame:
     return matching.greedy_pairs(near, ["o_custkey", "y"], "before", "now", "dist").select("o_custkey", "y", "before", "now")
 
 
+@query("""WITH RECURSIVE c AS (SELECT a.o_custkey || ':' || year(b.o_orderdate) AS g, year(b.o_orderdate) AS y, a.o_orderkey AS l, b.o_orderkey AS r, abs(CAST(a.o_totalprice AS DOUBLE) - b.o_totalprice) AS d FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND year(b.o_orderdate) = year(a.o_orderdate) + 1),
+ck AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY d, l, r) AS k FROM c),
+gr AS (SELECT DISTINCT g, y, 0::BIGINT AS k, []::BIGINT[] AS ul, []::BIGINT[] AS ur FROM ck UNION ALL
+ SELECT gr.g, gr.y, ck.k, CASE WHEN list_contains(ul, ck.l) OR list_contains(ur, ck.r) THEN ul ELSE list_append(ul, ck.l) END, CASE WHEN list_contains(ul, ck.l) OR list_contains(ur, ck.r) THEN ur ELSE list_append(ur, ck.r) END
+ FROM gr JOIN ck ON ck.g = gr.g AND ck.k = gr.k + 1),
+gf AS (SELECT g, arg_max(y, k) AS y, arg_max(ul, k) AS ul, arg_max(ur, k) AS ur FROM gr GROUP BY g)
+SELECT CAST(y AS INT) AS y, unnest(ul) AS before, unnest(ur) AS now FROM gf""")
+def greedy_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """A year's orders in one group, each with an order of the same customer of the year before, nearest in price first.
+
+    Candidates never cross customers, so the SQL may go customer by customer.
+    """
+    u = table(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("y"), F.col("o_orderkey").alias("now"), F.col("o_totalprice").cast("double").alias("price"))
+    before = u.select("o_custkey", (F.col("y") + 1).alias("y"), F.col("now").alias("before"), F.col("price").alias("was"))
+    near = before.join(u, ["o_custkey", "y"]).withColumn("dist", F.abs(F.col("was") - F.col("price")))
+    return matching.greedy_rounds(near, ["y"], "before", "now", "dist").select("y", "before", "now")
+
+
 @query("""WITH b AS (SELECT p_partkey, greatest(0.0, least(-15, -p_size + 10.0) - greatest(-40, -p_size - 10.0)) AS w, greatest(0.0, least(30, p_size % 40 + 5.0) - greatest(0, p_size % 40 - 5.0)) AS h FROM part)
 SELECT p_partkey, CASE WHEN w > 0 AND h > 0 THEN round(w * h, 4) END AS area FROM b""")
 def clip_boxes(spark: SparkSession, d: str) -> DataFrame:

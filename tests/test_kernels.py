@@ -1,5 +1,7 @@
 """Kernels on literals; expected values are stated rules, not snapshots."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +62,31 @@ def test_best_track(spark):
     assert sorted((r["dtg"], r["vmax"]) for r in products.best_track_fixes(lines).collect()) == [("202606180000", 30), ("202606180600", 0)]
 
 
+def test_greedy_rounds_equal_the_fold(spark):
+    r = random.Random(3)
+    # Ties of distance, repeated candidates, a chain in which each waits for the next, a group of null, a side that is a struct.
+    rows = [(g, i, j, float(r.randrange(8))) for g in ("a", None) for i in range(12) for j in range(12) if r.random() < 0.6] * 2
+    rows += [("chain", (k + 1) // 2, k // 2, 20.0 - k) for k in range(14)]
+    c = spark.createDataFrame(rows, "g string, i int, j int, d double").withColumn("i", F.struct("i"))
+    told = lambda f, of: sorted(map(str, f(of, ["g"], "i", "j", "d").collect()))
+    assert told(matching.greedy_rounds, c) == told(matching.greedy_pairs, c)
+    odd = c.unionByName(spark.sql("SELECT 'a' AS g, CAST(NULL AS STRUCT<i: INT>) AS i, 1 AS j, 0D AS d UNION ALL SELECT 'a', struct(1), 1, NULL"))
+    assert told(matching.greedy_rounds, odd) == told(matching.greedy_pairs, c)
+    assert told(matching.greedy_rounds, c.limit(0)) == []
+
+
+def test_greedy_rounds_of_a_large_group(spark):
+    pairs = spark.range(10_000).select(F.lit("g").alias("g"), (F.col("id") / 100).cast("int").alias("i"), (F.col("id") % 100).cast("int").alias("j"))
+    c = pairs.withColumn("d", F.pmod(F.xxhash64("i", "j"), F.lit(500)).cast("double"))
+    free, expected = (set(), set()), set()
+    for d, i, j in sorted((x["d"], x["i"], x["j"]) for x in c.collect()):
+        if i not in free[0] and j not in free[1]:
+            free[0].add(i)
+            free[1].add(j)
+            expected.add((i, j, d))
+    assert {(x["i"], x["j"], x["d"]) for x in matching.greedy_rounds(c, ["g"], "i", "j", "d").collect()} == expected
+
+
 def test_greedy(spark):
     c = spark.createDataFrame([("g", 1, 1, 2.0), ("g", 1, 2, 1.0), ("g", 2, 2, 0.5), ("g", 2, 1, 3.0)], "g string, i int, j int, d double")
     assert sorted(tuple(r) for r in matching.greedy_pairs(c, ["g"], "i", "j", "d").collect()) == [("g", 1, 1, 2.0), ("g", 2, 2, 0.5)]
