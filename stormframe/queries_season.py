@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stormframe.plans import audit, ledger, lineage, series, truth
+from stormframe.operators.matching import product_diff
+from stormframe.plans import audit, changes, ledger, lineage, series, truth
 from stormframe.queries import _STATEMENTS, _rate, _statements, query, r4
 from stormframe.session import settled, table
 from stormframe.sources import products, sinks
@@ -373,13 +374,42 @@ j AS (SELECT y, CASE WHEN p.o_custkey IS NOT NULL AND c.o_custkey IS NOT NULL TH
 SELECT y, count(*) FILTER (WHERE change = 'paired') AS moved, count(*) FILTER (WHERE change = 'added') AS new, count(*) FILTER (WHERE change = 'removed') AS gone FROM j GROUP BY y""")
 def yearly_diffs(spark: SparkSession, d: str) -> DataFrame:
     """Every year of orders against the one before: what stays, comes and goes."""
-    from stormframe.operators.matching import product_diff
-
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.year("o_orderdate").alias("y"))
     both = product_diff(o.filter("y < 1998").withColumn("y", F.col("y") + 1), o.filter("y > 1992"), ["o_custkey", "y"], ["o_orderkey"])
     return audit.diff_counts(both, ["y"])
 
 
+# A customer's last order of a year is an area of that year's outlook; its key gives place and odds, some of them unknown.
+_SHOWN = """o AS (SELECT o_custkey, year(o_orderdate) AS y, max(o_orderkey) AS k FROM orders GROUP BY ALL),
+a AS (SELECT o_custkey, y, CASE WHEN k % 7 <> 0 THEN k % 3 + 10 END AS lat, CASE WHEN k % 7 <> 0 THEN -(k % 4) END AS lon, CASE WHEN k % 5 <> 0 THEN (k % 4) * 20 END AS h48, CASE WHEN k % 6 <> 0 THEN (k % 10) * 10 END AS d7 FROM o),
+j AS (SELECT coalesce(p.o_custkey, c.o_custkey) AS o_custkey, coalesce(p.y + 1, c.y) AS y, p.y IS NOT NULL AS was, c.y IS NOT NULL AS here, p.lat AS plat, p.lon AS plon, c.lat AS lat, c.lon AS lon, p.h48 AS p48, c.h48 AS c48, p.d7 AS p7, c.d7 AS c7
+ FROM a p FULL JOIN a c ON p.o_custkey = c.o_custkey AND p.y + 1 = c.y),
+t AS (SELECT *, was AND here AND coalesce(plat <> lat OR plon <> lon, false) AS moved,
+ CASE WHEN p48 IS NOT DISTINCT FROM c48 THEN coalesce(c48 || '%', 'n/a') ELSE coalesce(p48 || '%', 'n/a') || '→' || coalesce(c48 || '%', 'n/a') || CASE WHEN c48 > p48 THEN ' ▲' WHEN c48 < p48 THEN ' ▼' ELSE '' END END AS t48,
+ CASE WHEN p7 IS NOT DISTINCT FROM c7 THEN coalesce(c7 || '%', 'n/a') ELSE coalesce(p7 || '%', 'n/a') || '→' || coalesce(c7 || '%', 'n/a') || CASE WHEN c7 > p7 THEN ' ▲' WHEN c7 < p7 THEN ' ▼' ELSE '' END END AS t7 FROM j)"""
+
+
+def _shown(spark: SparkSession, d: str) -> DataFrame:
+    key, some = F.col("k"), lambda n, c: F.when(F.col("k") % n != 0, c)
+    o = table(spark, d, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.max("o_orderkey").alias("k"))
+    a = o.select("o_custkey", "y", "k", some(7, (key % 3 + 10).cast("double")).alias("lat"), some(7, -(key % 4).cast("double")).alias("lon"), some(5, key % 4 * 20).alias("chance48"), some(6, key % 10 * 10).alias("chance7"))
+    pairs = product_diff(a.withColumn("y", F.col("y") + 1), a, ["o_custkey", "y"], ["k"])
+    return changes.area_changes(pairs.withColumn("old", (F.col("y") - 1).cast("string")))
+
+
+@query(f"""WITH {_SHOWN} SELECT o_custkey, y, moved, was AND plat IS NOT NULL AS drawn,
+ CASE WHEN NOT was OR plat IS NULL THEN NULL WHEN NOT here THEN 'gone from this issuance · ' || (y - 1) ELSE CASE WHEN moved THEN 'was here · ' ELSE '' END || (y - 1) || ' · 48h ' || t48 || ' · 7d ' || t7 END AS note FROM t""")
+def shown_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Each year's areas against those of the year before: what is drawn at the old place, and its note."""
+    return _shown(spark, d).select("o_custkey", "y", "moved", "drawn", "note")
+
+
+@query(f"""WITH {_SHOWN}, n AS (SELECT y, count(*) FILTER (WHERE moved) AS moved, count(*) FILTER (WHERE NOT was) AS new, count(*) FILTER (WHERE NOT here) AS gone FROM t GROUP BY y)
+SELECT *, 'Δ vs ' || (y - 1) || ': ' || moved || ' moved · ' || new || ' new · ' || gone || ' gone' AS line FROM n""")
+def change_totals(spark: SparkSession, d: str) -> DataFrame:
+    return changes.change_totals(_shown(spark, d), ["y"])
+
+
 # A customer's orders state odds; every fifth states none, and the days between them are what they are.
 _ODDS = """od AS (SELECT CAST(o_custkey % 50 AS VARCHAR) AS basin, CAST(o_custkey AS VARCHAR) AS chain_id, 48 AS horizon, strftime(min(o_orderdate), '%Y%m%d%H%M') AS stamp, CASE WHEN min(o_orderkey) % 5 <> 0 THEN CAST(min(o_orderkey) % 10 * 10 AS INT) END AS pct FROM orders GROUP BY o_custkey, o_orderdate),
 os AS (SELECT *, epoch(strptime(stamp, '%Y%m%d%H%M')) AS t, row_number() OVER w - 1 AS k, lag(pct) OVER w AS before, count(*) OVER (PARTITION BY chain_id) AS n FROM od WINDOW w AS (PARTITION BY chain_id ORDER BY stamp))"""
