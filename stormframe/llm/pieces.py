@@ -36,6 +36,8 @@ from pyspark.sql import DataFrame
 
 MODEL = "piece_bpe_32k.model"
 MEMORY, LONGEST = 1_000_000, 200
+#: Characters after a boundary by which findings are remembered, first with the piece before it, then without; and how many are.
+HEAD, REACH, KNOWN = 2, 5, 1_000_000
 #: Characters of a text that are fed at a time.
 BLOCK = 4096
 MARK = "▁"
@@ -246,19 +248,9 @@ class StreamingViterbi:
 
     def _commit(self, upto: int, last: bool, out: list[bytes]) -> bool:
         """The ids before a boundary no longer change; True where nothing after it depends on them."""
-        ids, end, back, done, at, get = [], upto, self.back, self.done, self.at, self.pieces.ids.get
-        while end > done:
-            begin = back[end]
-            text = self.text[at + begin : at + end]
-            piece = get(text)
-            if piece is None:
-                ids += [self.pieces.byte[b] for b in reversed(text.encode())]
-            else:
-                ids.append(piece)
-            end = begin
-        self.told += reversed(ids)
-        self.held = max(self.held, self.far - done)
-        self.done, now = upto, at + upto
+        self.told += self._ids(upto)
+        self.held = max(self.held, self.far - self.done)
+        at, self.done, now = self.at, upto, self.at + upto
         more = now < len(self.text)
         self.commits += more or not last
         if self.pieces.cut_at_blanks and (self.text[now] == " " != self.text[now - 1] if more else last):
@@ -272,6 +264,20 @@ class StreamingViterbi:
             self._base(upto, out, False)
         return False
 
+    def _ids(self, upto: int) -> list[int]:
+        """The ids from the last commit to a boundary."""
+        ids, end, at = [], upto, self.at
+        while end > self.done:
+            begin = self.back[end]
+            text = self.text[at + begin : at + end]
+            piece = self.pieces.ids.get(text)
+            if piece is None:
+                ids += [self.pieces.byte[b] for b in reversed(text.encode())]
+            else:
+                ids.append(piece)
+            end = begin
+        return ids[::-1]
+
     def _base(self, upto: int, out: list[bytes], certain: bool) -> None:
         """Count boundaries from a committed one on."""
         self._send(out)
@@ -285,12 +291,31 @@ class StreamingViterbi:
         self.start, self.far, self.done = self.start - upto, self.far - upto, 0
 
 
+class _Piece:
+    """A piece as the last one before a boundary, with what was found out about text after it."""
+
+    __slots__ = ("heads", "ids", "near", "text")
+
+    def __init__(self, text: str, ids: list[int]) -> None:
+        self.text, self.ids = text, ids
+        self.near: dict[str, bool] = {}  # whether a piece stays apart from this one
+        # By the next characters: the pieces within them that do, and whether a longer piece begins so.
+        self.heads: dict[str, tuple[tuple[tuple[int, _Piece], ...], bool]] = {}
+
+
 class MergedPieces(Pieces):
     """The pieces of a BPE model, in the order of its merges."""
 
     def __init__(self, path: str) -> None:
         super().__init__(path)
-        self.known: dict[str, dict[str, bool]] = {}
+        self.longer = {t[:k] for t in self.ids for k in (HEAD, REACH) if len(t) > k}
+        self.rank = {t: self.score[i] for t, i in self.ids.items()}
+        self.forget()
+
+    def forget(self) -> None:
+        self.nodes: dict[str, _Piece] = {}
+        self.none = _Piece("", [])
+        self.reach: dict[str, tuple[tuple[int, ...], bool]] = {}  # by the next characters: lengths of pieces over HEAD within them
         self.n_known = 0
 
     def stream(self) -> StreamingMerges:
@@ -298,65 +323,124 @@ class MergedPieces(Pieces):
 
     def merge(self, text: str) -> list[str]:
         """Plain merging, highest score first and then leftmost; here only for one or two pieces."""
-        parts, none = list(text), float("-inf")
-        while len(parts) > 1:
-            scores = [self.walk.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-            scores = [none if x is None else x for x in scores]
-            best = max(scores)
-            if best == none:
-                break
+        parts, none, get = list(text), float("-inf"), self.rank.get
+        scores = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while scores and (best := max(scores)) > none:
             at = scores.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = get(parts[at - 1] + parts[at], none)
+            if at < len(scores):
+                scores[at] = get(parts[at] + parts[at + 1], none)
         return parts
 
-    def apart(self, a: str, b: str) -> bool:
-        """Whether a and b, side by side, are encoded as just these two."""
-        if self.n_known > MEMORY:
-            self.known.clear()
-            self.n_known = 0
-        ok = self.known.setdefault(a, {})[b] = self.merge(a + b) == ([a, b] if a else [b])
-        self.n_known += 1
+    def node(self, text: str) -> _Piece:
+        found = self.nodes.get(text)
+        if found is None:
+            piece = self.ids.get(text)
+            ids = [self.byte[b] for b in text.encode()] if piece is None else [piece]
+            found = self.nodes[text] = _Piece(text, ids)
+        return found
+
+    def apart(self, before: _Piece, piece: str) -> bool:
+        """Whether two pieces, side by side, are encoded as just these two."""
+        ok = before.near.get(piece)
+        if ok is None:
+            a = before.text
+            ok = before.near[piece] = self.merge(a + piece) == ([a, piece] if a else [piece])
+            self.n_known += 1
         return ok
 
+    def after(self, before: _Piece, head: str) -> tuple[tuple[tuple[int, _Piece], ...], bool]:
+        """The pieces within the next characters that stay apart from the one before, and whether a longer one begins so."""
+        if self.n_known > KNOWN:
+            self.forget()
+        pieces, nothing = [], float("inf")
+        for k in range(1, len(head) + 1):
+            score = self.walk.get(head[:k], nothing)
+            if (k == 1 or (score is not None and score != nothing)) and self.apart(before, head[:k]):
+                pieces.append((k, self.node(head[:k])))
+            if score == nothing:
+                break
+        found = before.heads[head] = tuple(pieces), head in self.longer
+        self.n_known += 1
+        return found
+
+    def within(self, text: str) -> tuple[tuple[int, ...], bool]:
+        """The lengths over HEAD of pieces that begin a short text, and whether a longer piece begins with it."""
+        found = self.reach[text] = tuple(k for k in range(HEAD + 1, len(text) + 1) if text[:k] in self.ids), text in self.longer
+        self.n_known += 1
+        return found
+
 
 class StreamingMerges(StreamingViterbi):
-    """The same window and commits; a back-pointer holds where the last two pieces stay apart."""
+    """The same window and commits; a back-pointer holds where the last two pieces stay apart.
+
+    Just one start is right for each end, so a back-pointer is never replaced.
+    """
 
     def _restart(self) -> None:
         super()._restart()
-        self.last = [""]  # the piece that ends at each boundary
+        self.last = [self.pieces.none]  # the piece that ends at each boundary
 
     def _grow(self, to: int) -> None:
         more = to + 1 - len(self.back)
         if more > 0:
             self.back += [-1] * more
-            self.last += [""] * more
+            self.last += [None] * more
 
     def _weigh(self, upto: int) -> None:
-        """Just one start is right for each end."""
-        text = self.text[self.at : self.at + upto + self.pieces.longest]
+        """Starts up to a boundary, or until the paths meet where the base has to move; other meetings are committed here."""
+        whole, at, p = self.text, self.at, self.pieces
+        text = whole[at : at + upto + p.longest]
         self._grow(len(text))
-        p, back, last, walk, known, nothing = self.pieces, self.back, self.last, self.pieces.walk.get, self.pieces.known.get, float("inf")
-        start, far, size = self.start, self.far, len(text) + 1
+        back, last, walk, reach, nothing = self.back, self.last, p.walk.get, p.reach.get, float("inf")
+        start, far, done, told, size, total = self.start, self.far, self.done, self.told, len(text) + 1, len(whole) - at
         while start < upto:
-            here = last[start]
-            after = known(here, {}).get
-            for end in range(start + 1, size):
-                piece = text[start:end]
-                score = walk(piece, nothing)
-                if back[end] < 0 and (end == start + 1 or (score is not None and score != nothing)):
-                    ok = after(piece)
-                    if p.apart(here, piece) if ok is None else ok:
-                        back[end], last[end] = start, piece
-                        if end > far:
-                            far = end
-                if score == nothing:
-                    break
+            here, head = last[start], text[start : start + HEAD]
+            pieces, longer = here.heads.get(head) or p.after(here, head)
+            end = 0
+            for k, piece in pieces:
+                end = start + k
+                back[end], last[end] = start, piece
+            if longer:
+                ahead = text[start : start + REACH]
+                lengths, longer = reach(ahead) or p.within(ahead)
+                for k in lengths:
+                    if back[start + k] < 0 and p.apart(here, ahead[:k]):
+                        end = start + k
+                        back[end], last[end] = start, p.node(ahead[:k])
+                if longer:
+                    for to in range(start + REACH + 1, size):
+                        score = walk(text[start:to], nothing)
+                        if score is None:
+                            continue
+                        if score == nothing:
+                            break
+                        if back[to] < 0 and p.apart(here, text[start:to]):
+                            end = to
+                            back[end], last[end] = start, p.node(text[start:to])
+            if end > far:
+                far = end
             start += 1
             if far == start:
-                break
+                if start > LONGEST or start >= total or text[start] == " ":
+                    break
+                if start - done > self.held:
+                    self.held = start - done
+                told += last[start].ids if back[start] == done else self._ids(start)
+                done = self.done = start
+                self.commits += 1
         self.start, self.far = start, far
 
+    def _ids(self, upto: int) -> list[int]:
+        found, end = [], upto
+        while end > self.done:
+            found.append(self.last[end].ids)
+            end = self.back[end]
+        return [i for ids in reversed(found) for i in ids]
+
     def _drop(self, upto: int) -> None:
         self.back = [-1, *(b - upto if b >= 0 else -1 for b in self.back[upto + 1 : self.far + 1])]
         self.last = self.last[upto : self.far + 1]
