@@ -162,7 +162,8 @@ def storm_tracks(files: DataFrame, fixes: DataFrame, season: Column) -> DataFram
     refs = files.select("base", area.alias("area"), F.explode("refs").alias("ref")).filter(F.substring("ref", 1, 2) == F.col("area"))
     named = refs.select("base", invest_tag(F.col("ref"), season).alias("tag"))
     numbered = files.filter("genesis_num <> ''").select("base", area.alias("area"), "genesis_num")
-    others = files.filter("genesis_num <> ''").select(area.alias("area"), "genesis_num", invest_tag(F.col("id"), season).alias("tag"))
+    # A number's invests have few tags, however many files bear it.
+    others = files.filter("genesis_num <> ''").select(area.alias("area"), "genesis_num", invest_tag(F.col("id"), season).alias("tag")).filter("tag IS NOT NULL").distinct()
     shared = numbered.join(others, ["area", "genesis_num"]).select("base", "tag")
     tags = own.unionByName(named).unionByName(shared).groupBy("base").agg(F.sort_array(F.collect_set("tag")).alias("invest_tags"))
     points = fixes.groupBy("base").agg(F.sort_array(F.collect_list(F.struct(F.col("dtg").alias("t"), "lat", "lon", F.col("vmax").alias("kt"), "status"))).alias("fixes"))
