@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from stormframe.plans import truth
+from stormframe.plans import lineage, truth
 
 
 def joined(df):
@@ -35,3 +35,38 @@ def test_storm_tracks_of_one_number(spark):
     rows, most = joined(truth.storm_tracks(files, fixes, F.lit(2026)).select("base", "invest_tags"))
     assert len(rows) == n and all(r["invest_tags"] == ["AL90", "AL92", "AL94", "AL96", "AL98"] for r in rows)
     assert most <= 5 * n
+
+
+def test_waves_and_invests_in_one_place(spark):
+    n = 300
+    stamp = F.format_string("2026060100%02d", F.col("id") % 60)
+    at = lambda lat, lon: [F.lit(lat).alias("lat"), (F.lit(lon) + F.col("id") / 1000.0).alias("lon")]
+    chain = lambda who: [F.lit("AT").alias("basin"), F.concat(F.lit(who), F.col("id").cast("string")).alias("chain_id"), F.lit(1).alias("seq"), stamp.alias("stamp")]
+    lone = spark.createDataFrame([("AT", "w", 1, "202606100000", 15.0, -80.0)], "basin string, chain_id string, seq int, stamp string, lat double, lon double")
+    waves = spark.range(n).select(*chain("W"), *at(15.0, -40.0)).unionByName(lone)
+    waves = waves.withColumn("mean_lon", F.col("lon")).withColumn("axis", F.array(F.struct("lat", "lon")))
+    invests = spark.range(n).select(*chain("I"), *at(15.0, -40.0)).unionByName(lone.withColumn("chain_id", F.lit("i")))
+    rows, most = joined(lineage.wave_links(waves, invests))
+    assert [(r["source"], r["target"]) for r in rows] == [("w", "i")] and most <= 4 * n
+    rows, most = joined(lineage.cyclone_links(invests, invests.withColumn("chain_id", F.concat(F.lit("c"), "chain_id"))))
+    assert [(r["source"], r["target"]) for r in rows] == [("i", "ci")] and most <= 4 * n
+    shown = invests.select("basin", F.col("chain_id").alias("wave"), F.col("lon").alias("mean_lon"), lineage._hours("stamp").alias("h"))
+    rows, most = joined(lineage.match_waves(shown, waves))
+    assert {(r["chain_id"], r["ambiguous"]) for r in rows} == {("w", False), (None, True)} and len(rows) == n + 1 and most <= 4 * n
+
+
+def test_lookup_as_by_all_pairs(spark):
+    """Cells that decide by themselves give what all pairs give."""
+    from pyspark.sql import Window
+
+    r = lambda k, m: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(m)).cast("double")
+    stamp = lambda h: F.date_format(F.timestamp_seconds(F.lit(1780272000) + h * 3600), "yyyyMMddHHmm")
+    waves = spark.range(150).select(F.lit("AT").alias("basin"), F.concat(F.lit("W"), F.col("id").cast("string")).alias("chain_id"), F.lit(1).alias("seq"), stamp(r(1, 400)).alias("stamp"), (-r(2, 640) / 8).alias("mean_lon"))
+    shown = spark.range(400).select(F.lit("AT").alias("basin"), F.col("id").alias("wave"), (-r(3, 640) / 8).alias("mean_lon"), (F.lit(1780272000) / 3600 + r(4, 500)).alias("h"))
+    last = waves.select("chain_id", F.col("mean_lon").alias("x"), lineage._hours("stamp").alias("t"))
+    order = Window.partitionBy("wave").orderBy("d", "chain_id")
+    pairs = shown.crossJoin(last).withColumn("d", F.abs(F.col("x") - F.col("mean_lon"))).filter("d <= 6 AND abs(h - t) <= 30")
+    pairs = pairs.withColumn("k", F.row_number().over(order)).withColumn("y", F.lead("x").over(order)).filter("k = 1")
+    want = {(q["wave"], None if q["y"] is not None and abs(q["x"] - q["y"]) <= 2 else q["chain_id"]) for q in pairs.collect()}
+    got = {(q["wave"], q["chain_id"]) for q in lineage.match_waves(shown, waves).collect()}
+    assert got == want and len({c is None for _, c in got}) == 2
