@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from stormframe.plans import lineage, truth
+from stormframe.plans import ledger, lineage, truth
 
 
 def joined(df):
@@ -70,3 +70,33 @@ def test_lookup_as_by_all_pairs(spark):
     want = {(q["wave"], None if q["y"] is not None and abs(q["x"] - q["y"]) <= 2 else q["chain_id"]) for q in pairs.collect()}
     got = {(q["wave"], q["chain_id"]) for q in lineage.match_waves(shown, waves).collect()}
     assert got == want and len({c is None for _, c in got}) == 2
+
+
+def _season(spark, chains, seed):
+    """Sightings of chains at odd stamps and places, some unknown, and cyclones of as many."""
+    r = lambda k, m, *c: F.pmod(F.xxhash64("id", *c, F.lit(k + seed)), F.lit(m))
+    stamp = lambda m: F.date_format(F.timestamp_seconds(F.lit(1780272000) + m * 60), "yyyyMMddHHmm")
+    lat = lambda *c: F.when((r(1, 5, *c) > 0) & (F.col("id") % 11 > 0), 10.0 + r(2, 200, *c) / 10)
+    rows = spark.range(chains).withColumn("seq", F.explode(F.sequence(F.lit(1), F.lit(6))))
+    rows = rows.select("id", "seq", F.when(r(6, 40, "seq") > 0, stamp(r(3, 2000) + (F.col("seq") / 2).cast("long") * 60 * r(4, 7, "seq"))).otherwise("9").alias("stamp"), lat("seq").alias("lat"), (-r(5, 300, "seq") / 10.0).alias("lon"))
+    rows = rows.withColumn("stamp", F.when((F.col("seq") > 1) & (F.col("seq") < 6), F.col("stamp")).otherwise(stamp(r(3, 2000) + F.col("seq") * 300)))
+    rows = rows.select(F.lit("AT").alias("basin"), F.concat(F.lit("I"), F.col("id").cast("string")).alias("chain_id"), "seq", "stamp", "lat", "lon", F.when(F.col("id") % 3 > 0, F.concat(F.lit("AL9"), (F.col("id") % 5).cast("string"))).alias("tag"))
+    chance = lambda test: F.when(test, F.struct(F.lit("low").alias("cat"), F.lit(20).alias("pct")))
+    rows = rows.withColumns({"chance48": chance(F.col("seq") % 2 == 0), "chance7": chance(F.col("seq") % 3 == 0)})
+    cyclones = rows.withColumn("chain_id", F.concat(F.lit("C"), "chain_id")).withColumn("name", F.lit("N"))
+    return rows, cyclones.withColumn("lon", F.col("lon") + 0.3)
+
+
+def test_counts_of_nearby_cyclones(spark):
+    """Sizes and first stamps are those of the lists, with ties of time, unknown places and unknown stamps."""
+    invests, cyclones = (df.localCheckpoint() for df in _season(spark, 120, 0))
+    links = spark.createDataFrame([("AT", "invest-cyclone", "I1", "CI1", "202606010600"), ("AT", "wave-invest", "W1", "I2", "202606010600")], "basin string, kind string, source string, target string, at_stamp string")
+    now = spark.createDataFrame([("202606040000",)], "now string")
+    lists = {r["chain_id"]: r for r in ledger.ledger_records(invests, cyclones, links, now).collect()}
+    rows = ledger.ledger_outcomes(invests, cyclones, links, now).collect()
+    assert len(rows) == len(lists) == 120 and sum(len(r["nearby"]) for r in lists.values()) > 1500
+    for r in rows:
+        own = lists[r["chain_id"]]
+        firsts = [n["first_stamp"] for n in own["nearby"]]
+        assert (r["n_near"], r["near_stamp"], r["n_siblings"]) == (len(firsts), min(firsts, default=None), len(own["siblings"])), own
+        assert all(r[c] == own[c] for c in (*ledger.RECORD, "now"))
