@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stormframe.functions.geometry import flat_distance
-from stormframe.functions.scalars import hours_between, invest_tag, overlaps, plus_hours, round_half_up, stamp_time, storm_name
-from stormframe.operators.matching import first_match, overlapping, within
-from stormframe.plans.ledger import HORIZONS, SPAN_HOURS, agreement, observed_rate, truth_kind
+from stormframe.functions.scalars import hours_between, invest_tag, plus_hours, round_half_up, stamp_time, storm_name
+from stormframe.operators.matching import first_overlapping, within
+from stormframe.plans.ledger import HORIZONS, agreement, observed_rate, truth_kind
+from stormframe.session import settled
 
 # Hours that an era may lie off a chain, that genesis may trail it, between a sighting and a fix, and an outlier's degrees.
 ERA_HOURS, TRAIL_HOURS, MATCH_HOURS, OUTLIER_DEGREES = 48, 240, 6.0, 5.0
@@ -19,18 +20,14 @@ def _files(files: DataFrame, *names: str) -> DataFrame:
     return files.select(*(F.col(c).alias(f"f_{c}") for c in ("base", "id", "num", "basin", "min_dtg", "max_dtg", *names)))
 
 
-def _era(after: int) -> Column:
-    t = lambda c: stamp_time(F.col(c))
-    return overlaps(t("f_min_dtg"), t("f_max_dtg"), t("first_stamp"), t("last_stamp"), ERA_HOURS, after)
-
-
-def _in_era(chains: DataFrame, eras: DataFrame, keys: list[str], after: int) -> DataFrame:
-    """Chains with the files that have their keys and their era."""
-    hour = lambda c: F.unix_seconds(stamp_time(F.col(c))) / F.lit(3600.0)
-    spans = chains.withColumns({"_from": hour("first_stamp") - ERA_HOURS, "_to": hour("last_stamp") + after})
-    # First and last rows stand in the order of the file, not of time.
-    files = eras.withColumns({"_low": F.least(hour("f_min_dtg"), hour("f_max_dtg")), "_high": F.greatest(hour("f_min_dtg"), hour("f_max_dtg"))})
-    return overlapping(spans, files, keys, ("_from", "_to"), ("_low", "_high"), SPAN_HOURS).filter(_era(after))
+def _first_in_era(chains: DataFrame, eras: DataFrame, keys: list[str], after: int) -> DataFrame:
+    """Chains, each with the first file by name that has its keys and its era."""
+    minute = lambda c: F.floor(F.unix_seconds(stamp_time(F.col(c))) / 60)
+    spans = chains.withColumns({"_from": minute("first_stamp") - ERA_HOURS * 60, "_to": minute("last_stamp") + after * 60})
+    files = eras.withColumns({"_low": minute("f_min_dtg"), "_high": minute("f_max_dtg")})
+    met = first_overlapping(spans, files, keys, ("_from", "_to"), ("_low", "_high"), ["f_file"])
+    # A chain may have several keys. Plans over these few rows read the chains and files many times.
+    return settled(met.groupBy("chain_id").agg(F.min("_first").alias("_first")).select("chain_id", "_first.*"))
 
 
 def invest_truth(records: DataFrame, files: DataFrame, now: Column) -> DataFrame:
@@ -42,7 +39,7 @@ def invest_truth(records: DataFrame, files: DataFrame, now: Column) -> DataFrame
     """
     tagged = records.filter(F.col("tag").rlike(r"^(AL|EP|CP)\d{2}$")).withColumn("file_id", F.concat(F.lower("tag"), F.substring("first_stamp", 1, 4)))
     f = _files(files, "refs", "genesis_num", "first_td_dtg", "names", "file")
-    own = first_match(tagged.select("chain_id", "file_id", "first_stamp", "last_stamp").join(f, (F.col("f_id") == F.col("file_id")) & _era(ERA_HOURS)), ["chain_id"], ["f_file"])
+    own = _first_in_era(tagged.select("chain_id", "file_id", "first_stamp", "last_stamp"), f.withColumn("file_id", F.col("f_id")), ["file_id"], ERA_HOURS)
     own = own.select("chain_id", F.col("f_base").alias("invest_base"), F.col("f_refs").alias("own_refs"), F.col("f_genesis_num").alias("own_num"), F.col("f_max_dtg").alias("own_max"))
     known = tagged.join(own, "chain_id", "left")
     # Each kind of evidence is an equality: a reference to the chain's invest, one number of both, a reference of the invest's file.
@@ -52,7 +49,7 @@ def invest_truth(records: DataFrame, files: DataFrame, now: Column) -> DataFrame
     shown = F.concat(F.array(said("named", F.col("f_id")), said("number", F.col("f_genesis_num"))), each("names", F.col("f_refs")))
     chains = known.select("chain_id", "first_stamp", "last_stamp", F.substring("tag", 1, 2).alias("area"), F.explode(F.array_distinct(sought)).alias("evidence")).filter("evidence.value IS NOT NULL")
     eras = f.filter("f_num < 90").select(*f.columns, F.col("f_basin").alias("area"), F.explode(F.array_distinct(shown)).alias("evidence"))
-    cyclone = first_match(_in_era(chains, eras, ["area", "evidence"], TRAIL_HOURS), ["chain_id"], ["f_file"])
+    cyclone = _first_in_era(chains, eras, ["area", "evidence"], TRAIL_HOURS)
     cyclone = cyclone.select("chain_id", F.col("f_base").alias("cyclone_base"), "f_first_td_dtg", F.col("f_names").alias("cyclone_names"), F.col("f_genesis_num").alias("cyclone_num"))
     out = records.join(known.select("chain_id", "invest_base", "own_num", "own_max"), "chain_id", "left").join(cyclone, "chain_id", "left")
     kind = truth_kind(F.col("cyclone_base").isNotNull(), F.col("f_first_td_dtg"), hours_between(stamp_time(F.col("own_max")), stamp_time(now)))
@@ -122,8 +119,7 @@ def cyclone_truth(cyclones: DataFrame, files: DataFrame, fixes: DataFrame) -> Da
     spans = spans.withColumn("file_basin", F.when(F.col("basin") == "AT", "AL").otherwise(F.col("basin")))
     f = _files(files, "names", "file").filter("f_num < 90")
     named = f.select(*f.columns, F.col("f_basin").alias("file_basin"), F.explode(F.array_distinct("f_names")).alias("storm"))
-    met = _in_era(spans.withColumn("storm", storm_name(F.col("name"))), named, ["file_basin", "storm"], ERA_HOURS)
-    base = first_match(met, ["chain_id"], ["f_file"]).select("chain_id", F.col("f_base").alias("base"))
+    base = _first_in_era(spans.withColumn("storm", storm_name(F.col("name"))), named, ["file_basin", "storm"], ERA_HOURS).select("chain_id", F.col("f_base").alias("base"))
     out = spans.select("basin", "chain_id", "name").join(base, "chain_id", "left")
     return out.join(position_stats(cyclones, fixes, base), "chain_id", "left")
 

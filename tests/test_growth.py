@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from stormframe.operators.matching import first_overlapping
 from stormframe.plans import ledger, lineage, truth
 
 
@@ -100,3 +101,24 @@ def test_counts_of_nearby_cyclones(spark):
         firsts = [n["first_stamp"] for n in own["nearby"]]
         assert (r["n_near"], r["near_stamp"], r["n_siblings"]) == (len(firsts), min(firsts, default=None), len(own["siblings"])), own
         assert all(r[c] == own[c] for c in (*ledger.RECORD, "now"))
+
+
+def test_first_overlapping(spark):
+    """As by all pairs: touching ends, points, empty, turned and unknown intervals, long ones; and joins stay small."""
+    r = lambda k, m: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(m))
+    side = lambda n, k, a, b: spark.range(n).select("id", (r(k, 2)).alias("g"), (r(k + 1, 500) - 250).alias(a)).withColumn(b, F.when(r(k + 2, 9) == 0, F.col(a) - 3).when(r(k + 2, 9) == 1, F.col(a) + 60000).when(r(k + 2, 9) > 2, F.col(a) + r(k + 3, 60)))
+    left, right = side(200, 0, "a", "b").localCheckpoint(), side(200, 10, "c", "d").withColumn("f", F.format_string("f%04d", r(20, 10000))).drop("id").localCheckpoint()
+    pairs = left.filter("a <= b").join(right, "g").filter("c <= b AND d >= a")
+    want = {(x["id"], x["f"]) for x in pairs.groupBy("id").agg(F.min("f").alias("f")).collect()}
+    got = [(x["id"], x["_first"]["f"]) for x in first_overlapping(left, right, ["g"], ("a", "b"), ("c", "d"), ["f"]).collect()]
+    assert len(got) == len(want) > 100 and set(got) == want
+
+
+def test_files_of_one_name_and_era(spark):
+    n = 1000
+    k = F.col("id").cast("string")
+    cyclones = spark.range(n).select(F.lit("AT").alias("basin"), F.concat(F.lit("C"), k).alias("chain_id"), F.lit(1).alias("seq"), F.lit("202606010600").alias("stamp"), F.lit("OTIS").alias("name"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"))
+    files = spark.range(n).select(F.concat(F.lit("b"), k).alias("base"), F.lit("al012026").alias("id"), F.lit(1).alias("num"), F.lit("AL").alias("basin"), F.lit("202606010000").alias("min_dtg"), F.lit("202606020000").alias("max_dtg"), F.array(F.lit("OTIS")).alias("names"), F.format_string("f%04d", F.col("id")).alias("file"))
+    fixes = files.select("base", F.col("min_dtg").alias("dtg"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon")).filter("base = 'b0'")
+    rows, most = joined(truth.cyclone_truth(cyclones, files, fixes))
+    assert len(rows) == n and {(x["base"], x["n"], x["max_deg"]) for x in rows} == {("b0", 1, 0.0)} and most <= 3 * n
