@@ -32,10 +32,14 @@ def lookup_or_null(table: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
 
 
+def bind(value: Column, then) -> Column:
+    """Name a value: ``then`` may use it many times, and it is worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def found(text: Column, pattern: str, group: int = 1) -> Column:
     """A group of the first match, or null."""
-    got = F.regexp_extract(text, pattern, group)
-    return F.when(got != "", got)
+    return bind(F.regexp_extract(text, pattern, group), lambda got: F.when(got != "", got))
 
 
 def rejoin_wraps(text: Column) -> Column:
@@ -74,12 +78,15 @@ def coordinate_pairs(text: Column) -> Column:
 
 def compass_degrees(word: Column) -> Column:
     """Degrees of ``west-northwestward``, ``wnw`` or ``west``; null for other words."""
-    bare = F.regexp_replace(F.trim(F.lower(word)), "ward$", "")
-    letters = F.regexp_replace(bare, "[- ]", "")
-    for name in ("north", "south", "east", "west"):
-        letters = F.replace(letters, F.lit(name), F.lit(name[0]))
-    spelled = bare.rlike(r"^((north|south)?(east|west)?[- ]?)+$") | bare.rlike("^[nsew]{1,3}$")
-    return F.when(spelled, F.try_element_at(F.create_map(*(F.lit(x) for kv in COMPASS.items() for x in kv)), letters))
+
+    def degrees(bare: Column) -> Column:
+        letters = F.regexp_replace(bare, "[- ]", "")
+        for name in ("north", "south", "east", "west"):
+            letters = F.replace(letters, F.lit(name), F.lit(name[0]))
+        spelled = bare.rlike(r"^((north|south)?(east|west)?[- ]?)+$") | bare.rlike("^[nsew]{1,3}$")
+        return F.when(spelled, F.try_element_at(F.create_map(*(F.lit(x) for kv in COMPASS.items() for x in kv)), letters))
+
+    return bind(F.regexp_replace(F.trim(F.lower(word)), "ward$", ""), degrees)
 
 
 # How a speed and a course are worded.
@@ -89,26 +96,31 @@ _TOWARD = r"(?:moving|movement(?:\s+is)?|drifting)\s+(?:toward(?:s)?(?: the)?\s+
 
 def motion(text: Column) -> Column:
     """``bearing, slow_kt, fast_kt, stationary, unit``; null where nothing is stated."""
-    t = F.lower(text)
-    slow, unit = found(t, _SPEED).cast("int"), found(t, _SPEED, 3)
-    fast = F.coalesce(found(t, _SPEED, 2).cast("int"), slow)
-    knots = lambda v: F.when(unit == "mph", F.floor(v * MPH_TO_KT + 0.5)).otherwise(v).cast("int")
-    degrees = found(t, r"(\d{1,3})\s*degrees[,\s]*at\s*\d").cast("double") % 360
-    toward = compass_degrees(found(t, _TOWARD))
     kind = "struct<bearing:double,slow_kt:int,fast_kt:int,stationary:boolean,unit:string>"
 
     def told(bearing, low, high, still: bool, in_unit) -> Column:
         return F.struct(bearing.alias("bearing"), low.alias("slow_kt"), high.alias("fast_kt"), F.lit(still).alias("stationary"), in_unit.alias("unit")).cast(kind)
 
-    none = F.lit(None).cast("string")
-    in_mph = F.when(unit == "mph", unit)
-    return (
-        F.when(t.rlike(r"\b(?:nearly\s+)?stationary\b|\blittle (?:overall )?movement\b"), told(F.lit(None).cast("double"), F.lit(0), F.lit(0), True, none))
-        .when(degrees.isNotNull() & slow.isNotNull(), told(degrees, knots(slow), knots(fast), False, in_mph))
-        .when(toward.isNull(), F.lit(None))
-        .when(slow.isNotNull(), told(toward, knots(slow), knots(fast), False, in_mph))
-        .when(t.rlike(r"\bdrifting\b"), told(toward, F.lit(0), F.lit(2), False, none))
-    )
+    def words(t: Column) -> Column:
+        return F.struct(
+            t.rlike(r"\b(?:nearly\s+)?stationary\b|\blittle (?:overall )?movement\b").alias("still"), t.rlike(r"\bdrifting\b").alias("drifts"),
+            found(t, _SPEED).cast("int").alias("slow"), found(t, _SPEED, 2).cast("int").alias("fast"), found(t, _SPEED, 3).alias("unit"),
+            (found(t, r"(\d{1,3})\s*degrees[,\s]*at\s*\d").cast("double") % 360).alias("degrees"), compass_degrees(found(t, _TOWARD)).alias("toward"),
+        )
+
+    def stated(x: Column) -> Column:
+        slow, unit, degrees, toward = x["slow"], x["unit"], x["degrees"], x["toward"]
+        fast, none, in_mph = F.coalesce(x["fast"], slow), F.lit(None).cast("string"), F.when(unit == "mph", unit)
+        knots = lambda v: F.when(unit == "mph", F.floor(v * MPH_TO_KT + 0.5)).otherwise(v).cast("int")
+        return (
+            F.when(x["still"], told(F.lit(None).cast("double"), F.lit(0), F.lit(0), True, none))
+            .when(degrees.isNotNull() & slow.isNotNull(), told(degrees, knots(slow), knots(fast), False, in_mph))
+            .when(toward.isNull(), F.lit(None))
+            .when(slow.isNotNull(), told(toward, knots(slow), knots(fast), False, in_mph))
+            .when(x["drifts"], told(toward, F.lit(0), F.lit(2), False, none))
+        )
+
+    return bind(F.lower(text), lambda t: bind(words(t), stated))
 
 
 def formation_chance(flat: Column, horizon: str) -> Column:
@@ -192,11 +204,6 @@ def title_case(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, "-"), lambda w: F.initcap(w)), "-")
 
 
-def bind(value: Column, then) -> Column:
-    """Name a value: ``then`` may use it many times, and it is worked out once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 #: Characters of a context that is shown.
 CONTEXT = 600
 

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from stormframe.functions import geometry, scalars, text
 from stormframe.plans import audit, discussions, outlook
 from stormframe.queries import query, r4
-from stormframe.session import table
+from stormframe.session import once, spread, table
 from stormframe.sources import products
 from stormframe.streaming import alerts
 
 
 def _parts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("file"), F.col("p_size").alias("s"))
+    return spread(table(spark, d, "part").select("p_partkey", F.col("p_size").alias("s"))).select("p_partkey", F.col("p_partkey").cast("string").alias("file"), "s")
 
 
 def _pick(k: Column, *forms: Column | str) -> Column:
@@ -28,7 +28,8 @@ def _pick(k: Column, *forms: Column | str) -> Column:
 
 def _sections(spark: SparkSession, d: str, name: str, body: Column, basin: Column | None = None) -> DataFrame:
     basin = F.lit("AT") if basin is None else basin
-    return _parts(spark, d).select("p_partkey", "file", basin.alias("basin"), F.lit(1).alias("section"), F.lit(name).alias("name"), body.alias("body"))
+    rows = _parts(spark, d).select("p_partkey", "file", "s", basin.alias("basin"), F.lit(1).alias("section"), F.lit(name).alias("name"))
+    return once(rows, body=body).drop("s")
 
 
 @query("""SELECT event_id, CAST(event_id % 90 AS DOUBLE) + 0.5 AS lat, CASE WHEN event_id % 3 = 0 THEN 1 ELSE -1 END * CAST(event_id % 179 AS DOUBLE) AS lon, CAST(CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END AS INT) AS n FROM events""")
@@ -227,7 +228,7 @@ def discussion_audit(spark: SparkSession, d: str) -> DataFrame:
         F.lit("AXNT20 KNHC\n\n...SPECIAL FEATURES...\n"), storm, F.lit("\n\n...TROPICAL WAVES...\nA tropical wave is along 30W, south of 15N, moving west at 10 kt.\n"),
         F.lit("Convection is from 10N to 12N between 28W and\n32W.\n\nMONSOON TROUGH/ITCZ...\nThe monsoon trough is from 09N20W to 08N25W. A ship near 08N25W reports rain. A buoy at "), F.format_string("%dN40W", s), F.lit(" too. "), place,
     )
-    rows = _parts(spark, d).select("file", F.lit("AT").alias("basin"), body.alias("text"))
+    rows = once(_parts(spark, d), basin=F.lit("AT"), text=body).select("file", "basin", "text")
     tables = discussions.discussion_features(rows)
     tables["sections"] = tables["sections"].filter("name <> 'PREAMBLE'")
     out = audit.audit_discussions(rows, tables)
@@ -249,7 +250,7 @@ def motion_bands(spark: SparkSession, d: str) -> DataFrame:
     """Slow and fast ends of a motion a day ahead; a stationary one leads nowhere."""
     s, k = F.col("s"), F.col("p_partkey")
     move = text.motion(F.when(k % 3 == 0, "nearly stationary").otherwise(F.format_string("moving west at %d to 20 kt", F.when(k % 2 == 0, 10).otherwise(s))))
-    to = _parts(spark, d).select("p_partkey", geometry.day_band(s.cast("double"), F.lit(-50.0), move).alias("to")).filter("to IS NOT NULL AND to.band")
+    to = once(_parts(spark, d), to=geometry.day_band(s.cast("double"), F.lit(-50.0), move)).filter("to IS NOT NULL AND to.band")
     return to.select("p_partkey", r4("to.slow.lat").alias("lat"), r4("to.slow.lon").alias("slow_lon"), r4("to.fast.lon").alias("fast_lon"), "to.band")
 
 

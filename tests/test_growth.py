@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from stormframe.operators.matching import first_overlapping
 from stormframe.plans import ledger, lineage, truth
+from stormframe.session import once, spread
 
 
 def joined(df):
@@ -122,3 +124,23 @@ def test_files_of_one_name_and_era(spark):
     fixes = files.select("base", F.col("min_dtg").alias("dtg"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon")).filter("base = 'b0'")
     rows, most = joined(truth.cyclone_truth(cyclones, files, fixes))
     assert len(rows) == n and {(x["base"], x["n"], x["max_deg"]) for x in rows} == {("b0", 1, 0.0)} and most <= 3 * n
+
+
+TEXT_QUERIES = ("motion_bands", "advisory_fields", "wave_axes", "cyclone_records")
+
+
+def test_texts_are_read_once_and_by_all_tasks(spark):
+    """A rule on a text is worked out once a row, not again for each field of what it gives, and a small table's rows meet all tasks."""
+    for name in TEXT_QUERIES:
+        df = queries()[name](spark, "/root/testdata/sf0.001")
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract(") <= 30 and plan.count("format_string(") <= 8, name
+        assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism, name
+
+
+def test_once_is_not_put_into_its_readers(spark):
+    rows = once(spark.range(20), x=F.struct(F.regexp_extract(F.col("id").cast("string"), r"(\d)", 1).alias("a"), F.regexp_extract(F.col("id").cast("string"), r"\d(\d)", 1).alias("b")))
+    out = rows.filter("x.a <> '3' AND x.b <> '3'").select("id", "x.a", "x.b", F.concat("x.a", "x.b").alias("ab"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 2
+    assert [r["id"] for r in out.orderBy("id").collect()] == [0, 1, 2, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 15, 16, 17, 18, 19]
+    assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
