@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from stormframe.functions.geometry import forecast_cone
 from stormframe.functions.scalars import forecast_hours, signed_degrees
-from stormframe.functions.text import found, motion, paragraphs, rejoin_wraps, title_case
+from stormframe.functions.text import bind, found, motion, paragraphs, rejoin_wraps, title_case
+from stormframe.session import once
 
 # The lines of an advisory.
 KINDS = "HURRICANE|TROPICAL STORM|TROPICAL DEPRESSION|SUBTROPICAL STORM|SUBTROPICAL DEPRESSION|POTENTIAL TROPICAL CYCLONE|POST-TROPICAL CYCLONE|REMNANTS OF"
@@ -40,10 +41,13 @@ def wind_radii(text: Column) -> Column:
     now = F.get(F.split(text, "(?i)FORECAST VALID"), F.lit(0))
     lines = F.arrays_zip(*(F.regexp_extract_all(now, F.lit(RADII), F.lit(k)).alias(n) for k, n in enumerate(("kt", *QUADRANTS), 1)))
     lines = F.filter(lines, lambda x: F.greatest(*(x[q].cast("int") for q in QUADRANTS)) > 0)
-    knots = F.reverse(F.transform(lines, lambda x: x["kt"]))
-    last = F.filter(lines, lambda x, i: F.array_position(knots, x["kt"]) == F.size(lines) - i)
-    entries = F.transform(last, lambda x: F.struct(x["kt"].cast("int"), F.struct(*(x[q].cast("int").alias(q) for q in QUADRANTS))))
-    return F.when(F.size(lines) > 0, F.map_from_entries(entries))
+
+    def by_knots(lines: Column) -> Column:
+        last = bind(F.reverse(F.transform(lines, lambda x: x["kt"])), lambda knots: F.filter(lines, lambda x, i: F.array_position(knots, x["kt"]) == F.size(lines) - i))
+        entries = F.transform(last, lambda x: F.struct(x["kt"].cast("int"), F.struct(*(x[q].cast("int").alias(q) for q in QUADRANTS))))
+        return F.when(F.size(lines) > 0, F.map_from_entries(entries))
+
+    return bind(lines, by_knots)
 
 
 def forecast_track(text: Column, day: Column, hour: Column) -> Column:
@@ -54,7 +58,7 @@ def forecast_track(text: Column, day: Column, hour: Column) -> Column:
         state = F.when(chunk.rlike("(?i)DISSIPAT"), "dissipated").when(chunk.rlike("(?i)POST-TROP"), "post-tropical")
         return F.struct(
             F.upper(found(chunk, AHEAD)).alias("kind"),
-            forecast_hours(day, hour, found(chunk, AHEAD, 2).cast("int"), found(chunk, AHEAD, 3).cast("int")).alias("hours"),
+            bind(F.struct(found(chunk, AHEAD, 2).cast("int").alias("d"), found(chunk, AHEAD, 3).cast("int").alias("h")), lambda x: forecast_hours(day, hour, x["d"], x["h"])).alias("hours"),
             _clock(chunk, AHEAD, 2).alias("valid_z"),
             lat.alias("lat"),
             lon.alias("lon"),
@@ -67,11 +71,12 @@ def forecast_track(text: Column, day: Column, hour: Column) -> Column:
 
 def advisories(products: DataFrame) -> DataFrame:
     """One row per ``file, text`` that has a header and a center; what is not stated is null."""
-    cut = products.select("file", rejoin_wraps(F.regexp_replace("text", "\r\n?", "\n")).alias("t"))
+    cut = once(products, t=rejoin_wraps(F.regexp_replace("text", "\r\n?", "\n"))).select("file", "t")
     text = F.col("t")
     cut = cut.filter(text.rlike(HEAD) & text.rlike(CENTER))
     lat, lon = _place(text, CENTER, 1)
-    day, hour = found(text, CENTER, 5).cast("int"), found(text, CENTER, 6).cast("int")
+    cut = once(cut, day=found(text, CENTER, 5).cast("int"), hour=found(text, CENTER, 6).cast("int"))
+    cut = once(cut, radii=wind_radii(text), track=forecast_track(text, F.col("day"), F.col("hour")), motion=motion(text))
     return cut.select(
         "file",
         found(text, STORM).alias("storm_id"),
@@ -84,9 +89,9 @@ def advisories(products: DataFrame) -> DataFrame:
         found(text, WINDS).cast("int").alias("wind_kt"),
         found(text, WINDS, 2).cast("int").alias("gust_kt"),
         found(text, PRESSURE).cast("int").alias("pressure_mb"),
-        wind_radii(text).alias("wind_radii"),
-        motion(text).alias("motion"),
-        forecast_track(text, day, hour).alias("track"),
+        F.col("radii").alias("wind_radii"),
+        "motion",
+        "track",
     )
 
 
