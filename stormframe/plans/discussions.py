@@ -27,7 +27,7 @@ from stormframe.functions.text import (
 )
 from stormframe.plans.outlook import CLIMATOLOGY, ELSEWHERE, FEATURE, LEFT_BASIN, resolve_place
 from stormframe.plans.places import PLACES
-from stormframe.session import settled
+from stormframe.session import once, settled
 
 # How a box and a fix are worded, what calls a box strong, and how far around it that is looked for.
 BOX = rf"(?i)from\s+{LAT}\s+to\s+{LAT}\s+between\s+{LON}\s+and\s+{LON}"
@@ -101,22 +101,26 @@ def split_sections(products: DataFrame) -> DataFrame:
 
 def wave_axis(flat: Column) -> Column:
     """The northern, then the southern end of a wave, by the way of telling it that comes first; else all positions."""
-    one, two = (signed_degrees(found(flat, AXIS, k).cast("double"), F.upper(found(flat, AXIS, k + 1))) for k in (1, 3))
-    lon = F.when(two.isNotNull(), (one + two) / 2).otherwise(one)
-    lat = lambda p, k: signed_degrees(found(flat, p, k).cast("double"), F.upper(found(flat, p, k + 1)))
-    at = lambda *ps: F.coalesce(*(F.when(flat.rlike(p), F.regexp_instr(flat, F.lit(p))) for p in ps))
-    top, bottom = F.coalesce(lat(SOUTH_OF, 1), lat(SOUTHWARD, 1)), F.coalesce(lat(NORTH_OF, 1), lat(NORTHWARD, 1))
-    short_low = signed_degrees(found(flat, SHORT_SPAN, 1).cast("double"), F.upper(found(flat, SHORT_SPAN, 3)))
-    told = [
-        (at(SPAN), F.greatest(lat(SPAN, 1), lat(SPAN, 3)), F.least(lat(SPAN, 1), lat(SPAN, 3))),
-        (at(SHORT_SPAN), F.greatest(short_low, lat(SHORT_SPAN, 2)), F.least(short_low, lat(SHORT_SPAN, 2))),
-        (at(SOUTH_OF, SOUTHWARD), top, F.greatest(F.lit(float(LEAST_LAT)), top - REACH)),
-        (at(NORTH_OF, NORTHWARD), bottom + REACH, bottom),
-    ]
-    ways = F.array(*(F.struct(p.alias("at"), F.lit(k).alias("k"), a.alias("north"), b.alias("south")) for k, (p, a, b) in enumerate(told)))
-    first = F.array_min(F.filter(ways, lambda w: w["at"].isNotNull()))
-    axis = bind(F.struct(lon.alias("lon"), first.alias("w")), lambda x: F.when(x["lon"].isNotNull() & x["w"].isNotNull(), F.array(_point(x["w"]["north"], x["lon"]), _point(x["w"]["south"], x["lon"]))))
-    return F.coalesce(axis, coordinate_pairs(flat))
+    lat = lambda p, k, h=1: signed_degrees(found(flat, p, k).cast("double"), found(flat, p, k + h))
+    at = lambda *ps: F.coalesce(*(bind(F.regexp_instr(flat, F.lit(p)), lambda i: F.when(i > 0, i)) for p in ps))
+    stated = {
+        "one": lat(AXIS, 1), "two": lat(AXIS, 3), "a": lat(SPAN, 1), "b": lat(SPAN, 3), "c": lat(SHORT_SPAN, 1, 2), "d": lat(SHORT_SPAN, 2),
+        "top": F.coalesce(lat(SOUTH_OF, 1), lat(SOUTHWARD, 1)), "bottom": F.coalesce(lat(NORTH_OF, 1), lat(NORTHWARD, 1)),
+    }
+
+    def axis(x: Column) -> Column:
+        lon = F.when(x["two"].isNotNull(), (x["one"] + x["two"]) / 2).otherwise(x["one"])
+        told = [
+            (at(SPAN), F.greatest(x["a"], x["b"]), F.least(x["a"], x["b"])),
+            (at(SHORT_SPAN), F.greatest(x["c"], x["d"]), F.least(x["c"], x["d"])),
+            (at(SOUTH_OF, SOUTHWARD), x["top"], F.greatest(F.lit(float(LEAST_LAT)), x["top"] - REACH)),
+            (at(NORTH_OF, NORTHWARD), x["bottom"] + REACH, x["bottom"]),
+        ]
+        ways = F.array(*(F.struct(p.alias("at"), F.lit(k).alias("k"), a.alias("north"), b.alias("south")) for k, (p, a, b) in enumerate(told)))
+        first = F.array_min(F.filter(ways, lambda w: w["at"].isNotNull()))
+        return bind(F.struct(lon.alias("lon"), first.alias("w")), lambda y: F.when(y["lon"].isNotNull() & y["w"].isNotNull(), F.array(_point(y["w"]["north"], y["lon"]), _point(y["w"]["south"], y["lon"]))))
+
+    return F.coalesce(bind(F.struct(*(v.alias(k) for k, v in stated.items())), axis), coordinate_pairs(flat))
 
 
 def waves(sections: DataFrame) -> DataFrame:
@@ -124,10 +128,10 @@ def waves(sections: DataFrame) -> DataFrame:
     kept = [c for c in sections.columns if c != "body"]
     chunks = F.filter(paragraphs(F.col("body")), lambda c: c.rlike("(?i)wave"))
     cut = sections.filter(F.col("name").rlike(WAVE_SECTION)).select(*kept, F.posexplode(chunks).alias("n", "chunk"))
-    flat = cut.select(*kept, F.concat(F.lit("W"), (F.col("n") + 1).cast("string")).alias("id"), one_line(F.col("chunk")).alias("flat"))
-    out = flat.withColumn("axis", wave_axis(F.col("flat"))).filter(F.size("axis") > 0)
+    flat = once(cut, flat=one_line(F.col("chunk"))).select(*kept, F.concat(F.lit("W"), (F.col("n") + 1).cast("string")).alias("id"), "flat")
+    out = once(once(flat, axis=wave_axis(F.col("flat"))).filter(F.size("axis") > 0), motion=motion(F.col("flat")))
     return out.select(
-        *kept, "id", "axis", motion(F.col("flat")).alias("motion"), F.substring("flat", 1, 220).alias("source"),
+        *kept, "id", "axis", "motion", F.substring("flat", 1, 220).alias("source"),
         cap_context(F.col("flat"), F.lit(0), F.least(F.length("flat"), F.lit(220))).alias("context"),
     )
 
@@ -148,14 +152,15 @@ def cyclones(sections: DataFrame) -> DataFrame:
     """``id, cyclone, classification, lat, lon, wind_kt, pressure_mb, motion, source, context`` of the preamble and special features."""
     kept = [c for c in sections.columns if c != "body"]
     cut = sections.filter(F.col("name").rlike(SPECIAL_SECTION) | (F.col("name") == PREAMBLE)).select(*kept, F.posexplode(paragraphs(F.col("body"))).alias("n", "chunk"))
-    told = cut.select(*kept, "n", one_line(F.col("chunk")).alias("flat")).withColumn("hit", named_cyclone(F.col("flat"))).filter("hit IS NOT NULL")
     flat = F.col("flat")
-    told = told.withColumn("pos", F.coalesce(_pair(F.upper(flat), CENTER), F.get(coordinate_pairs(flat), F.lit(0)))).filter("pos IS NOT NULL")
+    told = once(once(cut, flat=one_line(F.col("chunk"))).select(*kept, "n", "flat"), hit=named_cyclone(flat)).filter("hit IS NOT NULL")
+    told = once(told, pos=F.coalesce(_pair(F.upper(flat), CENTER), F.get(coordinate_pairs(flat), F.lit(0)))).filter("pos IS NOT NULL")
+    told = once(told, motion=motion(flat))
     order = Window.partitionBy(*[c for c in ("file", "section") if c in kept]).orderBy("n")
     return told.select(
         *kept, F.concat(F.lit("C"), F.row_number().over(order).cast("string")).alias("id"), title_case(F.col("hit.g2")).alias("cyclone"),
         title_case(F.col("hit.g1")).alias("classification"), F.col("pos.lat").alias("lat"), F.col("pos.lon").alias("lon"), found(flat, WIND).cast("int").alias("wind_kt"),
-        F.coalesce(found(flat, PRESSURE), found(flat, ANY_PRESSURE)).cast("int").alias("pressure_mb"), motion(flat).alias("motion"),
+        F.coalesce(found(flat, PRESSURE), found(flat, ANY_PRESSURE)).cast("int").alias("pressure_mb"), "motion",
         F.substring("flat", 1, 240).alias("source"), cap_context(flat, F.lit(0), F.least(F.length(flat), F.lit(240))).alias("context"),
     )
 
