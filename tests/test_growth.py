@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
+from stormframe import session
 from stormframe.operators.matching import first_overlapping
+from stormframe.operators.ranking import numbered_places
 from stormframe.plans import ledger, lineage, truth
 from stormframe.session import once, spread
 
@@ -144,3 +146,26 @@ def test_once_is_not_put_into_its_readers(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 2
     assert [r["id"] for r in out.orderBy("id").collect()] == [0, 1, 2, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 15, 16, 17, 18, 19]
     assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_places_over_blocks(spark):
+    """Stretches of blocks are put together to the paths that pointers give, also where an earlier item is missing."""
+    rows = [(key, n, i, None if n == 1 or (n * 7 + i) % 11 == 0 else (i + n) % 4) for key in "ab" for n in range(1, 41) if n != 30 for i in range(4)]
+    df = spark.createDataFrame(rows, "basin string, n int, ord int, p int")
+    got = {(r["basin"], r["n"], r["ord"]): (r["root"], r["place"]) for r in numbered_places(df, "basin", "n", "ord", "p", block=4).collect()}
+    want = {}
+    for key, n, i, p in sorted(rows):
+        root, place = want.get((key, n - 1, p), (f"{key}:{n}:{i}", -1)) if p is not None else (f"{key}:{n}:{i}", -1)
+        want[key, n, i] = (root, place + 1)
+    assert got == want and max(place for _, place in want.values()) > 8
+
+
+def test_a_long_chain_takes_no_rounds(spark):
+    n = 300
+    hour = F.timestamp_seconds(F.lit(1780272000) + F.col("id") * 3600)
+    stream = lineage.product_stream(spark.range(n).select("id", F.col("id").alias("file"), F.lit("AT").alias("basin"), F.date_format(hour, "yyyyMMddHHmm").alias("stamp")))
+    storms = spark.range(n).select(F.col("id").alias("file"), F.lit(1).alias("ord"), F.lit("Otis").alias("name"), F.lit(10.0).alias("lat"), F.lit(-40.0).alias("lon"))
+    before = len(session._SETTLED)
+    rows = lineage.cyclone_chains(stream, storms)
+    assert len(session._SETTLED) - before <= 6
+    assert sorted(r["seq"] for r in rows.collect()) == list(range(1, n + 1)) and rows.select("chain_id").distinct().count() == 1
