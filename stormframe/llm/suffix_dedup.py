@@ -22,7 +22,7 @@ in the same document or another.
    and per document their union is cut out.
 
 An anchor with more than HOT strings (a line that a third of all documents
-share, each with other words after it) is split by what its windows must also
+share, each with other words after it) has their bytes told with the runs, and is split by what its windows must also
 have in common: the 176 bytes around the anchor that all windows with the anchor
 at one of 25 places hold. Groups that are still over HOT are split by 196 bytes, then
 by all 200, where a group is one string. So no task has to take in all strings of an anchor.
@@ -36,6 +36,7 @@ it is dropped from the text column, while the digest is of the bytes.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -74,8 +75,12 @@ def find_anchors(texts: DataFrame) -> DataFrame:
 RUN = ["anchor", "run", "run2"]
 
 
-def find_runs(texts: DataFrame) -> DataFrame:
-    """Each run with a digest of its bytes and of the anchor's place in it, its first window and number of windows."""
+def find_runs(texts: DataFrame, kept: list[int]) -> DataFrame:
+    """Each run with a digest of its bytes and of the anchor's place in it, its first window and number of windows.
+
+    A run of the anchors to be kept brings its bytes, once in a batch.
+    """
+    wanted = np.array(kept, np.int64)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -89,9 +94,14 @@ def find_runs(texts: DataFrame) -> DataFrame:
                 for part, values in zip(parts, (np.full(len(anchor), key), np.full(len(anchor), h), anchor, digest[:, 0], digest[:, 1], first, count, place), strict=True):
                     part.append(values)
             names = ("id", "h", *RUN, "first", "n", "place")
-            yield pd.DataFrame({name: np.concatenate(part) if part else [] for name, part in zip(names, parts, strict=True)})
+            out = pd.DataFrame({name: np.concatenate(part) if part else [] for name, part in zip(names, parts, strict=True)})
+            out["piece"] = None
+            row_of = np.repeat(np.arange(len(batch)), [len(part) for part in parts[0]])
+            own = out[np.isin(out["anchor"], wanted)].drop_duplicates(RUN)
+            out.loc[own.index, "piece"] = [batch["text"].iat[row_of[k]].encode()[a : a + n - 1 + WINDOW] for k, a, n in zip(own.index, own["first"], own["n"], strict=True)]
+            yield out
 
-    return texts.mapInPandas(find, "id long, h long, anchor long, run long, run2 long, first int, n int, place int")
+    return texts.mapInPandas(find, "id long, h long, anchor long, run long, run2 long, first int, n int, place int, piece binary")
 
 
 def stable_order(x: np.ndarray) -> np.ndarray:
@@ -210,6 +220,7 @@ def spans_of(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 PIECE = "key long, key2 long, anchor long, run long, run2 long, m long, low int, n int, place int, piece binary"
+PIECES = [c.split()[0] for c in PIECE.split(", ")]
 SPANS = "array<struct<a:int,b:int>>"
 
 
@@ -229,6 +240,24 @@ def split(piece: bytes, n: int, place: int, by: int) -> list[tuple[int, int, int
     return out
 
 
+def _grouped(strings: DataFrame, hot: int) -> DataFrame:
+    """Each string in the group of its anchor, and those of an anchor with more than HOT strings in the groups of their stretches."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            large = batch["kinds"] > hot
+            plain = batch[~large]
+            yield plain.assign(key=plain["anchor"], key2=0, low=0)[columns]
+            rows = []
+            for r in batch[large].itertuples():
+                for key, key2, low, n, place in split(r.piece, r.n, r.place, SPLITS[0]):
+                    rows.append((key, key2, r.anchor, r.run, r.run2, r.m, low, n, place, r.piece[low : low + n - 1 + WINDOW], r.id, r.h, r.first))
+            yield pd.DataFrame(rows, columns=columns)
+
+    columns = [*PIECES, "id", "h", "first"]
+    return strings.mapInPandas(each, PIECE + ", id long, h long, first int")
+
+
 def _resplit(pieces: DataFrame, by: int) -> DataFrame:
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -260,7 +289,7 @@ def _split_hot(pieces: DataFrame, hot: int) -> tuple[list[DataFrame], DataFrame
         ready.append(pieces.join(large, groups, "left_anti"))
         if large.isEmpty():
             return ready, None
-        pieces = stored(_resplit(pieces.join(large, groups, "left_semi"), by))
+        pieces = stored(_resplit(pieces.join(large, groups, "left_semi").select(PIECES), by))
     # A group of single windows is one string; a repeated row gives it again.
     narrow = pieces.select(*groups, *RUN, "low", "m").dropDuplicates([*groups, *RUN, "low"])
     often = stored(narrow.groupBy(*groups).agg(F.sum("m").alias("all")).filter("`all` > 1").select(*groups))
@@ -270,15 +299,25 @@ def _split_hot(pieces: DataFrame, hot: int) -> tuple[list[DataFrame], DataFrame
 
 def repeat_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
     """``id, h, spans array<struct<first, spans>>``: repeated window starts, by run, of texts that have any."""
-    often = stored(find_anchors(texts).groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"))
-    found = stored(find_runs(texts).join(often, "anchor", "left_semi"))
-    strings = stored(found.groupBy(*RUN).agg(F.count("*").alias("m"), F.min(F.struct("id", "h", "first", "n", "place")).alias("at")))
+    often = stored(find_anchors(texts).groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1"))
+    # Anchors that may have more than HOT strings, one in HOT runs at most: their strings are told with
+    # the runs, so texts are dealt out once, for the other strings and for what is left of them.
+    many = [r["anchor"] for r in often.filter(F.col("n") > hot).select("anchor").collect()]
+    found = stored(find_runs(texts, many).join(often, "anchor", "left_semi"))
+    told = F.min(F.struct("id", "h", "first", "n", "place")).alias("at"), F.first("piece", ignorenulls=True).alias("piece")
+    strings = stored(found.groupBy(*RUN).agg(F.count("*").alias("m"), *told))
     kinds = stored(strings.groupBy("anchor").agg(F.count("*").alias("kinds")))
-    strings = strings.join(kinds, "anchor").select(*RUN, "m", "at.*", "kinds")
+    strings = strings.join(kinds, "anchor").select(*RUN, "m", "at.*", "kinds", "piece")
     whole = strings.filter("kinds = 1 and m > 1").select(*RUN, F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).cast(SPANS).alias("spans"))
     several = strings.filter("kinds > 1")
     total = several.agg(F.coalesce(F.sum(F.col("n") + WINDOW), F.lit(0)).alias("bytes"), F.max("kinds").alias("most")).first()
-    cuts = several.groupBy("id", "h").agg(F.collect_list(F.struct(*RUN, "m", "first", "n", "place", (F.col("kinds") > hot).alias("large"))).alias("cuts"))
+    apart, warm, decided = several, None, whole
+    if (total["most"] or 0) > hot:
+        ready, single = _split_hot(stored(_grouped(several, hot)), hot)
+        apart = ready[0].filter("piece is null")
+        warm = functools.reduce(DataFrame.unionByName, [part.select(PIECES) for part in ready]).filter("piece is not null")
+        decided = decided if single is None else decided.unionByName(single)
+    cuts = apart.groupBy("id", "h").agg(F.collect_list(F.struct(*RUN, "m", "first", "n", "place")).alias("cuts"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -286,21 +325,13 @@ def repeat_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
             for text, wanted in zip(batch["text"], batch["cuts"], strict=True):
                 raw = text.encode()
                 for c in wanted:
-                    piece = raw[c["first"] : c["first"] + c["n"] - 1 + WINDOW]
-                    stretches = split(piece, c["n"], c["place"], SPLITS[0]) if c["large"] else [(c["anchor"], 0, 0, c["n"], c["place"])]
-                    for key, key2, low, n, place in stretches:
-                        rows.append((key, key2, c["anchor"], c["run"], c["run2"], c["m"], low, n, place, piece[low : low + n - 1 + WINDOW]))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECE.split(", ")])
+                    rows.append((c["anchor"], 0, c["anchor"], c["run"], c["run2"], c["m"], 0, c["n"], c["place"], raw[c["first"] : c["first"] + c["n"] - 1 + WINDOW]))
+            yield pd.DataFrame(rows, columns=PIECES)
 
     pieces = texts.join(cuts, ["id", "h"]).select("text", "cuts").mapInPandas(cut, PIECE)
-    decided = whole
-    ready = [pieces]
-    if (total["most"] or 0) > hot:
-        ready, single = _split_hot(stored(pieces), hot)
-        decided = decided if single is None else decided.unionByName(single)
+    pieces = pieces if warm is None else pieces.unionByName(warm)
     bucket = F.pmod(F.xxhash64("key", "key2"), F.lit(total["bytes"] // TASK_BYTES + 1))
-    for part in ready:
-        decided = decided.unionByName(part.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(_merge, f"anchor long, run long, run2 long, spans {SPANS}"))
+    decided = decided.unionByName(pieces.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(_merge, f"anchor long, run long, run2 long, spans {SPANS}"))
     # The pieces of a run are put together before they meet its occurrences.
     decided = decided.groupBy(*RUN).agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return found.join(decided, RUN).groupBy("id", "h").agg(F.collect_list(F.struct("first", "spans")).alias("spans"))
