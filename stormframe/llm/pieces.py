@@ -15,6 +15,8 @@ Each whole text is fed in blocks. No piece holds a blank after another character
 so the paths always meet at a blank that follows one, and nothing behind it
 depends on what came before: the text between two such commits and its ids are
 remembered, in a memory of bounded size, and stepped over where they come again.
+For a BPE model the same goes for boundaries between word characters and others,
+which no piece of the model crosses.
 
 Defined cases: a null or empty text has no ids; every text decodes to itself
 (the blank mark U+2581 in a text is written as bytes); equal texts get equal
@@ -36,8 +38,8 @@ from pyspark.sql import DataFrame
 
 MODEL = "piece_bpe_32k.model"
 MEMORY, LONGEST = 1_000_000, 200
-#: Characters after a boundary by which findings are remembered, first with the piece before it, then without; and how many are.
-HEAD, REACH, KNOWN = 2, 5, 1_000_000
+#: Pieces, neighbours and steps of the search that are remembered.
+KNOWN = 1_000_000
 #: Characters of a text that are fed at a time.
 BLOCK = 4096
 MARK = "▁"
@@ -105,7 +107,7 @@ class Pieces:
         self.cut_at_blanks = not any(re.search(r"[^ ] ", p) for p in self.ids)
         self.memory = _Memory()
 
-    def stream(self) -> StreamingViterbi:
+    def stream(self) -> StreamingViterbi | StreamingMerges:
         return StreamingViterbi(self)
 
     def encode(self, text: str | None) -> bytes:
@@ -292,15 +294,32 @@ class StreamingViterbi:
 
 
 class _Piece:
-    """A piece as the last one before a boundary, with what was found out about text after it."""
+    """A piece as the last one before a boundary."""
 
-    __slots__ = ("heads", "ids", "near", "text")
+    __slots__ = ("ids", "left", "near", "rank", "right", "text")
 
-    def __init__(self, text: str, ids: list[int]) -> None:
+    def __init__(self, text: str, ids: bytes, rank: int) -> None:
         self.text, self.ids = text, ids
-        self.near: dict[str, bool] = {}  # whether a piece stays apart from this one
-        # By the next characters: the pieces within them that do, and whether a longer piece begins so.
-        self.heads: dict[str, tuple[tuple[tuple[int, _Piece], ...], bool]] = {}
+        self.rank = rank  # the place of its last merge in the order of merges, -1 for one character
+        self.left = self.right = self  # what its last merge joined
+        self.near: dict[_Piece, bool] = {}  # whether a piece stays apart from this one
+
+
+class _Reached(dict):
+    """The longest end of the text read that begins a piece; by the next character, that one's. Each is worked out where a text first takes it."""
+
+    __slots__ = ("ending", "few", "open", "pieces", "text")
+
+    def __init__(self, pieces: MergedPieces, text: str) -> None:
+        self.pieces, self.text = pieces, text
+        ends = [text[-k:] for k in range(len(text), 0, -1)]
+        self.ending = [(len(t), node) for t in ends if (len(t) == 1 or t in pieces.ids) and (node := pieces.node(t))]  # the longest first
+        self.open = [len(t) for t in ends if t in pieces.begun]  # how far back a piece that goes on may have begun
+        self.few = not self.open or self.open[0] == 1
+
+    def __missing__(self, char: str) -> _Reached:
+        found = self[char] = self.pieces.reached(self.text + char)
+        return found
 
 
 class MergedPieces(Pieces):
@@ -308,143 +327,217 @@ class MergedPieces(Pieces):
 
     def __init__(self, path: str) -> None:
         super().__init__(path)
-        self.longer = {t[:k] for t in self.ids for k in (HEAD, REACH) if len(t) > k}
-        self.rank = {t: self.score[i] for t, i in self.ids.items()}
+        self.begun = {t[:k] for t in self.ids for k in range(1, len(t))}
+        scores = sorted({self.score[i] for i in self.ids.values()}, reverse=True)
+        place = {x: k for k, x in enumerate(scores)}
+        self.rank = {t: place[self.score[i]] for t, i in self.ids.items()}
+        self.part = self._parts()
         self.forget()
 
+    def _parts(self) -> re.Pattern[str]:
+        """Text up to the next boundary that no piece crosses: before a blank, or between word characters and others."""
+        if not self.cut_at_blanks:
+            return re.compile(r"(?s).+")
+        pairs = {t[k : k + 2] for t in self.ids for k in range(len(t) - 1)}
+        word = {c for t in self.ids for c in t if c.isalnum()}
+        # Characters that a piece joins to others do not count as word characters.
+        while mixed := {c for a, b in pairs if " " not in (a, b) and (a in word) != (b in word) for c in (a, b)} & word:
+            word -= mixed
+        if not word:
+            return PART
+        kind = "".join(map(re.escape, sorted(word)))
+        return re.compile(f" *[{kind}]+| *[^ {kind}]+| +")
+
     def forget(self) -> None:
-        self.nodes: dict[str, _Piece] = {}
-        self.none = _Piece("", [])
-        self.reach: dict[str, tuple[tuple[int, ...], bool]] = {}  # by the next characters: lengths of pieces over HEAD within them
+        self.nodes: dict[str, _Piece | None] = {}
+        self.states: dict[str, _Reached] = {}
+        self.none = _Piece("", b"", -1)
+        self.root = _Reached(self, "")
         self.n_known = 0
 
+    def trim(self) -> None:
+        """Forget what was found out once it is too much; a search under way goes on with what it holds."""
+        if self.n_known > KNOWN:
+            self.forget()
+
     def stream(self) -> StreamingMerges:
         return StreamingMerges(self)
 
-    def merge(self, text: str) -> list[str]:
-        """Plain merging, highest score first and then leftmost; here only for one or two pieces."""
-        parts, none, get = list(text), float("-inf"), self.rank.get
-        scores = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
-        while scores and (best := max(scores)) > none:
-            at = scores.index(best)
+    def merge(self, text: str) -> tuple[str, str] | None:
+        """Plain merging, highest score first and then leftmost, of one piece: the two parts joined last, None where it does not come about."""
+        parts, none, get = list(text), len(self.rank), self.rank.get
+        ranks = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while len(parts) > 2:
+            best = min(ranks)
+            if best == none:
+                return None
+            at = ranks.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del scores[at]
+            del ranks[at]
             if at:
-                scores[at - 1] = get(parts[at - 1] + parts[at], none)
-            if at < len(scores):
-                scores[at] = get(parts[at] + parts[at + 1], none)
-        return parts
-
-    def node(self, text: str) -> _Piece:
-        found = self.nodes.get(text)
-        if found is None:
-            piece = self.ids.get(text)
-            ids = [self.byte[b] for b in text.encode()] if piece is None else [piece]
-            found = self.nodes[text] = _Piece(text, ids)
+                ranks[at - 1] = get(parts[at - 1] + parts[at], none)
+            if at < len(ranks):
+                ranks[at] = get(parts[at] + parts[at + 1], none)
+        return parts[0], parts[1]
+
+    def node(self, text: str) -> _Piece | None:
+        """A piece, or a character that no piece covers; None for a piece whose own text is encoded otherwise."""
+        if text in self.nodes:
+            return self.nodes[text]
+        piece = self.ids.get(text)
+        ids = [self.byte[b] for b in text.encode()] if piece is None else [piece]
+        found = _Piece(text, struct.pack(f"<{len(ids)}i", *ids), self.rank[text] if len(text) > 1 else -1)
+        if len(text) > 1:
+            if joined := self.merge(text):
+                found.left, found.right = map(self.node, joined)
+            else:
+                found = None
+        self.nodes[text] = found
+        self.n_known += 1
         return found
 
-    def apart(self, before: _Piece, piece: str) -> bool:
-        """Whether two pieces, side by side, are encoded as just these two."""
-        ok = before.near.get(piece)
-        if ok is None:
-            a = before.text
-            ok = before.near[piece] = self.merge(a + piece) == ([a, piece] if a else [piece])
-            self.n_known += 1
-        return ok
-
-    def after(self, before: _Piece, head: str) -> tuple[tuple[tuple[int, _Piece], ...], bool]:
-        """The pieces within the next characters that stay apart from the one before, and whether a longer one begins so."""
-        if self.n_known > KNOWN:
-            self.forget()
-        pieces, nothing = [], float("inf")
-        for k in range(1, len(head) + 1):
-            score = self.walk.get(head[:k], nothing)
-            if (k == 1 or (score is not None and score != nothing)) and self.apart(before, head[:k]):
-                pieces.append((k, self.node(head[:k])))
-            if score == nothing:
-                break
-        found = before.heads[head] = tuple(pieces), head in self.longer
+    def reached(self, text: str) -> _Reached:
+        while len(text) > 1 and text not in self.walk:
+            text = text[1:]
+        found = self.states.get(text)
+        if found is None:
+            found = self.states[text] = _Reached(self, text)
         self.n_known += 1
         return found
 
-    def within(self, text: str) -> tuple[tuple[int, ...], bool]:
-        """The lengths over HEAD of pieces that begin a short text, and whether a longer piece begins with it."""
-        found = self.reach[text] = tuple(k for k in range(HEAD + 1, len(text) + 1) if text[:k] in self.ids), text in self.longer
+    def apart(self, before: _Piece, piece: _Piece) -> bool:
+        """Whether two pieces, side by side, are encoded as just these two.
+
+        Their merges are undone from the last one on. They stay apart if what
+        touches at the boundary was at no time to be joined before the merge
+        undone last; of equal merges the left one goes first.
+        """
+        a, b, limit, get, ok = before, piece, len(self.rank), self.rank.get, True
+        while a.text:
+            if get(a.text + b.text, limit) < limit:
+                ok = False
+                break
+            if a.rank > b.rank:
+                limit, a = a.rank, a.right
+            elif b.rank >= 0:
+                limit, b = b.rank + 1, b.left
+            else:
+                break
+        before.near[piece] = ok
         self.n_known += 1
-        return found
+        return ok
 
 
-class StreamingMerges(StreamingViterbi):
+class StreamingMerges:
     """The same window and commits; a back-pointer holds where the last two pieces stay apart.
 
-    Just one start is right for each end, so a back-pointer is never replaced.
+    Just one start is right for each end, so ends are weighed one after the other
+    and a back-pointer is never replaced. The meeting of paths is looked for where
+    at most the last character may begin a piece that goes on, and at each
+    character once the window is through. ``commits`` counts those that the search
+    commits, ``held`` is the most characters open at one.
     """
 
+    def __init__(self, pieces: MergedPieces) -> None:
+        self.pieces = pieces
+        self.text = ""  # the begin of a part that is not searched yet
+        self.before = ""  # the last character of a part that is searched and may go on
+        self.commits = self.held = 0
+        self._restart()
+
     def _restart(self) -> None:
-        super()._restart()
-        self.last = [self.pieces.none]  # the piece that ends at each boundary
+        self.last = [self.pieces.none]  # the piece that ends at each boundary, from the base on
+        self.reached = self.pieces.root
+        self.done = 0  # the last committed boundary
 
-    def _grow(self, to: int) -> None:
-        more = to + 1 - len(self.back)
-        if more > 0:
-            self.back += [-1] * more
-            self.last += [None] * more
+    def feed(self, text: str) -> list[int]:
+        return np.frombuffer(self.add(text, False), "<i4").tolist()
 
-    def _weigh(self, upto: int) -> None:
-        """Starts up to a boundary, or until the paths meet where the base has to move; other meetings are committed here."""
-        whole, at, p = self.text, self.at, self.pieces
-        text = whole[at : at + upto + p.longest]
-        self._grow(len(text))
-        back, last, walk, reach, nothing = self.back, self.last, p.walk.get, p.reach.get, float("inf")
-        start, far, done, told, size, total = self.start, self.far, self.done, self.told, len(text) + 1, len(whole) - at
-        while start < upto:
-            here, head = last[start], text[start : start + HEAD]
-            pieces, longer = here.heads.get(head) or p.after(here, head)
-            end = 0
-            for k, piece in pieces:
-                end = start + k
-                back[end], last[end] = start, piece
-            if longer:
-                ahead = text[start : start + REACH]
-                lengths, longer = reach(ahead) or p.within(ahead)
-                for k in lengths:
-                    if back[start + k] < 0 and p.apart(here, ahead[:k]):
-                        end = start + k
-                        back[end], last[end] = start, p.node(ahead[:k])
-                if longer:
-                    for to in range(start + REACH + 1, size):
-                        score = walk(text[start:to], nothing)
-                        if score is None:
-                            continue
-                        if score == nothing:
-                            break
-                        if back[to] < 0 and p.apart(here, text[start:to]):
-                            end = to
-                            back[end], last[end] = start, p.node(text[start:to])
-            if end > far:
-                far = end
-            start += 1
-            if far == start:
-                if start > LONGEST or start >= total or text[start] == " ":
+    def finish(self) -> list[int]:
+        return np.frombuffer(self.add("", True), "<i4").tolist()
+
+    def add(self, text: str, last: bool) -> bytes:
+        """The ids that are certain with this text, all of them if it is the last."""
+        pieces, text, self.text = self.pieces, self.text + text, ""
+        at, out, tail = 0, [], ""
+        if self.before:
+            at = pieces.part.match(self.before + text).end() - 1
+            out.append(self._search(text[:at], last or at < len(text)))
+        parts = pieces.part.findall(text, at)
+        if parts and not last:
+            tail = parts.pop()
+        found = list(map(pieces.memory.new.get, parts))
+        for k, ids in enumerate(found):
+            if ids is None:
+                found[k] = self._part(parts[k])
+        out += found
+        if len(tail) > pieces.longest:
+            out.append(self._search(tail, False))
+        else:
+            self.text = tail
+        return b"".join(out)
+
+    def _part(self, part: str) -> bytes:
+        """The ids of a part, remembered or searched."""
+        memory = self.pieces.memory
+        ids = memory.new.get(part)
+        if ids is None:
+            ids = memory.old.get(part)
+            if ids is None:
+                ids = self._search(part, True)
+            if len(part) <= LONGEST:
+                memory.put(part, ids)
+        return ids
+
+    def _search(self, text: str, ends: bool) -> bytes:
+        """The ids that are certain with this text of a part, all of them where the part ends."""
+        pieces, reached, last, done, out = self.pieces, self.reached, self.last, self.done, []
+        end, longest = len(last) - 1, pieces.longest
+        for char in text:
+            reached = reached[char]
+            end += 1
+            for size, piece in reached.ending:
+                before = last[end - size]
+                ok = before.near.get(piece)
+                if pieces.apart(before, piece) if ok is None else ok:
+                    last.append(piece)
                     break
-                if start - done > self.held:
-                    self.held = start - done
-                told += last[start].ids if back[start] == done else self._ids(start)
-                done = self.done = start
-                self.commits += 1
-        self.start, self.far = start, far
+            if reached.few or end - done > longest:
+                meeting = self._meeting(end, reached.open)
+                if meeting > done:
+                    self.held = max(self.held, end - done)
+                    self.commits += 1
+                    out.append(self._ids(meeting, done))
+                    done = meeting
+                    if end > LONGEST:
+                        del last[:done]
+                        end, done = end - done, 0
+                        pieces.trim()
+        self.reached, self.done, self.before = reached, done, text[-1:] or self.before
+        if ends:
+            out.append(self._ids(end, done))
+            self.before = ""
+            pieces.trim()
+            self._restart()
+        return b"".join(out)
 
-    def _ids(self, upto: int) -> list[int]:
-        found, end = [], upto
-        while end > self.done:
-            found.append(self.last[end].ids)
-            end = self.back[end]
-        return [i for ids in reversed(found) for i in ids]
+    def _meeting(self, end: int, begun: list[int]) -> int:
+        """The last boundary on all paths that can still be extended."""
+        live = {end, *(end - k for k in begun)}
+        while len(live) > 1:
+            furthest = max(live)
+            live.discard(furthest)
+            live.add(furthest - len(self.last[furthest].text))
+        return live.pop()
 
-    def _drop(self, upto: int) -> None:
-        self.back = [-1, *(b - upto if b >= 0 else -1 for b in self.back[upto + 1 : self.far + 1])]
-        self.last = self.last[upto : self.far + 1]
-        self.start, self.far, self.done = self.start - upto, self.far - upto, 0
+    def _ids(self, upto: int, done: int) -> bytes:
+        """The ids from the last commit to a boundary."""
+        found, last = [], self.last
+        while upto > done:
+            piece = last[upto]
+            found.append(piece.ids)
+            upto -= len(piece.text)
+        return b"".join(found[::-1])
 
 
 @functools.cache
