@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stormframe.functions.scalars import SANE_TRACK, sane
+from stormframe.session import merged
 
 # Words that promise a wave, and a storm among the special features.
 WAVE_WORDS = r"(?i)tropical wave"
@@ -41,26 +42,29 @@ def audit_outlooks(products: DataFrame, areas: DataFrame) -> DataFrame:
 
 
 def audit_discussions(products: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """``file, flags`` and the counts of features: waves or storms that the text promises and no pass found, places out of the basin."""
+    """``file, flags`` and the counts of features: waves or storms that the text promises and no pass found, places out of the basin.
+
+    All tables are counted in one grouping, which products meet in one join; a place is judged by the boxes
+    of both basins before that, so that no lists of places are made.
+    """
     rows = products.select("file", "basin", F.col("text").rlike(WAVE_WORDS).alias("wave_words"))
-    special = tables["sections"].filter("upper(name) LIKE '%SPECIAL FEATURE%'").groupBy("file").agg(F.max(F.col("body").rlike(STORM_WORDS)).alias("storm_words"))
-    rows = rows.join(special, "file", "left")
     spot = F.array(F.struct("lat", "lon"))
-    places = {"waves": "axis", "troughs": "line", "cyclones": spot, "fixes": spot, "inferred": spot}
-    points = None
-    for name in ("sections", "waves", "cyclones", "troughs", "convection", "fixes", "inferred", "projections"):
-        rows = rows.join(tables[name].groupBy("file").agg(F.count("*").alias(name)), "file", "left")
-        if name in places:
-            part = tables[name].select("file", F.explode(places[name]).alias("p")).select("file", "p.lat", "p.lon")
-            points = part if points is None else points.unionByName(part)
-    rows = rows.join(points.groupBy("file").agg(F.collect_list(F.struct("lat", "lon")).alias("points")), "file", "left")
-    counts = [c for c in tables if c in rows.columns]
-    rows = rows.fillna(0, counts)
+    places = {"waves": F.col("axis"), "troughs": F.col("line"), "cyclones": spot, "fixes": spot, "inferred": spot}
+    storm = F.when(F.upper("name").like("%SPECIAL FEATURE%"), F.col("body").rlike(STORM_WORDS))
+    counts = [c for c in tables if c in ("sections", "waves", "cyclones", "troughs", "convection", "fixes", "inferred", "projections")]
+    features = None
+    for name in counts:
+        off = [(_off(places[name], F.lit(b)) if name in places else F.lit(0)).alias(f"off_{b}") for b in ("EP", "AT")]
+        part = tables[name].select("file", F.lit(name).alias("kind"), (storm if name == "sections" else F.lit(None).cast("boolean")).alias("storm"), *off)
+        features = part if features is None else features.unionByName(part)
+    sums = [F.sum(f"off_{b}").alias(f"off_{b}") for b in ("EP", "AT")]
+    found = features.groupBy("file").agg(*(F.count_if(F.col("kind") == c).alias(c) for c in counts), F.max("storm").alias("storm_words"), *sums)
+    rows = rows.join(merged(found), "file", "left").fillna(0, [*counts, "off_EP", "off_AT"])
     tests = {
         "waves-in-text/none-parsed": F.col("wave_words") & (F.col("waves") == 0),
         "special-features/no-cyclone": F.col("storm_words") & (F.col("cyclones") == 0),
         "sections-not-split": F.col("sections") <= 1,
-        "coords-out-of-basin": _off(F.col("points"), F.col("basin")) > 0,
+        "coords-out-of-basin": F.when(F.col("basin") == "EP", F.col("off_EP")).otherwise(F.col("off_AT")) > 0,
     }
     return rows.select("file", flags(tests).alias("flags"), *counts)
 

@@ -27,7 +27,7 @@ from stormframe.functions.text import (
 )
 from stormframe.plans.outlook import CLIMATOLOGY, ELSEWHERE, FEATURE, LEFT_BASIN, resolve_place
 from stormframe.plans.places import PLACES
-from stormframe.session import once, settled
+from stormframe.session import merged, once, settled
 
 # How a box and a fix are worded, what calls a box strong, and how far around it that is looked for.
 BOX = rf"(?i)from\s+{LAT}\s+to\s+{LAT}\s+between\s+{LON}\s+and\s+{LON}"
@@ -259,7 +259,7 @@ def without_repeats(points: DataFrame, geometry: DataFrame) -> DataFrame:
     that lies within two degrees of a feature of the kind it names.
     """
     held = geometry.groupBy("file").agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("line"))).alias(f"_{k}") for k in ("wave", "trough", "point")))
-    joined = points.join(held, "file", "left")
+    joined = points.join(merged(held), "file", "left")
 
     def near(kind: str) -> Column:
         close = lambda s: segment_distance(F.col("lat"), F.col("lon"), s["a"]["lat"], s["a"]["lon"], s["b"]["lat"], s["b"]["lon"]) < REPEATS
@@ -284,10 +284,10 @@ def discussion_features(products: DataFrame) -> dict[str, DataFrame]:
     """
     sections = settled(split_sections(products))
     found_cyclones = settled(cyclones(sections))
-    fixed = point_fixes(sections.join(found_cyclones.select("file", "section").distinct(), ["file", "section"], "left_anti"))
+    fixed = point_fixes(sections).join(merged(found_cyclones.select("file", "section").distinct()), ["file", "section"], "left_anti")
     lines = settled(troughs(sections))
     vertices = lines.select("file", "name", F.explode("line").alias("p")).select("file", "name", "p.lat", "p.lon").distinct()
-    fixed = settled(fixed.join(vertices, ["file", "name", "lat", "lon"], "left_anti"))
+    fixed = settled(fixed.join(merged(vertices), ["file", "name", "lat", "lon"], "left_anti"))
     axes = settled(waves(sections))
     spot = F.array(_point(F.col("lat"), F.col("lon")))
     kinds = (("wave", axes, F.col("axis")), ("trough", lines, F.col("line")), ("point", found_cyclones, spot), ("point", fixed, spot))

@@ -6,7 +6,7 @@ from __spark_entry__ import queries
 from stormframe import session
 from stormframe.operators.matching import first_overlapping
 from stormframe.operators.ranking import numbered_places
-from stormframe.plans import ledger, lineage, truth
+from stormframe.plans import discussions, ledger, lineage, truth
 from stormframe.session import once, spread
 
 
@@ -169,3 +169,14 @@ def test_a_long_chain_takes_no_rounds(spark):
     rows = lineage.cyclone_chains(stream, storms)
     assert len(session._SETTLED) - before <= 6
     assert sorted(r["seq"] for r in rows.collect()) == list(range(1, n + 1)) and rows.select("chain_id").distinct().count() == 1
+
+
+def test_stored_features_are_not_broadcast(spark, monkeypatch):
+    """A stored table seems as small as its compressed columns: no step of the audit sends one through the driver."""
+    plans, stored = [], discussions.settled
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(discussions, "settled", lambda df: (plans.append(plan(df)), stored(df))[1])
+    out = queries()["discussion_audit"](spark, "/root/testdata/sf0.001")
+    plans.append(plan(out))
+    assert len(plans) == 7 and not any("Broadcast" in p for p in plans)
+    assert sum("SortMergeJoin" in p for p in plans) == 3 and plans[-1].count("SortMergeJoin") == 1
