@@ -180,3 +180,40 @@ def test_stored_features_are_not_broadcast(spark, monkeypatch):
     plans.append(plan(out))
     assert len(plans) == 7 and not any("Broadcast" in p for p in plans)
     assert sum("SortMergeJoin" in p for p in plans) == 3 and plans[-1].count("SortMergeJoin") == 1
+
+
+def _features(spark, seed):
+    """Products of two basins with few and many features, gaps, long chains, and tags that come late, differ or are empty."""
+    r = lambda k, m, *c: F.pmod(F.xxhash64("k", "basin", *c, F.lit(k + seed)), F.lit(m))
+    products = spark.range(90).select(F.col("id").alias("k"), F.explode(F.array(F.lit("AT"), F.lit("EP"))).alias("basin"))
+    hour = F.col("k") * 6 + F.when(F.col("k") > 60, 30).otherwise(0)
+    products = products.withColumn("stamp", F.date_format(F.timestamp_seconds(F.lit(1780272000) + hour * 3600), "yyyyMMddHHmm"))
+    products = products.withColumn("file", F.concat("basin", F.lpad(F.col("k").cast("string"), 3, "0")))
+    rows = products.filter(r(1, 12) > 0).withColumn("ord", F.explode(F.sequence(F.lit(1), (r(2, 4) + 1).cast("int"))))
+    tag = F.when(r(3, 9, "ord") == 0, F.concat(F.lit("AL9"), r(4, 2, "ord").cast("string"))).when(r(3, 9, "ord") == 1, "")
+    rows = rows.select("file", "ord", tag.alias("invest"), (10.0 + 7 * F.col("ord") + r(5, 30, "ord") / 10).alias("lat"), F.when(r(6, 15, "ord") > 0, F.lit(-50.0)).alias("lon"), F.concat(F.lit("N"), F.col("ord").cast("string")).alias("name"))
+    return products.select("file", "basin", "stamp"), rows.localCheckpoint()
+
+
+def test_chains_over_blocks(spark):
+    """However products are cut into blocks, chains, places, tags and links are the same, also of chains that cross many blocks."""
+    for seed in (0, 100):
+        products, rows = _features(spark, seed)
+        axis = rows.select("file", "ord", F.array(F.struct(F.lit(15.0).alias("lat"), (-F.col("lat")).alias("lon"))).alias("axis"))
+        for build, features in ((lineage.invest_chains, rows.drop("name")), (lineage.wave_chains, axis), (lineage.cyclone_chains, rows.drop("invest"))):
+            one, many = (build(lineage.product_stream(products, block=b), features) for b in (4096, 3))
+            told = [sorted(map(str, df.collect())) for df in (one, many)]
+            assert told[0] == told[1] and len(told[0]) == rows.count()
+            assert one.agg(F.max("seq")).first()[0] > 12
+        tags = lineage.invest_chains(lineage.product_stream(products, block=3), rows).groupBy("chain_id").agg(F.min("tag").alias("a"), F.max("tag").alias("z"), F.first("invest", True).alias("own"))
+        assert tags.filter("a <> z OR (a IS NULL) <> (own IS NULL)").count() == 0 and tags.filter("a LIKE 'AL9%'").count() > 10
+
+
+def test_features_meet_in_one_shuffle(spark, monkeypatch):
+    """Areas are dealt out by product and by block, then only first sightings and the others by chain; tables that no step reads any more are gone."""
+    plans, stored, before = [], lineage.settled, len(session._SETTLED)
+    monkeypatch.setattr(lineage, "settled", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), stored(df))[1])
+    out = queries()["invest_chains"](spark, "/root/testdata/sf0.001")
+    assert sum(p.count("Exchange hashpartitioning") for p in plans) <= 16
+    assert len(session._SETTLED) - before <= 4 and out.count() == 6000
+    assert spark.conf.get(session._CLEANUP) == "false"
