@@ -217,3 +217,11 @@ def test_features_meet_in_one_shuffle(spark, monkeypatch):
     assert sum(p.count("Exchange hashpartitioning") for p in plans) <= 16
     assert len(session._SETTLED) - before <= 4 and out.count() == 6000
     assert spark.conf.get(session._CLEANUP) == "false"
+
+
+def test_chain_tasks_follow_rows(spark, monkeypatch):
+    told = [sorted(map(str, queries()["invest_chains"](spark, "/root/testdata/sf0.001").collect()))]
+    monkeypatch.setattr(session, "ROWS", 500)
+    out = queries()["invest_chains"](spark, "/root/testdata/sf0.001")
+    told.append(sorted(map(str, out.collect())))
+    assert told[0] == told[1] and len(told[0]) == 6000 and len(out.inputFiles()) > 12
